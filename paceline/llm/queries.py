@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "url_filter"]
+MODULES = ["decontaminate", "url_filter", "packing", "token_files"]
 
 
 def _all(name: str) -> dict:
