@@ -90,6 +90,8 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP
     basis = np.diag((capacity // sizes).astype(float))
     inverse, x = np.linalg.inv(basis), counts / np.diag(basis)
     for step in range(20 * n + 200):
+        if x.sum() <= (1 + gap) * (sizes @ counts) / capacity:  # no plan needs fewer sequences than ids fill
+            break
         prices = inverse.sum(axis=0)
         value, pattern = best_pattern(prices, sizes, capacity)
         if value <= 1 + gap:
