@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "url_filter", "packing", "token_files"]
+MODULES = ["decontaminate", "packing", "quality", "token_files", "url_filter"]
 
 
 def _all(name: str) -> dict:
