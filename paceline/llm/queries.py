@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "packing", "quality", "token_files", "url_filter"]
+MODULES = ["decontaminate", "html_text", "language_id", "packing", "quality", "token_files", "toxicity", "url_filter"]
 
 
 def _all(name: str) -> dict:
