@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "html_text", "jaccard_join", "language_id", "packing", "quality", "token_files", "toxicity", "url_filter"]
+MODULES = ["decontaminate", "html_text", "jaccard_join", "language_id", "language_model", "packing", "quality", "token_files", "toxicity", "url_filter"]
 
 
 def _all(name: str) -> dict:
