@@ -102,7 +102,7 @@ def markdown(row: dict, with_laps: bool = False) -> str:
         if x["label"] != last:
             lines += [f"- **{x['label']}**", *[f"  - {x['sampling_note']}"] * (x["sampling_note"] is not None)]
             last = x["label"]
-        grade = [f"Grade: {x['grade_percent']:.2f}%"] * (x["grade_percent"] is not None)
+        grade = [f"Grade: {g:.2f}%" for g in [x["grade_percent"]] if g is not None]
         lines.append(f"  - {clock(x['elapsed_seconds'])}: {shown(x['heart_rate_bpm'])} bpm ({', '.join([('Pace: ' if pace else 'Speed: ') + speed(x['speed_kmh'], pace), *grade])})")
     lines += ["No transition samples available."] * (not row["dynamics"])
     if with_laps and row["laps"]:
