@@ -1,7 +1,7 @@
 """Operator 8: toxicity by weak supervision.
 
-Terms are words (runs of letters, A-Z lower-cased) and beginnings of words. Over all labelled training
-rows Spark counts how many toxic and clean texts hold each term; those that lean strongly to toxic
+Terms are words (runs of letters, A-Z lower-cased) and beginnings of words. Over the labelled training
+rows (about ``LABELLED`` of them at most, drawn by hash) Spark counts how many toxic and clean texts hold each term; those that lean strongly to toxic
 texts form a lexicon of at most ``LEXICON`` terms. The lexicon is dealt to ``VOTERS`` voters (word lists
 and prefix patterns); a voter says toxic if a text holds one of its terms. Vote patterns, counted over
 all documents (at most 2**VOTERS), go to a generative label model: expectation maximisation estimates
@@ -29,12 +29,16 @@ from paceline.llm.textnp import chunks, keyed
 
 LEXICON = 3000
 SAMPLE = 30_000
+#: Labels that are learned from.
+LABELLED = 200_000
+TRAINING = "crc32(cast(doc_id as string)) % 4 != 2"
 VOTERS = 14
 WORD_VOTERS = 8
 PREFIXES = (4, 5)
 LEAST_TOXIC = 3
 LEAST_LOG_ODDS = 2.5
-LEAST_GAIN = 12.0
+#: A term's toxic texts times its log odds must exceed the log of the number of terms looked at by this, so that few pass by chance.
+LEAST_GAIN = 1.0
 #: How far a label is trusted against the voters.
 TRUST = 0.98
 THRESHOLD = 0.3
@@ -58,10 +62,12 @@ def terms(c) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Training rows: text and toxic (0 or 1)."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = docs.where("doc_id is not null and text is not null and crc32(cast(doc_id as string)) % 4 != 2").select("doc_id", "text")
-    return materialize(train.join(known, "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic")), "labelled")
+    """Training rows: text and toxic (0 or 1). Beyond ``LABELLED`` labels a share of about so many is drawn by the hash of doc_id; they go to every task, so no text is shuffled."""
+    known = labels.where(f"doc_id is not null and toxic is not null and {TRAINING}").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    share = min(1.0, LABELLED / max(1, known.count()))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
+    train = docs.where(f"doc_id is not null and text is not null and {TRAINING}").select("doc_id", "text")
+    return materialize(train.join(F.broadcast(drawn), "doc_id").select("text", "toxic"), "labelled")
 
 
 def lexicon(train: DataFrame, size: int = LEXICON) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -84,7 +90,9 @@ def lexicon(train: DataFrame, size: int = LEXICON) -> tuple[np.ndarray, np.ndarr
     found = train.mapInArrow(counts, TERMS + ", bad long, good long").groupBy("term", "kind").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (n_toxic + 1)) - F.log((F.col("good") + 0.5) / (n_clean + 1))
     gain = F.col("bad") * odds
-    best = found.where((F.col("bad") >= LEAST_TOXIC) & (odds >= LEAST_LOG_ODDS) & (gain >= LEAST_GAIN)).orderBy(gain.desc(), "term").limit(size).select("term", "kind").collect()
+    found = materialize(found.where(F.col("bad") >= LEAST_TOXIC), "terms")
+    least = float(np.log(max(1, found.count()))) + LEAST_GAIN
+    best = found.where((odds >= LEAST_LOG_ODDS) & (gain >= least)).orderBy(gain.desc(), "term").limit(size).select("term", "kind").collect()
     best = sorted((np.uint64(t % 2**64), k) for t, k in best)
     return np.array([t for t, _ in best], np.uint64), np.array([k for _, k in best], np.int64), n_toxic, n_clean
 
