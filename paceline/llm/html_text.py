@@ -5,8 +5,8 @@ the blocks below it, less what is linked; blocks under menus, headers, footers,
 adverts, forms or comments (told by tag, role and class words) don't count for a container outside of
 these. The page's vote is the deepest container with ``NEARLY`` of the best score, as a generalised path
 of tags and classes with digits masked. Spark adds the votes by host and path; the ``RANKS`` paths of a
-host with the most votes are joined back to its pages (Spark broadcasts that table only below its own
-size limit), and each page is extracted again from the first of them that it has with text, or else
+host with the most votes are joined back to its pages (by broadcast up to ``MAX_BROADCAST`` hosts, else
+by a shuffle), and each page is extracted again from the first of them that it has with text, or else
 from its own best container.
 
 Defined cases: null and empty html give an empty text; null or odd URLs share the empty host; repeated
@@ -23,8 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paceline.llm.shared import materialize
+
 NEARLY = 0.9
 RANKS = 5
+#: Hosts whose paths go to every task; beyond that pages and paths meet in a shuffle, which Spark splits for hot hosts.
+MAX_BROADCAST = 100_000
 #: A path needs this share of its host's votes to overrule a page's own.
 LEAST_SHARE = 0.05
 #: Elements by kind.
@@ -252,7 +256,9 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.record_batch([columns[0].cast(pa.int64()), *columns[1:], pa.array(paths, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "host", "path", "text", "n_chars"])
 
     given = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    return given.join(winners(votes(pages)), "host", "left").select("page_id", "url", "html", "host", "paths").mapInArrow(rows, "page_id long, url string, host string, path string, text string, n_chars long")
+    chosen = materialize(winners(votes(pages)), "host-paths")
+    few = chosen.count() <= MAX_BROADCAST
+    return given.join(F.broadcast(chosen) if few else chosen, "host", "left").select("page_id", "url", "html", "host", "paths").mapInArrow(rows, "page_id long, url string, host string, path string, text string, n_chars long")
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
