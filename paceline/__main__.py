@@ -36,8 +36,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("source", help="a FIT file or a folder of them, at any path that Spark reads")
     p.add_argument("-o", "--output", required=True, help="folder for the activity tables and the reports")
     p.add_argument("--dynamics-step", type=positive, default=STEP_S, help="seconds between samples")
-    p.add_argument("--zones", type=zones, default=ZONES, help="four heart-rate thresholds")
-    p.add_argument("--laps", action="store_true", help="add the native laps")
+    p.add_argument("--zones", type=zones, help="four heart-rate thresholds; adds the zones")
+    p.add_argument("--workout", action="store_true", help="add native laps, repetitions and recoveries")
     p.add_argument("--config", help="a file of options")
     return p
 
@@ -57,7 +57,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     found, failed = tables(spark.read.parquet(f"{args.output}/messages"))
     found.write(f"{args.output}/tables")
     a = Activities.read(spark, f"{args.output}/tables")
-    texts = rendered(assembled(a, results(a, args.dynamics_step, args.zones)), args.laps)
+    texts = rendered(assembled(a, results(a, args.dynamics_step, args.zones or ZONES)), args.workout, args.zones)
     name = F.regexp_extract("activity_id", r"([^/]+)\.[^./]+$", 1)
     texts.select(name.alias("activity"), F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("activity").text(f"{args.output}/reports")
     bad = failed.collect()  # names of failed files

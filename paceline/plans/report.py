@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceline.operators.active_time import strict_timeline, with_elapsed
-from paceline.operators.laps import CAP_S, ZONES, lap_rows, recoveries, repetitions, session_zones
+from paceline.operators.laps import CAP_S, ZONES, lap_rows, lap_zones, recoveries, repetitions, session_zones
 from paceline.operators.splits import STEP_S, dynamics, splits
 from paceline.operators.summary import summaries
+from paceline.plans.workout_text import clock, shown, workout_lines, zone_lines
 from paceline.schema import Activities
 from paceline.sources.fit import reportable
 
 HEADER = ["| Km | Distance | Time | Pace | Elev +/- | Avg HR | Max HR | Avg Cad |", "|---|---|---|---|---|---|---|---|"]
-LAP_HEADER = ["| Lap | Role | Distance | Active time | Avg HR | Max HR | Avg Cad |", "|---|---|---|---|---|---|---|"]
 
 
 def results(a: Activities, step_s: float = STEP_S, thresholds: tuple[int, ...] = ZONES, cap_s: float = CAP_S, prefer_records: bool = False) -> dict[str, DataFrame]:
@@ -30,35 +30,25 @@ def results(a: Activities, step_s: float = STEP_S, thresholds: tuple[int, ...] =
     groups, left_out = repetitions(rows, a.sessions)
     return {
         "summary": summaries(a.sessions, records, a.laps, prefer_records), "splits": splits(records, a.laps, a.sessions), "dynamics": dynamics(records, a.laps, step_s), "laps": rows, "repetitions": groups, "exclusions": left_out,
-        "recoveries": recoveries(rows, samples, timelines), "zones": session_zones(a.sessions, samples, timelines, thresholds, cap_s),
+        "recoveries": recoveries(rows, samples, timelines), "zones": session_zones(a.sessions, samples, timelines, thresholds, cap_s), "lap_zones": lap_zones(a.laps, samples, timelines, thresholds, cap_s),
     }
 
 
 def assembled(a: Activities, found: dict[str, DataFrame], weather: DataFrame | None = None) -> DataFrame:
-    """One row per activity: sport, summary, splits, dynamics, laps (arrays in order), weather."""
+    """One row per activity: sport, summary, zones and weather as structs, all other results as arrays in order."""
     listed = lambda name, *order: found[name].groupBy("activity_id").agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in found[name].columns if c not in (*order, "activity_id")]))).alias(name))
     s = found["summary"]
     out = a.sessions.select("activity_id", "sport").join(s.select("activity_id", F.struct(*[c for c in s.columns if c != "activity_id"]).alias("summary")), "activity_id")
     out = out.join(listed("splits", "kilometer"), "activity_id", "left").join(listed("dynamics", "kilometer", "elapsed_seconds"), "activity_id", "left")
-    shown = found["laps"].select("activity_id", "lap_pos", "lap_index", "label", "role", "distance_m", "active_duration_s", "avg_heart_rate_bpm", "max_heart_rate_bpm", "avg_cadence_spm")
-    out = out.join(shown.groupBy("activity_id").agg(F.array_sort(F.collect_list(F.struct(*shown.columns[1:]))).alias("laps")), "activity_id", "left")
+    for name, *order in (("laps", "lap_pos"), ("repetitions", "first_pos"), ("exclusions", "exclusion_no"), ("recoveries", "lap_pos"), ("lap_zones", "lap_pos")):
+        out = out.join(listed(name, *order), "activity_id", "left")
+    z = found["zones"]
+    out = out.join(z.select("activity_id", F.struct(*[c for c in z.columns if c != "activity_id"]).alias("zones")), "activity_id", "left")
     if weather is None:
         return out.withColumn("weather", F.lit(None).cast("struct<source: string>"))
     return out.join(weather.select("activity_id", F.struct(*[c for c in weather.columns if c != "activity_id"]).alias("weather")), "activity_id", "left")
 
 
-def clock(s: float | None) -> str:
-    """h:mm:ss or m:ss of whole seconds."""
-    if s is None:
-        return "-"
-    m, sec = divmod(int(s), 60)
-    return f"{m // 60}:{m % 60:02d}:{sec:02d}" if m >= 60 else f"{m}:{sec:02d}"
-
-
-def shown(value, form: str = "{}") -> str:
-    return "-" if value is None else form.format(value)
-
-
 def speed(kmh: float | None, pace: bool) -> str:
     if pace:
         return f"{clock(3600 / kmh)}/km" if kmh is not None and kmh > 0 else "-"
@@ -80,8 +70,8 @@ def weather_text(s: dict, w: dict | None) -> str:
     return f"{', '.join(parts)} [{w['source']}]"
 
 
-def markdown(row: dict, with_laps: bool = False) -> str:
-    """The report of one assembled row."""
+def markdown(row: dict, workout: bool = False, thresholds: tuple[int, ...] | None = None) -> str:
+    """The report of one assembled row; workout: with laps, repetitions and recoveries; thresholds: with zones."""
     s, pace = row["summary"], (row["sport"] or "").strip().casefold() == "running"
     start, kind = s["start_time"], s["activity_type"]
     lines = [f"# FIT Report: {start:%Y-%m-%d} {kind or 'Activity'}" if start else f"# FIT Report: unknown-date {kind or 'Activity'}", "", "## Session Summary"]
@@ -105,18 +95,19 @@ def markdown(row: dict, with_laps: bool = False) -> str:
         grade = [f"Grade: {g:.2f}%" for g in [x["grade_percent"]] if g is not None]
         lines.append(f"  - {clock(x['elapsed_seconds'])}: {shown(x['heart_rate_bpm'])} bpm ({', '.join([('Pace: ' if pace else 'Speed: ') + speed(x['speed_kmh'], pace), *grade])})")
     lines += ["No transition samples available."] * (not row["dynamics"])
-    if with_laps and row["laps"]:
-        lines += ["", "## Lap Breakdown", *LAP_HEADER]
-        lines += [f"| {x['lap_index']} | {x['role']} | {shown(x['distance_m'], '{:.0f} m')} | {clock(x['active_duration_s'] + 0.5 if x['active_duration_s'] is not None else None)} | {shown(x['avg_heart_rate_bpm'])} | {shown(x['max_heart_rate_bpm'])} | {shown(x['avg_cadence_spm'])} |" for x in row["laps"]]
+    if workout:
+        lines += workout_lines(row, pace, thresholds is not None)
+    if thresholds is not None:
+        lines += zone_lines(row, thresholds, workout)
     return "\n".join(lines).rstrip() + "\n"
 
 
-def rendered(rows: DataFrame, with_laps: bool = False) -> DataFrame:
+def rendered(rows: DataFrame, workout: bool = False, thresholds: tuple[int, ...] | None = None) -> DataFrame:
     """activity_id, markdown."""
 
     def texts(batches):
         for batch in batches:
-            yield pa.record_batch({"activity_id": batch.column("activity_id"), "markdown": pa.array([markdown(r, with_laps) for r in batch.to_pylist()], pa.string())})
+            yield pa.record_batch({"activity_id": batch.column("activity_id"), "markdown": pa.array([markdown(r, workout, thresholds) for r in batch.to_pylist()], pa.string())})
 
     return rows.mapInArrow(texts, "activity_id string, markdown string")
 

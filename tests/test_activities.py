@@ -154,8 +154,12 @@ def test_workout(spark):
     assert [x["delta_bpm"] for x in change] == [-30.0] * 6
     z = found["zones"].first()
     assert [z[f"z{k}_s"] for k in range(1, 6)] == [0, 520, 240, 800, 0] and z["covered_s"] == 1560
-    text = report.rendered(report.assembled(a, found)).first()["markdown"]
+    text = report.rendered(report.assembled(a, found), True, (130, 145, 160, 175)).first()["markdown"]
     assert text.startswith("# FIT Report: 2020-01-01 Running\n\n## Session Summary\n- **Start Time:** 2020-01-01 12:00:00+00:00\n- **Activity Type:** Running\n- **Total Distance:** 5.60 km\n- **Total Time:** 26:00\n")
+    assert "| 2 | 400 m effort | work | 0.40 km | 1:40 | 4:10/km | 160 | 170 | 170 |" in text and "- Laps 1, 14:" not in text
+    assert "| Step 1 | 400 m; open target | 6 | 4:10/km | 4:10/km | 4:10/km | 0.0% | 0 |" in text and "Excluded work laps: 0." in text
+    assert "| 3 | 2 | 160 bpm | 130 bpm | -30 bpm |" in text or "-30 bpm" in text
+    assert "| Z2 | 130–<145 bpm | 8:40 | 33.3% |" in text and "26:00 covered / 26:00 active (100.0%); unknown active time 0:00." in text and "**Per-lap zones**" in text
     assert "| 5.00–5.60 | 0.60 km | 1:12 | 2:00 | +0m | 134 | 145 | 170 |" in text and "  - 4:28: 146 bpm (Pace: 1:59/km, Grade: 0.00%)" in text and "- **Km 5.00–5.60**" in text
 
 
