@@ -24,14 +24,19 @@ def chronological(records: DataFrame) -> DataFrame:
     return records.groupBy("activity_id", "ts").agg(F.max_by(F.struct(*others), "pos").alias("r")).select("activity_id", "ts", *[F.col(f"r.{c}").alias(c) for c in others])
 
 
-def spans(records: DataFrame, timelines: DataFrame, value: str = "heart_rate_bpm", cap_s: float = CAP_S) -> DataFrame:
-    """activity_id, s, e, value: each valid sample covers until the next one, cap_s at most, within active intervals; the last covers nothing."""
+def sample_spans(records: DataFrame, timelines: DataFrame, columns: list[str], cap_s: float = CAP_S) -> DataFrame:
+    """activity_id, s, e, columns: each sample with a valid value covers until the next one, cap_s at most, within active intervals; the last covers nothing."""
     w = Window.partitionBy("activity_id").orderBy("ts")
-    rows = chronological(records).withColumn("next", F.lead("ts").over(w)).withColumn("v", native_positive(F.col(value))).where("v is not null and next is not null")
+    rows = chronological(records).select("activity_id", "ts", F.lead("ts").over(w).alias("next"), *[native_positive(F.col(c)).alias(c) for c in columns]).where("next is not null").where(F.coalesce(*[F.col(c).cast("double") for c in columns]).isNotNull())
     rows = rows.withColumn("stop", F.least("next", F.timestamp_micros(F.unix_micros("ts") + round(cap_s * 1e6))))
     active = timelines.where("source != 'unknown'").select("activity_id", "intervals")
     parts = F.filter(F.transform("intervals", lambda i: F.struct(F.greatest(i["s"], F.col("ts")).alias("s"), F.least(i["e"], F.col("stop")).alias("e"))), lambda x: x["s"] < x["e"])
-    return rows.join(active, "activity_id").select("activity_id", F.explode(parts).alias("x"), F.col("v").alias("value")).select("activity_id", "x.s", "x.e", "value")
+    return rows.join(active, "activity_id").select("activity_id", F.explode(parts).alias("x"), *columns).select("activity_id", "x.s", "x.e", *columns)
+
+
+def spans(records: DataFrame, timelines: DataFrame, value: str = "heart_rate_bpm", cap_s: float = CAP_S) -> DataFrame:
+    """activity_id, s, e, value: sample_spans of one column."""
+    return sample_spans(records, timelines, [value], cap_s).withColumnRenamed(value, "value")
 
 
 def lap_issues(laps: DataFrame) -> DataFrame:
@@ -56,16 +61,13 @@ def in_laps(rows: DataFrame, laps: DataFrame, start: str, end: str) -> DataFrame
     """
     safe = laps.select("activity_id", F.col("pos").alias("lap_pos"), "start_time", "end_time")
     other = [c for c in rows.columns if c not in ("activity_id", start, end)]
-    # cut each row at the lap starts inside it: sort lap starts and rows together, and carry the lap forward
+    # one sort of lap starts and rows: a row meets the last lap begun, and a lap start the last row begun before it
     marks = safe.select("activity_id", F.col("start_time").alias("_x"), F.lit(0).alias("_k"), F.struct("lap_pos", "start_time", "end_time").alias("_lap"), F.lit(None).alias("_row"))
     given = rows.select("activity_id", F.col(start).alias("_x"), F.lit(1).alias("_k"), F.lit(None).alias("_lap"), F.struct(start, end, *other).alias("_row"))
-    w = Window.partitionBy("activity_id").orderBy("_x", "_k")
-    first = marks.unionByName(given).withColumn("_lap", F.last("_lap", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_k = 1")
-    first = first.select("activity_id", "_row.*", "_lap.*")
-    # laps that begin inside a row: few rows span one, found by the same sort on the other side
-    begun = marks.unionByName(given).withColumn("_row", F.last("_row", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_k = 0").select("activity_id", "_row.*", "_lap.*")
-    both = first.unionByName(begun.where(F.col(start) < F.col("start_time")))
-    return both.withColumns({start: F.greatest(start, "start_time"), end: F.least(end, "end_time")}).where(F.col(start) < F.col(end)).select("activity_id", "lap_pos", start, end, *other)
+    w = Window.partitionBy("activity_id").orderBy("_x", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    met = marks.unionByName(given).select("activity_id", "_k", F.last("_lap", ignorenulls=True).over(w).alias("_lap"), F.last("_row", ignorenulls=True).over(w).alias("_row")).select("activity_id", "_k", "_row.*", "_lap.*")
+    met = met.where((F.col("_k") == 1) | (F.col(start) < F.col("start_time")))
+    return met.withColumns({start: F.greatest(start, "start_time"), end: F.least(end, "end_time")}).where(F.col(start) < F.col(end)).select("activity_id", "lap_pos", start, end, *other)
 
 
 def distance_at_edges(records: DataFrame, edges: DataFrame, timelines: DataFrame, cap_s: float = CAP_S) -> DataFrame:
@@ -88,10 +90,12 @@ def lap_rows(laps: DataFrame, records: DataFrame, timelines: DataFrame, cap_s: f
     issued = lap_issues(laps).join(timelines.select("activity_id", "source", "intervals"), "activity_id", "left").withColumn("known", F.coalesce(F.col("source") != "unknown", F.lit(False)))
     issued = issued.withColumn("safe", F.col("boundary_issue").isNull() & F.col("known"))
     safe = issued.where("safe")
-    sums = []
+    cut = in_laps(sample_spans(records, timelines, ["heart_rate_bpm", "cadence_spm"], cap_s), safe, "s", "e").withColumn("sec", seconds(F.col("e"), F.col("s")))
+    parts = []
     for column, name in (("heart_rate_bpm", "hr"), ("cadence_spm", "cadence")):
-        cut = in_laps(spans(records, timelines, column, cap_s), safe, "s", "e").withColumn("sec", seconds(F.col("e"), F.col("s")))
-        sums.append(cut.groupBy("activity_id", "lap_pos").agg(F.sum("sec").alias(f"{name}_seconds"), F.try_divide(F.sum(F.col("value") * F.col("sec")), F.sum("sec")).alias(f"{name}_mean")))
+        sec = F.when(F.col(column).isNotNull(), F.col("sec"))
+        parts += [F.sum(sec).alias(f"{name}_seconds"), F.try_divide(F.sum(F.col(column) * sec), F.sum(sec)).alias(f"{name}_mean")]
+    sums = cut.groupBy("activity_id", "lap_pos").agg(*parts)
     # a record belongs to the lap with start <= ts < end; distance checks also take ts = end
     rows = chronological(records).join(timelines.select("activity_id", "intervals"), "activity_id")
     point = rows.withColumns({"s": F.col("ts"), "e": F.timestamp_micros(F.unix_micros("ts") + 1), "in_active": F.exists("intervals", lambda i: (i["s"] <= F.col("ts")) & (F.col("ts") < i["e"]))}).drop("intervals")
@@ -105,7 +109,7 @@ def lap_rows(laps: DataFrame, records: DataFrame, timelines: DataFrame, cap_s: f
     ends = distance_at_edges(records, edges, timelines, cap_s).groupBy("activity_id", "lap_pos").agg(F.max(F.when(F.col("side") == "a", F.col("edge_m"))).alias("d0"), F.max(F.when(F.col("side") == "b", F.col("edge_m"))).alias("d1"))
     any_records = records.select("activity_id").distinct().withColumn("has_records", F.lit(True))
     j = issued.withColumnRenamed("pos", "lap_pos").join(any_records, "activity_id", "left")
-    for part in (*sums, top, checked, ends):
+    for part in (sums, top, checked, ends):
         j = j.join(part, ["activity_id", "lap_pos"], "left")
     derived_reason = (
         F.when(F.col("has_records").isNull(), "no_records").when(F.coalesce("bad", F.lit(False)), "invalid_distance_trace").when(F.col("d0").isNull() | F.col("d1").isNull(), "distance_boundary_unavailable")
