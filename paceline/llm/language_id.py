@@ -30,10 +30,12 @@ from paceline.llm.textnp import LEADS, chunks, mix
 
 BITS = 16
 CELLS = 1 << BITS
-PER_LANGUAGE = 800
+PER_LANGUAGE = 500
 TRAIN_CHARS = 8000
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
+#: Bytes of text whose n-grams are held at once.
+GRAMS_CHUNK = 1 << 18
 #: Language codes by family.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -149,8 +151,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     if not rows:
         return model
     label = np.array([langs.index(r[0]) for r in rows])
-    parts = [(t + c.first, f, w) for c in chunks(pa.array([r[1] for r in rows], pa.string())) for t, f, w in [vectors(c)]]
-    text, cell, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts = [(t + c.first, f, w) for c in chunks(pa.array([r[1] for r in rows], pa.string()), GRAMS_CHUNK) for t, f, w in [vectors(c)]]
+    text, cell, weight = (np.concatenate(x).astype(kind) for x, kind in zip(zip(*parts, strict=True), (np.int32, np.int32, np.float32), strict=True))
+    del parts
     family = np.array(model["family_of"])[label]
 
     def subset(of: np.ndarray):
@@ -199,7 +202,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     def rows(batches):
         m = shared.value
         for batch in batches:
-            for c in chunks(batch.column("text")):
+            for c in chunks(batch.column("text"), GRAMS_CHUNK):
                 part = batch.slice(c.first, len(c))
                 lettered = np.array([bool(x and LETTER.search(x)) for x in part.column("text").to_pylist()])
                 if m["langs"]:

@@ -96,8 +96,8 @@ class Chunk:
             return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def chunks(texts: pa.Array) -> Iterator[Chunk]:
-    """texts in runs of about CHUNK bytes; nulls are empty and not valid."""
+def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
+    """texts in runs of about size bytes; nulls are empty and not valid."""
     texts = texts.cast(pa.large_string())
     valid = ~np.asarray(texts.is_null().to_numpy(zero_copy_only=False), bool)
     if texts.null_count:
@@ -110,7 +110,7 @@ def chunks(texts: pa.Array) -> Iterator[Chunk]:
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         j = min(j, n)
         yield Chunk(i, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], valid[i:j])
         i = j
