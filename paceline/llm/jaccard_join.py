@@ -6,9 +6,10 @@ A document's set holds its distinct shingles of ``SHINGLE`` words (fewer words:
 1. A sketch of 2**SKETCH_BITS counters over all shingles of all documents gives the global order:
    rare first, then by hash. Any total order keeps the join exact; this one keeps hot shingles out of
    prefixes.
-2. Of each set the first n - ceil(0.8 n) + 1 shingles are its prefix; linked sets share one of these.
-   Prefix shingles of only one class are dropped by a shuffle on the shingle (those whose counter is
-   far above the mean are salted and simply kept).
+2. Of each set the first n - ceil(0.8 n) + 1 shingles are its prefix; linked sets share one of these,
+   and about 0.2 n of them and as many spare ones. Shingles of only one class are dropped by a shuffle on
+   the shingle (those whose counter is far above the mean are salted and simply kept), and then classes
+   that share too few for any link; what chance passages have in common goes here.
 3. Sets that share a prefix shingle and are of compatible length hang together through a hub per shingle
    and length band - a number of edges linear in the prefixes; the components of these edges hold
    every link. Small ones share a task, large ones are cut into blocks of which each pair is a task.
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceline.llm.components import components
@@ -128,8 +129,20 @@ def ordered(t: np.ndarray, g: np.ndarray, counts: np.ndarray) -> tuple[np.ndarra
     return t, g, np.arange(len(t)) - first
 
 
+def spare(n):
+    """Shingles beyond the prefix that are looked at as well."""
+    return np.maximum(1, n * (DEN - NUM) // DEN)
+
+
+def shared_only(rows: DataFrame) -> DataFrame:
+    """Rows (hash, salt, cls, ..) of hashes of several classes, one per hash and class; salted ones stay as they are."""
+    least, most, last = (f"{f} over (partition by hash, salt{o})" for f, o in (("min(cls)", ""), ("max(cls)", ""), ("lag(cls)", " order by cls")))
+    marked = rows.select("*", F.expr(last).alias("_last"), F.expr(least).alias("_least"), F.expr(most).alias("_most"))
+    return marked.where("(_last is null or _last != cls) and (salt >= 0 or _least != _most)").select(*rows.columns)
+
+
 def prefixes(docs: DataFrame, counts, hot: int, seed: int) -> DataFrame:
-    """hash, salt, cls, n: the prefix shingles that several classes may share."""
+    """hash, salt, cls, n, head: shingles of the prefix (head) and ``spare`` more that several classes have there."""
 
     def rows(batches):
         freq = counts.value
@@ -142,15 +155,27 @@ def prefixes(docs: DataFrame, counts, hot: int, seed: int) -> DataFrame:
                 first = np.zeros(len(c), bool)
                 first[one] = True
                 t, g, pos = ordered(t, g, freq)
-                keep = first[t] & (pos < prefix(n[t]))
-                t, g = t[keep], g[keep]
+                head = prefix(n[t])
+                keep = first[t] & (pos < head - 1 + spare(n[t]))
+                t, g, head = t[keep], g[keep], (pos < head)[keep]
                 salt = np.where(freq[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > hot, cls[t] % SALTS, -1)
-                yield pa.record_batch({"hash": pa.array(g.astype(np.int64)), "salt": pa.array(salt, pa.int32()), "cls": pa.array(cls[t]), "n": pa.array(n[t], pa.int32())})
+                yield pa.record_batch({"hash": pa.array(g.astype(np.int64)), "salt": pa.array(salt, pa.int32()), "cls": pa.array(cls[t]), "n": pa.array(n[t], pa.int32()), "head": pa.array(head)})
 
-    found = docs.select("text").mapInArrow(rows, "hash long, salt int, cls long, n int")
-    least, most, last = (f"{f} over (partition by hash, salt{o})" for f, o in (("min(cls)", ""), ("max(cls)", ""), ("lag(cls)", " order by cls")))
-    marked = found.select("hash", "salt", "cls", "n", F.expr(last).alias("last"), F.expr(least).alias("least"), F.expr(most).alias("most"))
-    return marked.where("(last is null or last != cls) and (salt >= 0 or least != most)").select("hash", "cls", "n")
+    return shared_only(docs.select("text").mapInArrow(rows, "hash long, salt int, cls long, n int, head boolean"))
+
+
+def peeled(shared: DataFrame, rounds: int = 2) -> DataFrame:
+    """shared without the classes that have too few shared shingles for any link, and so again.
+
+    Linked sets of sizes n <= m have their first ``spare(n)`` common shingles in both prefixes with their
+    spares, and n >= 0.8 m; so a class of size m needs spare(ceil(0.8 m)) shared ones.
+    """
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUM / DEN) * (DEN - NUM) / DEN))
+    columns = shared.columns
+    for _ in range(rounds):
+        counted = shared.select(*columns, F.count("*").over(Window.partitionBy("cls")).alias("_shared"))  # a set's own shingles at most
+        shared = materialize(shared_only(counted.where(F.col("_shared") >= least).select(*columns)), "shared")
+    return shared
 
 
 def candidate_edges(shared: DataFrame) -> DataFrame:
@@ -259,7 +284,8 @@ def join(docs: DataFrame) -> DataFrame:
     counts = sketch(docs)
     freq = spark.sparkContext.broadcast(counts)  # 2**SKETCH_BITS numbers
     shared = materialize(prefixes(docs, freq, int(8 * counts.mean()) + 20_000, seed), "prefixes")
-    groups = components(candidate_edges(shared))
+    heads = shared_only(peeled(shared).where("head")).select("hash", "cls", "n")
+    groups = components(candidate_edges(heads))
     sized = materialize(groups.join(classes, F.col("node") == F.col("cls")).select("cls", "component", "rep", "weight", "n"), "groups")
     per_group = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     tasks = max(1, -(-sized.count() // TOGETHER))
@@ -278,7 +304,8 @@ def join(docs: DataFrame) -> DataFrame:
                 rows = part.select(["cls", "component", "weight", "blocks", "block"]).take(pa.array(kept))
                 yield pa.record_batch([*rows.columns, pa.array([g[at[k] : at[k + 1]].tobytes() for k in kept], pa.binary())], names=[*rows.schema.names, "shingles"])
 
-    with_text = docs.join(placed, F.col("id") == F.col("rep")).select("cls", "component", "weight", "blocks", "block", "text")
+    # texts meet their classes in the same kind of join at every size
+    with_text = docs.join(placed.hint("merge"), F.col("id") == F.col("rep")).select("cls", "component", "weight", "blocks", "block", "text")
     ready = with_text.mapInArrow(to_sets, "cls long, component long, weight long, blocks int, block int, shingles binary")
     # a class of a large component meets each block of it: a pair of blocks is a task, the smaller number first
     sides = F.when(F.col("blocks") == 1, F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(
@@ -298,7 +325,7 @@ def join(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component (that with the smallest doc_id); rows with null doc_id stay."""
     heads = materialize(join(docs).where("doc_id = component_id").groupBy("doc_id").count(), "heads")
-    kept = docs.join(heads.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi").union(docs.where("doc_id is null"))
+    kept = docs.join(heads.select(F.col("doc_id").alias("_id")).hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").union(docs.where("doc_id is null"))
     return kept if heads.where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
