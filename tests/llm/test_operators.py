@@ -309,3 +309,45 @@ def test_pipeline_stages(spark, docs, sf_dir):
         if name != "packing":
             assert out.columns == docs.columns and out.count() <= before.count()
     assert {"doc_id", "start", "length", "sequence_id"} <= set(out.columns)
+
+
+def ways(n, d):
+    """log of the generalised Stirling numbers of n customers, by their recurrence."""
+    out, t = np.append(0.0, np.full(n + 1, -np.inf)), np.arange(1, n + 2)
+    for m in range(n):
+        out[1:] = np.logaddexp(out[:-1], np.where(t <= m, out[1:] + np.log(np.maximum(m - d * t, 1e-300)), -np.inf))
+        out[0] = -np.inf
+    return out[1 : n + 1]
+
+
+@pytest.mark.parametrize("n", [2, 60, 700, 6000])
+def test_seats_converge(n):
+    """From one table, the chain finds the mean of the exact distribution, whatever the count."""
+    t = np.arange(1, n + 1)
+    for d, s, base in ((0.7, 2.0, 1 / 640), (0.7, 10.0, 0.3), (0.5, 5.0, 0.9)):
+        log_p = ways(n, d) + t * np.log(base) + np.concatenate(([0.0], np.cumsum(np.log(s + d * t[:-1]))))
+        p = np.exp(log_p - log_p.max())
+        exact = (p * t).sum() / p.sum()
+        chains = [language_model.restaurant(np.array([n]), np.array([1]), np.array([base]), d, s, 400, 30, np.random.default_rng(k)) for k in range(8)]
+        assert np.mean([mean[0] for _, mean in chains]) == pytest.approx(exact, rel=0.04)
+        assert all(1 <= now[0] <= n for now, _ in chains)
+
+
+def test_dishes_alike_are_seated_together():
+    n, copies = np.array([1, 3, 900]), np.array([500, 200, 3])
+    apart = np.repeat(n, copies)
+    one = language_model.restaurant(n, copies, 0.01, 0.7, 10.0, 60, 20, np.random.default_rng(0), copies)[1]
+    other = language_model.restaurant(apart, np.ones(len(apart), np.int64), 0.01, 0.7, 10.0, 60, 20, np.random.default_rng(1))[1]
+    assert (one * copies).sum() == pytest.approx(other.sum(), rel=0.02)
+
+
+def test_context_tables_do_not_keep_their_start(spark, monkeypatch):
+    """Two classes in one context: a longer chain finds the same probabilities."""
+    pairs = spark.createDataFrame([(0, 1, 200_000), (0, 2, 40), (3, 1, 900), (3, 4, 1)], "before int, after int, n long")
+    short = language_model.context_model(pairs)
+    monkeypatch.setattr(language_model, "ROUNDS", 16)
+    monkeypatch.setattr(language_model, "SWEEPS", 12)
+    monkeypatch.setattr(language_model, "BURN_IN", 8)
+    long = language_model.context_model(pairs)
+    assert short.sum(axis=1) == pytest.approx(np.ones(language_model.CLASSES))
+    assert np.abs(np.log(short[[0, 3]][:, [1, 2, 4]] / long[[0, 3]][:, [1, 2, 4]])).max() < 0.3
