@@ -88,7 +88,7 @@ def prefix(n):
 
 
 def members(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """id (doc_id, or a stand-in for null), doc_id, cls, d2, n: one row per document."""
+    """id (doc_id, or a stand-in for null), doc_id, th, cls, d2, n: one row per document."""
 
     def rows(batches):
         for batch in batches:
@@ -96,9 +96,9 @@ def members(docs: DataFrame, seed: int = 0) -> DataFrame:
                 t, g = sets(c)
                 d1, d2 = digests(t, g, len(c), seed)
                 part = batch.slice(c.first, len(c))
-                yield pa.record_batch({"id": part.column("id"), "doc_id": part.column("doc_id"), "cls": pa.array(d1), "d2": pa.array(d2), "n": pa.array(np.bincount(t, minlength=len(c)), pa.int32())})
+                yield pa.record_batch({"id": part.column("id"), "doc_id": part.column("doc_id"), "th": part.column("th"), "cls": pa.array(d1), "d2": pa.array(d2), "n": pa.array(np.bincount(t, minlength=len(c)), pa.int32())})
 
-    return docs.select("id", "doc_id", "text").mapInArrow(rows, "id long, doc_id long, cls long, d2 long, n int")
+    return docs.select("id", "doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(rows, "id long, doc_id long, th long, cls long, d2 long, n int")
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
@@ -270,8 +270,8 @@ def compare(key: tuple, table: pa.Table) -> pa.Table:
     })
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links: one row per document."""
+def placed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, component (a class of it; null without shingles), component_id, n_links: one row per document."""
     spark = docs.sparkSession
     # a stand-in for null doc_ids, from the text; equal texts may share it
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62))).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -317,16 +317,25 @@ def join(docs: DataFrame) -> DataFrame:
     of_class = components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
     named = of_class.join(classes.select("cls", "least_doc"), F.col("node") == F.col("cls"))
     least = named.groupBy("component").agg(F.min("least_doc").alias("component_id"))
-    by_class = classes.select("cls", "least_doc", "weight").join(named.select("cls", "component").join(least, "component").select("cls", "component_id"), "cls", "left").join(links, "cls", "left")
-    by_class = by_class.select("cls", F.coalesce("component_id", "least_doc").alias("component_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return all_rows.join(by_class, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    by_class = classes.select("cls", "least_doc", "weight").join(named.select("cls", "component").join(least, "component").select("cls", "component", "component_id"), "cls", "left").join(links, "cls", "left")
+    by_class = by_class.select("cls", F.coalesce("component", "cls").alias("component"), F.coalesce("component_id", "least_doc").alias("component_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return all_rows.join(by_class, "cls", "left").select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links: one row per document."""
+    return placed_rows(docs).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component (that with the smallest doc_id); rows with null doc_id stay."""
-    heads = materialize(join(docs).where("doc_id = component_id").groupBy("doc_id").count(), "heads")
-    kept = docs.join(heads.select(F.col("doc_id").alias("_id")).hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").union(docs.where("doc_id is null"))
-    return kept if heads.where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    """docs with one row of each component (that with the smallest doc_id, then text hash); rows with null doc_id or without words stay."""
+    rows = placed_rows(docs).where("doc_id is not null and n_shingles > 0").groupBy("component", "doc_id", "th").count()
+    heads = materialize(rows.groupBy("component").agg(F.min(F.struct("doc_id", "th", "count")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_th"), F.col("x.count").alias("_n")), "heads")
+    stays = F.col("doc_id").isNull() | F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    kept = docs.where(~stays).withColumn("_h", F.xxhash64("text")).join(heads.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
+    if not heads.where("_n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_h"])
+    return kept.drop("_h").union(docs.where(stays))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

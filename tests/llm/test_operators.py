@@ -351,3 +351,11 @@ def test_context_tables_do_not_keep_their_start(spark, monkeypatch):
     long = language_model.context_model(pairs)
     assert short.sum(axis=1) == pytest.approx(np.ones(language_model.CLASSES))
     assert np.abs(np.log(short[[0, 3]][:, [1, 2, 4]] / long[[0, 3]][:, [1, 2, 4]])).max() < 0.3
+
+
+def test_one_of_each_keeps_nulls_and_shared_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d = (prose(rng, 60, [x + y for x in "bcdfghklmn" for y in "aeiou"]) for _ in range(4))
+    given = [(1, a), (1, a), (None, b), (None, b), (None, None), (None, c), (2, ""), (2, ""), (3, b), (3, c), (4, d), (5, d + " end"), (5, a + " end"), (6, a)]
+    found = jaccard_join.one_of_each(spark.createDataFrame(given, "doc_id long, text string"))
+    assert Counter(tuple(r) for r in found.collect()) == Counter([(1, a), (None, b), (None, b), (None, None), (None, c), (2, ""), (2, ""), (3, b), (3, c), (4, d)])
