@@ -5,8 +5,8 @@ histogram of character classes and its histogram of common words are compared wi
 language by the Jensen-Shannon distance (base 2, the square root of the divergence); the language whose
 two distances sum to least is the text's. A distance counts only from a least length on, and its limit
 is widened by what chance adds to the divergence of a text of that length. References come from the
-whole table, by its ``lang`` (null is a language of its own; those with under 1 % of the documents are
-pooled, so there are at most 101): words that make up at least ``COMMON`` of a language's words, hence
+whole table, by its ``lang`` (null is a language of its own; one of fewer than ``LEAST_WORDS`` words has no
+reference, and for its documents only the counting rules count): words that make up at least ``COMMON`` of a language's words, hence
 at most 1 / COMMON of them. They are found exactly in two passes: a word with that share has it in at
 least one chunk of the table, so the chunks' own common words are the candidates that are then counted.
 
@@ -42,7 +42,8 @@ CLASS[48:58], CLASS[65:91], CLASS[97:123] = 3, 4, 5
 CLASS[list(b".,;:!?'\"-()")] = 6
 CLASS[list(b"#*$%&|<>@^~=+_\\{}[]/`")] = 8
 CLASS[0x80:], CLASS[[0xC3, 0xC4, 0xC5]] = 10, 9
-SHARE_OF_LANGUAGE = 0.01
+#: Words of a language from which it has a reference: a common word is there ten times.
+LEAST_WORDS = int(10 / COMMON)
 
 
 def char_classes(c) -> np.ndarray:
@@ -81,15 +82,12 @@ def base_counts(c) -> tuple[dict[str, np.ndarray], tuple]:
 def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By language: shares of character classes, hashes of common words (sorted), and their shares with that of all others last."""
     lang = F.coalesce("lang", F.lit(""))
-    by_lang = docs.groupBy(lang.alias("lang")).count()
-    total = by_lang.agg(F.sum("count")).first()[0] or 0
-    own = [r[0] for r in by_lang.where(F.col("count") >= SHARE_OF_LANGUAGE * total).collect()]  # at most 1 / SHARE_OF_LANGUAGE
+    own = sorted(r[0] for r in docs.select(lang.alias("lang")).distinct().collect())  # the languages
     place = {x: k for k, x in enumerate(own)}
-    few = len(own)  # where the others are pooled
 
     def tallies(batches, wanted):
         for batch in batches:
-            langs = np.array([place.get(x or "", few) for x in batch.column("lang").to_pylist()], np.int64)
+            langs = np.array([place[x or ""] for x in batch.column("lang").to_pylist()], np.int64)
             for c in chunks(batch.column("text")):
                 here = langs[c.first : c.first + len(c)]
                 start, end, text = c.words()
@@ -111,7 +109,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nd
     texts = docs.select("lang", "text")
     found = texts.mapInArrow(lambda b: tallies(b, None), schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
     # a word that is common overall is common in chunks that hold it all but a COMMON of the rest, so few candidates per language stay
-    candidates: dict[int, list[int]] = {k: [] for k in range(few + 1)}
+    candidates: dict[int, list[int]] = {k: [] for k in range(len(own))}
     for k, key in found.select("lang", "key").collect():
         candidates[k].append(key)
     wanted = {k: np.array(sorted(v), np.int64).astype(np.uint64) for k, v in candidates.items()}
@@ -121,13 +119,13 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nd
     refs = {}
     for k, (chars, size, words) in out.items():
         size = size.get(0, 0)
-        if not size:
+        if size < LEAST_WORDS:
             continue
         kept = {np.uint64(np.int64(w).astype(np.uint64)): n for w, n in words.items() if n >= COMMON * size}
         hashes = np.array(sorted(kept), np.uint64)
         shares = np.array([kept[w] for w in hashes] + [size - sum(kept.values())], float) / size
         chars = np.array([chars.get(j, 0) for j in range(N_CLASSES)], float)
-        refs[own[k] if k < few else "*"] = (chars / chars.sum(), hashes, shares)
+        refs[own[k]] = (chars / chars.sum(), hashes, shares)
     return refs
 
 
@@ -151,6 +149,7 @@ def judge(docs: DataFrame, refs: dict) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
+            has_reference = np.array([(x or "") in refs for x in batch.column("lang").to_pylist()], bool)
             for c in chunks(batch.column("text")):
                 base, (start, end, text) = base_counts(c)
                 n, chars = base["n_words"], char_classes(c)
@@ -171,17 +170,19 @@ def judge(docs: DataFrame, refs: dict) -> DataFrame:
                     word_d, char_d, which = np.where(nearer, dw, word_d), np.where(nearer, dc, char_d), np.where(nearer, r, which)
                 failed = (n < 50) | (100 * base["n_repeat_words"] > 50 * n)
                 far = ((n >= MIN_WORDS) & (word_d > MAX_WORD_DISTANCE)) | ((n_chars >= MIN_CHARS) & (char_d > MAX_CHAR_DISTANCE))
+                far &= has_reference[c.first : c.first + len(c)]
                 columns = {"doc_id": batch.column("doc_id").slice(c.first, len(c)).cast(pa.int64())} | {k: pa.array(v, pa.int64()) for k, v in base.items()}
                 columns |= {"base_failed": pa.array(failed), "reference": pc.take(pa.array([*names, None], pa.string()), pa.array(which % (len(names) + 1))), "word_distance": pa.array(word_d), "char_distance": pa.array(char_d), "kept": pa.array(~failed & ~far)}
                 yield pa.record_batch(columns)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, reference string, word_distance double, char_distance double, kept boolean")
+    return docs.select("doc_id", "lang", "text").mapInArrow(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, reference string, word_distance double, char_distance double, kept boolean")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns. Equal texts get equal verdicts, so the text's hash and doc_id join them."""
-    kept = judge(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), references(docs)).where("kept").select(F.col("doc_id").alias("_h")).distinct()
-    return docs.join(kept, F.xxhash64("doc_id", "text") == F.col("_h"), "left_semi")
+    """The documents that are kept, with all their columns. Equal texts of one lang get equal verdicts, so their hash with doc_id joins them."""
+    h = F.xxhash64("doc_id", "lang", "text")
+    kept = judge(docs.select(h.alias("doc_id"), "lang", "text"), references(docs)).where("kept").select(F.col("doc_id").alias("_h")).distinct()
+    return docs.join(kept, h == F.col("_h"), "left_semi")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -359,3 +359,19 @@ def test_one_of_each_keeps_nulls_and_shared_ids(spark):
     given = [(1, a), (1, a), (None, b), (None, b), (None, None), (None, c), (2, ""), (2, ""), (3, b), (3, c), (4, d), (5, d + " end"), (5, a + " end"), (6, a)]
     found = jaccard_join.one_of_each(spark.createDataFrame(given, "doc_id long, text string"))
     assert Counter(tuple(r) for r in found.collect()) == Counter([(1, a), (None, b), (None, b), (None, None), (None, c), (2, ""), (2, ""), (3, b), (3, c), (4, d)])
+
+
+def test_quality_keeps_rare_languages(spark):
+    """Languages of under 1 % of the rows, with a reference and too small for one."""
+    rng = random.Random(4)
+    common = {lang: [lang + a + b for a in "bcdfgh" for b in "aeiou"] for lang in ("qa", "wu", "zy", "ki", "mo")}
+
+    def text(lang, n):
+        return " ".join(rng.choice(common[lang]) if rng.random() < 0.5 else lang + "".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+    given = [(k, text("qa", 60), "qa") for k in range(700)] + [(1000 + 10 * j + k, text(lang, 1500), lang) for j, lang in enumerate(("wu", "zy", "ki")) for k in range(5)] + [(2000, text("mo", 800), "mo")]
+    docs = spark.createDataFrame(given, "doc_id long, text string, lang string")
+    refs = quality.references(docs)
+    assert sorted(refs) == ["ki", "qa", "wu", "zy"]
+    found = {r["doc_id"]: r for r in quality.judge(docs, refs).collect()}
+    assert all(found[i]["kept"] for i, _, lang in given if lang != "qa") and all(found[i]["reference"] == lang for i, _, lang in given if lang in ("wu", "zy", "ki"))
