@@ -11,6 +11,7 @@ from paceline.functions.scalars import activity_type, compass, seconds
 from paceline.operators import active_time, elevation, laps, splits, steps, summary, weather
 from paceline.plans import batch
 from paceline.plans.oracles import BASE, LAPS, SEGMENTS, SPANS, STRICT, TOLERANT
+from paceline.scratch import materialize
 from paceline.sources.testbed import CAP_S, activities, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,7 +152,7 @@ lap_out AS (SELECT *, CASE WHEN dist > 0 AND dur > 0 THEN dur * 1000 / dist END
 
 def _lap_rows(spark: SparkSession, sf_dir: str):
     a, records, timelines = prepared(spark, sf_dir)
-    return a, records, timelines, laps.lap_rows(a.laps, records, timelines, CAP_S)
+    return a, records, timelines, materialize(laps.lap_rows(a.laps, records, timelines, CAP_S), "lap-rows")
 
 
 @query(BASE + STRICT + SPANS + LAPS + ROWS + """z AS (SELECT 1)

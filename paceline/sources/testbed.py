@@ -2,6 +2,9 @@
 
 This mapping is our own: a user is an activity, running value sums are distances, signups and errors
 start and stop the timer, every ten events are a native lap. Some values are left out on purpose.
+
+The tables are written once per application to the shared scratch folder, as a store of decoded
+recordings would have them, and every query reads them from there.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from paceline.operators.active_time import strict_timeline, with_elapsed
 from paceline.operators.steps import attach_steps
 from paceline.schema import Activities
+from paceline.scratch import materialize
 
 #: Seconds that one sample covers at most here; events of one user are hours apart.
 CAP_S = 43_200.0
@@ -27,7 +31,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").cast("string").alias("activity_id"), "user_id", F.row_number().over(w).cast("long").alias("pos"), "ts", "event_type", F.sum(F.round(F.col("value") * 100).cast("long")).over(w).alias("cm"), k.alias("k"))
 
 
-def activities(spark: SparkSession, sf_dir: str) -> Activities:
+def mapped(spark: SparkSession, sf_dir: str) -> Activities:
+    """The tables as plans over events."""
     e = _events(spark, sf_dir)
     k = F.col("k")
     none = F.lit(None).cast("double")
@@ -70,7 +75,30 @@ def activities(spark: SparkSession, sf_dir: str) -> Activities:
     return Activities(sessions, records, attach_steps(laps, steps), timer, steps)
 
 
+#: Stored tables by application and folder.
+_STORED: dict[tuple[str, str, str], DataFrame | Activities] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
+
+
+def activities(spark: SparkSession, sf_dir: str) -> Activities:
+    """The stored tables; records lie together by activity."""
+
+    def make() -> Activities:
+        a = mapped(spark, sf_dir)
+        records = materialize(a.records, "records")
+        return Activities(materialize(a.sessions, "sessions"), records, materialize(a.laps, "laps"), materialize(a.timer_events, "timer-events"), materialize(a.steps, "steps"))
+
+    return _once(spark, sf_dir, "activities", make)
+
+
 def prepared(spark: SparkSession, sf_dir: str) -> tuple[Activities, DataFrame, DataFrame]:
-    """The tables, records with elapsed_s, and strict timelines."""
+    """The tables, records with elapsed_s, and strict timelines; stored as well."""
     a = activities(spark, sf_dir)
-    return a, with_elapsed(a.records, a.timer_events), strict_timeline(a.sessions, a.timer_events)
+    records = _once(spark, sf_dir, "elapsed", lambda: materialize(with_elapsed(a.records, a.timer_events), "elapsed"))
+    return a, records, _once(spark, sf_dir, "timelines", lambda: materialize(strict_timeline(a.sessions, a.timer_events), "timelines"))
