@@ -1,39 +1,22 @@
-"""Tables and folders that driver and executors share."""
+"""Tables that driver and executors share, and checks of what callers give."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
+from paceline.scratch import discard, materialize, new_path, shared_dir, unused
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session has none, as in tests."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")  # what the write has shuffled isn't needed after it
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "documents", "integer_ids", "materialize", "new_path", "shared_dir", "unused"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def integer_ids(docs: DataFrame, column: str = "doc_id") -> DataFrame:
+    """docs, if its ids are whole numbers; a clear error at once otherwise."""
+    kind = docs.schema[column].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{column} must be a whole number, not {kind.simpleString()}")
+    return docs

@@ -17,6 +17,7 @@ import pyarrow as pa
 #: Bytes of text that are worked on at once; one longer text is a chunk of its own.
 CHUNK = 1 << 21
 BASE = np.uint64(0x9E3779B97F4A7C15)
+PRIME, PRIME_BASE = np.uint64(2**31 - 1), 1_340_157_139
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that begin a code point.
@@ -49,6 +50,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+@cache
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of PRIME_BASE and of its inverse, modulo PRIME; n is a power of two."""
+    out = []
+    for b in (PRIME_BASE, pow(PRIME_BASE, -1, int(PRIME))):
+        p = np.ones(1, np.uint64)
+        while len(p) < n:
+            p = np.concatenate((p, p * np.uint64(pow(b, len(p), int(PRIME))) % PRIME))
+        out.append(p.astype(np.uint32))
+    return out[0], out[1]
+
+
+PRIME_BYTES, PRIME_BYTES_LOWER = (t >> np.uint64(33) for t in (BYTES, BYTES_LOWER))
+
+
 @dataclass
 class Chunk:
     """first: the row of the batch its first text has; offsets: where texts begin in data."""
@@ -93,7 +109,13 @@ class Chunk:
         table = BYTES_LOWER if lower else BYTES
         with np.errstate(over="ignore"):
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[self.data] * up[: len(self.data)], dtype=np.uint64)))
-            return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            first = (sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            up, down = prime_powers(size)
+            terms = (PRIME_BYTES_LOWER if lower else PRIME_BYTES)[self.data] * up[: len(self.data)]  # below 2**62
+            terms = (terms & PRIME) + (terms >> np.uint64(31))  # below 2**32, so sums of a chunk stay exact
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+            second = (sums[end] - sums[start]) % PRIME * down[start] % PRIME
+            return mix(first ^ mix(second + BASE))
 
 
 def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
