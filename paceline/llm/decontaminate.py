@@ -1,16 +1,16 @@
 """Operator 2: benchmark decontamination, DataFrame functions only.
 
 Texts are lower-cased (A-Z) and cut into words; a benchmark item gives windows of 13 consecutive
-words, or one window of all its words if it has fewer. The distinct windows are hashed; up to
-``MAX_BROADCAST`` of them go to the executors as a hash set inside the plan, where each document row
-tests its own windows without a shuffle. Beyond that bound the windows of the documents are joined to
-the benchmark's by hash instead. Either way surviving windows carry their words and are verified by an
-equi-join on the exact words.
+words, or one window of all its words if it has fewer. Every window of a document is looked up by its
+64-bit hash in broadcast hash sets of the benchmark's windows, right where the document is read, so no
+document window is shuffled. The sets hold ``BLOCK`` windows each: a larger benchmark gives more sets
+that one scan looks up in turn, and the plan is the same at every size. Only what is found leaves the
+scan, with its words, and is verified by an equi-join on them.
 
 Defined cases: null or wordless text has no words, no hits, and is not contaminated; items without
 words give no window; repeated rows give one result row each; a null doc_id is an ordinary key; an
 empty benchmark or document table gives zero hits or no rows; other columns are ignored by ``report``
-and kept by the two removal modes.
+and kept by the two removal modes, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.shared import documents, materialize
+from paceline.llm.shared import documents, materialize, unused
 
 WINDOW = 13
-#: Most distinct window hashes that are sent with the plan; 8 bytes each and one literal.
-MAX_BROADCAST = 50_000
+#: Window hashes of one broadcast set, of 8 bytes each (some 40 MB as a hash table).
+BLOCK = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word of the original text with what stands before it; for cutting spans out.
@@ -33,40 +33,34 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """One row per distinct window: its length k, its words as one string, and the items it occurs in."""
-    w = benchmark.select(F.col("item_id").alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0")
-    k = f"least(size(w), {WINDOW})"
-    return (
-        w.select("item", F.expr(k).alias("k"), F.explode(F.expr(f"transform(sequence(0, size(w) - {k}), i -> slice(w, i + 1, {k}))")).alias("win"))
-        .groupBy("k", F.array_join("win", " ").alias("win_words"))
-        .agg(F.collect_set("item").alias("items"), F.first(F.xxhash64("win")).alias("h"))
-    )
+def window_hash(hashes: str, i: str, k: str | int) -> str:
+    """SQL for the hash of the k words from i on (the first is 0), of their hashes and k."""
+    return f"xxhash64({k}, slice({hashes}, {i} + 1, {k}))"
 
 
-def candidates(docs: DataFrame, windows: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """doc_id, th (hash of the text), n_words, cand: array of (pos, k, win_words) whose hash is a window's."""
-    base = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
-    n = windows.count()
-    if n <= max_broadcast:
-        by_length: dict[int, list[int]] = {}
-        for k, h in windows.select("k", "h").collect():  # at most max_broadcast rows
-            by_length.setdefault(k, []).append(h)
-        parts = [
-            f"transform(filter(if(size(w) >= {k}, sequence(0, size(w) - {k}), array()), i -> xxhash64(slice(w, i + 1, {k})) in ({', '.join(f'{h}L' if h > -(2**63) else 'cast(-9223372036854775808 as bigint)' for h in sorted(hs))})),"
-            f" i -> struct(i as pos, {k} as k, array_join(slice(w, i + 1, {k}), ' ') as win_words))"
-            for k, hs in sorted(by_length.items())
-        ]
-        cand = F.expr("concat(" + ", ".join(parts) + ")") if parts else F.expr("cast(array() as array<struct<pos:int,k:int,win_words:string>>)")
-        return base.select("doc_id", "th", F.size("w").cast("long").alias("n_words"), cand.alias("cand"))
-    lengths = [r[0] for r in windows.select("k").distinct().collect()]  # at most WINDOW numbers
-    at = "concat(" + ", ".join(f"if(size(w) >= {k}, transform(sequence(0, size(w) - {k}), i -> struct(i as pos, {k} as k, xxhash64(slice(w, i + 1, {k})) as h)), array())" for k in lengths) + ")"
-    hashed = base.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", F.explode(F.expr(at)).alias("x")).select("doc_id", "th", "x.*")
-    kept = hashed.join(windows.select("k", "h").distinct(), ["k", "h"]).groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("pos", "k")).alias("at"))
-    return base.join(kept, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select(
-        "doc_id", "th", F.size("w").cast("long").alias("n_words"),
-        F.expr("coalesce(transform(at, x -> struct(x.pos as pos, x.k as k, array_join(slice(w, x.pos + 1, x.k), ' ') as win_words)), array())").alias("cand"),
-    )
+def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+    """One row per distinct window: its length k, its words as one string, its hash and the items it occurs in."""
+    w = benchmark.select(F.col("item_id").alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0").withColumn("k", F.expr(f"cast(least(size(w), {WINDOW}) as int)"))
+    each = w.select("item", "k", F.explode(F.expr("transform(sequence(0, size(w) - k), i -> slice(w, i + 1, k))")).alias("win")).withColumn("hashes", F.transform("win", lambda x: F.xxhash64(x)))
+    return each.groupBy("k", F.array_join("win", " ").alias("win_words")).agg(F.collect_set("item").alias("items"), F.first(F.expr(window_hash("hashes", "0", "k"))).alias("h"))
+
+
+def scanned(docs: DataFrame, windows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Per document row one row with pos -1, and one for each of its windows (pos, k, win_words) whose hash is a benchmark window's; rid numbers the document rows."""
+    lengths, n = windows.agg(F.sort_array(F.collect_set("k")), F.count_distinct("h")).first()  # at most WINDOW lengths
+    blocks = max(1, -(-n // block))
+    base = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w")).withColumns({"rid": F.monotonically_increasing_id(), "hashes": F.transform("w", lambda x: F.xxhash64(x))})
+    every = ["array(named_struct('pos', -1, 'k', 0, 'h', 0L))"] + [
+        f"if(size(w) >= {k}, transform(sequence(0, size(w) - {k}), i -> named_struct('pos', i, 'k', {k}, 'h', {window_hash('hashes', 'i', k)})), array())" for k in lengths
+    ]
+    rows = base.select("rid", "doc_id", "th", "w", F.explode(F.expr(f"concat({', '.join(every)})")).alias("x"))
+    hashes = windows.select("h").distinct()
+    found = F.col("x.pos") < 0
+    for b in range(blocks):
+        one = hashes.where(F.pmod("h", F.lit(blocks)) == b).select(F.col("h").alias(f"h{b}"))
+        rows = rows.join(F.broadcast(one), F.col("x.h") == F.col(f"h{b}"), "left")
+        found |= F.col(f"h{b}").isNotNull()
+    return rows.where(found).select("rid", "doc_id", "th", F.size("w").cast("long").alias("n_words"), "x.pos", "x.k", F.expr("if(x.pos < 0, null, array_join(slice(w, greatest(x.pos, 0) + 1, x.k), ' '))").alias("win_words"))
 
 
 #: Words inside any of the sorted spans (pos, k): each span adds what lies beyond the furthest end so far.
@@ -76,14 +70,13 @@ COVERED = (
 )
 
 
-def report(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per document row: doc_id, th, n_words, n_hit, n_items, items (sorted strings), spans, contaminated."""
     windows = materialize(benchmark_windows(benchmark), "bench-windows")
-    cand = materialize(candidates(docs, windows, max_broadcast), "window-candidates")
+    seen = materialize(scanned(docs, windows, block), "window-hits")
     hit = (
-        cand.where("size(cand) > 0").select("doc_id", "th", F.explode("cand").alias("c")).select("doc_id", "th", "c.*")
-        .join(windows.select("k", "win_words", "items"), ["k", "win_words"])
-        .groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t"))
+        seen.where("pos >= 0").join(windows.select("k", "win_words", "items"), ["k", "win_words"])
+        .groupBy("rid")
         .agg(
             F.array_sort(F.collect_set(F.struct("pos", "k"))).alias("spans"),
             F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("items"))), lambda x: x.cast("string"))).alias("items"),
@@ -91,7 +84,7 @@ def report(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROAD
         .withColumn("n_hit", F.expr(COVERED))
     )
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return cand.join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select(
+    return seen.where("pos < 0").select("rid", "doc_id", "th", "n_words").join(hit, "rid", "left").select(
         "doc_id", "th", "n_words", n_hit.alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -100,20 +93,26 @@ def report(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROAD
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """docs without its contaminated documents, or (mode "spans") with the hit words cut out of all texts."""
-    found = report(docs, benchmark, max_broadcast).where("n_hit > 0" if mode == "spans" else "contaminated").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("spans").alias("_spans")).dropDuplicates(["_d", "_t"])
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", block: int = BLOCK) -> DataFrame:
+    """docs without its contaminated documents, or (mode "spans") with the hit words cut out of all texts.
+
+    The documents concerned are a table of ids and text hashes; Spark sends it to all tasks or shuffles by its size.
+    """
+    if mode not in ("documents", "spans"):
+        raise ValueError("mode: documents or spans")
+    wanted = report(docs, benchmark, block).where("n_hit > 0" if mode == "spans" else "contaminated").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("spans").alias("s")).dropDuplicates(["d", "t"])
+    found = materialize(wanted, "found")
+    id_of, hash_of, spans, segments = (unused(n, docs) for n in ("hit_id", "hit_hash", "hit_spans", "hit_segments"))
+    found = found.select(F.col("d").alias(id_of), F.col("t").alias(hash_of), F.col("s").alias(spans))
+    same = docs["doc_id"].eqNullSafe(found[id_of]) & (F.xxhash64(docs["text"]) == found[hash_of])
     if mode == "documents":
         return docs.join(found, same, "left_anti")
-    if mode != "spans":
-        raise ValueError("mode: documents or spans")
-    segments = F.regexp_extract_all("text", F.lit(SEGMENT), F.lit(0))
-    cut = F.expr("flatten(transform(_spans, s -> sequence(s.pos, s.pos + s.k - 1)))")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_segments") - 1), cut)
+    joined = docs.join(found, same, "left").withColumn(segments, F.regexp_extract_all("text", F.lit(SEGMENT), F.lit(0)))
+    cut = F.flatten(F.transform(F.col(spans), lambda s: F.sequence(s["pos"], s["pos"] + s["k"] - 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(segments) - 1), cut)
     tail = F.regexp_extract("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform(left, lambda i: F.get("_segments", i)), ""), tail))
-    return docs.join(found, same, "left").withColumn("_segments", segments).withColumn("text", text).select(*docs.columns)
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform(left, lambda i: F.get(segments, i)), ""), tail))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
