@@ -3,16 +3,18 @@
 A first linear model predicts the language family from hashed character n-grams; within a family,
 one-versus-one linear support vector machines separate its languages and the votes' margins decide.
 Features are counts of letter n-grams (1 to 4 letters with word edges, A-Z lower-cased) hashed into
-2**BITS cells; a text's vector is the square roots of its shares, of length one. All models are fitted
-on the driver from a bounded sample: at most ``PER_LANGUAGE`` labelled texts of each language, the
-first by a hash of doc_id and text, of up to ``TRAIN_CHARS`` characters (longer ones only where a
-language has no shorter; predictions read whole texts). Languages without an entry in ``FAMILIES`` are families
-of their own. At most ``MAX_LANGUAGES`` languages (the most frequent) are learned.
+2**BITS cells; a text's vector is the square roots of its shares, of length one. The models learn from a
+bounded sample: at most ``PER_LANGUAGE`` labelled texts of each language, the first by a hash of doc_id
+and text, drawn in one pass; every language with labelled texts is learned. Each binary model - a family
+against all others, or a pair of languages of one family - is fitted by a Spark task of its own, a
+family's from at most ``PER_FAMILY`` texts of each side. Only the weights come to the driver; their number
+depends on the languages alone. In prediction only the pairs of a text's predicted family are scored.
+Languages without an entry in ``FAMILIES`` are families of their own.
 
 Defined cases: null texts and texts without a letter get ``und`` with score 0; without any labelled
 text all do; with one language there is nothing to discriminate and every other text gets it; rows
 with null lang or null doc_id are never learned from; repeated rows get a row each; an empty table gives
-no rows.
+no rows; other columns are ignored by ``predict`` and kept by ``filter_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,17 +24,16 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.shared import documents
+from paceline.llm.shared import discard, documents, integer_ids, materialize
 from paceline.llm.textnp import LEADS, chunks, mix
 
 BITS = 16
 CELLS = 1 << BITS
-PER_LANGUAGE = 500
-TRAIN_CHARS = 8000
-MAX_LANGUAGES = 64
+PER_LANGUAGE = 800
+PER_FAMILY = 4000
 UNKNOWN = "und"
 #: Bytes of text whose n-grams are held at once.
 GRAMS_CHUNK = 1 << 18
@@ -124,96 +125,122 @@ def svm(text, cell, weight, y: np.ndarray, epochs: int = 12, c: float = 10.0) ->
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """At most per_language training rows of each language: lang, text. The share that is wanted comes from counts, the exact bound from their ranks."""
+    """At most per_language training rows of each language: lang, text, h. Their share comes from counts, the exact bound from their ranks."""
     train = docs.where("lang is not null and text is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 != 2").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    short = F.length("text") <= TRAIN_CHARS
-    sizes = train.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("n_short")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return train.limit(0).select("lang", "text")
-    share, fit_for = F.lit(0.0), short
-    for lang, n, n_short in sizes:
-        share = F.when(F.col("lang") == lang, min(1.0, 1.2 * per_language / (n_short or n))).otherwise(share)
-        fit_for = fit_for if n_short else fit_for | (F.col("lang") == lang)
-    near = train.where(fit_for & (F.pmod("h", F.lit(1_000_003)) < share * 1_000_003))
-    parts = [near.where(F.col("lang") == lang).orderBy("h").limit(per_language).select("lang", "text") for lang, _, _ in sizes]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
-
-
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
-    """Family model, pair models and their slopes, as small arrays (float32, one row per model)."""
-    rows = sorted((r[0], r[1]) for r in sample(docs, per_language).collect())  # MAX_LANGUAGES * PER_LANGUAGE at most
-    langs = sorted({r[0] for r in rows})
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("of"), F.least(F.lit(1.0), 1.2 * per_language / F.col("n") + 40 / F.col("n")).alias("share"))
+    sizes = materialize(sizes, "languages")  # a row per language
+    near = train.join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    return ranked.where(F.col("k") <= per_language).select("lang", "text", "h")
+
+
+def models_of(langs: list[str]) -> tuple[list[str], list[int], list[tuple[int, int]]]:
+    """Families, the family of each language, and the pairs of languages within families."""
     families = sorted({FAMILY_OF.get(x, x) for x in langs})
-    model = {"langs": langs, "families": families, "family_of": [families.index(FAMILY_OF.get(x, x)) for x in langs], "pairs": [], "family_w": np.zeros((0, CELLS + 1), np.float32), "pair_w": np.zeros((0, CELLS + 1), np.float32)}
-    if not rows:
-        return model
-    label = np.array([langs.index(r[0]) for r in rows])
-    parts = [(t + c.first, f, w) for c in chunks(pa.array([r[1] for r in rows], pa.string()), GRAMS_CHUNK) for t, f, w in [vectors(c)]]
+    of = [families.index(FAMILY_OF.get(x, x)) for x in langs]
+    return families, of, [(a, b) for a in range(len(langs)) for b in range(a + 1, len(langs)) if of[a] == of[b]]
+
+
+def fit_model(texts: list[str], y: np.ndarray) -> np.ndarray:
+    """One binary model's weights and bias."""
+    parts = [(t + c.first, f, w) for c in chunks(pa.array(texts, pa.string()), GRAMS_CHUNK) for t, f, w in [vectors(c)]]
     text, cell, weight = (np.concatenate(x).astype(kind) for x, kind in zip(zip(*parts, strict=True), (np.int32, np.int32, np.float32), strict=True))
-    del parts
-    family = np.array(model["family_of"])[label]
+    return svm(text, cell, weight, y).astype(np.float32)
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, per_family: int = PER_FAMILY) -> dict:
+    """Family models and pair models, as small arrays (float32, one row per model)."""
+    spark = docs.sparkSession
+    rows = materialize(sample(docs, per_language), "language-sample")
+    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    families, of, pairs = models_of(langs)
+    model = {"langs": langs, "families": families, "family_of": of, "pairs": pairs, "family_w": np.zeros((0, CELLS + 1), np.float32), "pair_w": np.zeros((0, CELLS + 1), np.float32)}
+    # the sides of each model: family models first
+    sides = [(m, lang, bool(of[k] == m)) for m in range(len(families)) for k, lang in enumerate(langs)] if len(families) > 1 else []
+    sides += [(len(families) + m, langs[x], x == pair[0]) for m, pair in enumerate(pairs) for x in pair]
+    if not sides:
+        return model
 
-    def subset(of: np.ndarray):
-        new = np.cumsum(of) - 1
-        keep = of[text]
-        return new[text[keep]], cell[keep], weight[keep]
+    def learn(key, table):
+        table = table.sort_by([("h", "ascending"), ("text", "ascending")])
+        y = np.where(table.column("side").to_numpy(zero_copy_only=False), 1, -1)
+        return pa.table({"model": [key[0].as_py()], "w": pa.array([fit_model(table.column("text").to_pylist(), y)], pa.list_(pa.float32()))}, schema=pa.schema([("model", pa.int32()), ("w", pa.list_(pa.float32()))]))
 
-    everything = np.ones(len(rows), bool)
+    table = spark.createDataFrame(sides, "model int, of string, side boolean")
+    dealt = rows.join(F.broadcast(table), F.col("lang") == F.col("of")).withColumn("k", F.row_number().over(Window.partitionBy("model", "side").orderBy("h")))
+    dealt = dealt.where((F.col("model") >= len(families)) | (F.col("k") <= per_family)).select("model", "side", "h", "text")
+    fitted = {r[0]: r[1] for r in dealt.groupBy("model").applyInArrow(learn, "model int, w array<float>").toArrow().to_pandas().itertuples(index=False)}
+    discard(rows)
     if len(families) > 1:
-        model["family_w"] = np.stack([svm(*subset(everything), np.where(family == k, 1, -1)) for k in range(len(families))]).astype(np.float32)
-    pairs = [(a, b) for a in range(len(langs)) for b in range(a + 1, len(langs)) if model["family_of"][a] == model["family_of"][b]]
-    model["pairs"] = pairs
+        model["family_w"] = np.stack([np.asarray(fitted[k], np.float32) for k in range(len(families))])
     if pairs:
-        model["pair_w"] = np.stack([svm(*subset(of), np.where(label[of] == a, 1, -1)) for a, b in pairs for of in [(label == a) | (label == b)]]).astype(np.float32)
+        model["pair_w"] = np.stack([np.asarray(fitted[len(families) + k], np.float32) for k in range(len(pairs))])
     return model
 
 
+SHARP = 4.0  # margins of one mean 0.98
+
+
 def scores(c, model: dict) -> tuple[np.ndarray, np.ndarray]:
     """Index of the predicted language and its score, per text of a chunk."""
-    langs, of = model["langs"], np.array(model["family_of"])
+    of = np.array(model["family_of"])
     text, cell, weight = vectors(c)
     n = len(c)
-    sharp = 4.0  # margins of one mean 0.98
     f = sums(text, cell, weight, model["family_w"], n) + model["family_w"][:, CELLS] if len(model["family_w"]) else np.zeros((n, 1))
-    p_family = np.exp(sharp * (f - f.max(axis=1, keepdims=True)))
+    p_family = np.exp(SHARP * (f - f.max(axis=1, keepdims=True)))
     p_family /= p_family.sum(axis=1, keepdims=True)
     family = f.argmax(axis=1)
-    m = sums(text, cell, weight, model["pair_w"], n) + model["pair_w"][:, CELLS]
-    strength = np.zeros((n, len(langs)))
-    for k, (a, b) in enumerate(model["pairs"]):
-        p = 1 / (1 + np.exp(-sharp * np.clip(m[:, k], -20, 20)))
-        strength[:, a] += np.log(np.maximum(p, 1e-12))
-        strength[:, b] += np.log(np.maximum(1 - p, 1e-12))
-    strength = np.where(of[None, :] == family[:, None], strength, -np.inf)
-    best = strength.argmax(axis=1)
-    p_lang = np.exp(strength - strength.max(axis=1, keepdims=True))
-    p_lang /= p_lang.sum(axis=1, keepdims=True)
-    at = np.arange(n)
-    return best, p_family[at, family] * p_lang[at, best]
+    best, score = np.zeros(n, np.int64), p_family[np.arange(n), family]
+    for k in np.unique(family):  # only the pairs of the predicted family
+        members = np.flatnonzero(of == k)
+        here = np.flatnonzero(family == k)
+        best[here] = members[0]
+        ours = [j for j, (a, _) in enumerate(model["pairs"]) if of[a] == k]
+        if not ours:
+            continue
+        place = np.full(n, -1)
+        place[here] = np.arange(len(here))
+        rows = place[text] >= 0
+        w = model["pair_w"][ours]
+        m = sums(place[text[rows]], cell[rows], weight[rows], w, len(here)) + w[:, CELLS]
+        strength = np.zeros((len(here), len(members)))
+        for col, j in enumerate(ours):
+            a, b = (int(np.searchsorted(members, x)) for x in model["pairs"][j])
+            p = 1 / (1 + np.exp(-SHARP * np.clip(m[:, col], -20, 20)))
+            strength[:, a] += np.log(np.maximum(p, 1e-12))
+            strength[:, b] += np.log(np.maximum(1 - p, 1e-12))
+        p_lang = np.exp(strength - strength.max(axis=1, keepdims=True))
+        p_lang /= p_lang.sum(axis=1, keepdims=True)
+        top = strength.argmax(axis=1)
+        best[here] = members[top]
+        score[here] *= p_lang[np.arange(len(here)), top]
+    return best, score
+
+
+def judged(batch, model: dict):
+    """Predicted names and scores of the texts of a batch, chunk by chunk."""
+    for c in chunks(batch.column("text"), GRAMS_CHUNK):
+        part = batch.column("text").slice(c.first, len(c))
+        lettered = np.array([bool(x and LETTER.search(x)) for x in part.to_pylist()])
+        if model["langs"]:
+            best, score = scores(c, model)
+            names = pc.take(pa.array(model["langs"], pa.string()), pa.array(best))
+        else:
+            names, score, lettered = pa.array([UNKNOWN] * len(c)), np.zeros(len(c)), np.zeros(len(c), bool)
+        yield c, pc.if_else(pa.array(lettered), names, UNKNOWN), np.where(lettered, score, 0.0)
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGUAGES ** 2 / 2 rows of CELLS floats at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a row of CELLS floats for each family and pair
 
     def rows(batches):
-        m = shared.value
         for batch in batches:
-            for c in chunks(batch.column("text"), GRAMS_CHUNK):
+            for c, names, score in judged(batch, shared.value):
                 part = batch.slice(c.first, len(c))
-                lettered = np.array([bool(x and LETTER.search(x)) for x in part.column("text").to_pylist()])
-                if m["langs"]:
-                    best, score = scores(c, m)
-                    names = pc.take(pa.array(m["langs"], pa.string()), pa.array(best))
-                else:
-                    names, score, lettered = pa.array([UNKNOWN] * len(c)), np.zeros(len(c)), np.zeros(len(c), bool)
-                names = pc.if_else(pa.array(lettered), names, UNKNOWN)
-                yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "held_out": part.column("held_out"), "lang_pred": names, "score": pa.array(np.where(lettered, score, 0.0))})
-
-    given = docs.select("doc_id", "text", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.lit(False)).alias("held_out"))
+                yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "held_out": part.column("held_out"), "lang_pred": names, "score": pa.array(score)})
+
+    given = integer_ids(docs).select("doc_id", "text", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.lit(False)).alias("held_out"))
     return given.mapInArrow(rows, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -222,10 +249,16 @@ LEAST_SCORE = 0.4
 
 
 def filter_documents(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The documents with a recognised language; all columns stay as they are."""
-    hashed = docs.select("doc_id", "text", "lang")
-    known = predict(hashed.withColumn("doc_id", F.xxhash64("doc_id", "text")), fit(hashed)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(F.col("doc_id").alias("_h")).distinct()
-    return docs.join(known, F.xxhash64("doc_id", "text") == F.col("_h"), "left_semi")
+    """The documents with a recognised language, with all their columns; each is judged where it is read."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text", "lang")))
+
+    def rows(batches):
+        for batch in batches:
+            kept = [np.asarray(pc.not_equal(names, UNKNOWN)) & (score >= least_score) for _, names, score in judged(batch, shared.value)]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
