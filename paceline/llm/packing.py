@@ -1,17 +1,19 @@
 """Operator 5: packing by cutting-stock column generation.
 
-Documents are cut into pieces of at most ``CAPACITY`` ids: whole capacities, then the rest. Lengths are
-rounded up to ``UNIT`` ids, which leaves at most CAPACITY / UNIT classes, so the histogram of classes has
-a proven bound whatever the input; it alone goes to the driver. There a linear program over patterns
-(how many pieces of each class share a sequence) is solved by column generation: the basis's prices go
-into an unbounded knapsack, solved by dynamic programming over the capacity, whose best pattern enters
-the basis until none is worth more than a sequence. Rounded-down pattern counts and a first-fit
-decreasing rest cover the histogram exactly. On the executors the pieces of a class are ranked (in
-salted groups with summed offsets, so one common length is no single task), and each rank falls into
-one interval of its class's slots, which names the sequence. Offsets are sums within a sequence.
+Documents are cut into pieces of at most ``CAPACITY`` ids: whole capacities, then the rest. Pieces of less
+than ``SHORT`` ids are first bundled, one after the other, until a bundle has ``SHORT`` of them or more; a
+bundle is then packed like a piece. Lengths are rounded up to ``UNIT`` ids, which leaves at most CAPACITY /
+UNIT classes, so the histogram of classes has a proven bound whatever the input; it alone goes to the
+driver. There a linear program over patterns (how many pieces of each class share a sequence) is solved by
+column generation: the basis's prices go into an unbounded knapsack, solved by dynamic programming over the
+capacity, whose best pattern enters the basis until none is worth more than a sequence. Rounded-down
+pattern counts and a first-fit decreasing rest cover the histogram exactly. On the executors the pieces of
+a class are ranked (in salted groups with summed offsets, so one common length is no single task; the
+salt is of a piece's number, so that equal rows are dealt as well), and each rank falls into one interval
+of its class's slots, which names the sequence. Offsets are sums within a sequence.
 
 Defined cases: null or empty text is its end id alone; repeated rows are pieces of their own; a null
-doc_id is an ordinary key; an empty table gives no rows; other columns are ignored.
+doc_id is an ordinary key; an empty table gives no rows; other columns are ignored; doc_ids of any type stay as they are.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,18 +31,21 @@ from paceline.llm.tokens import default_path, encoder
 
 CAPACITY = 4096
 UNIT = 8
+#: Pieces below this length are bundled to this length or a little more, so that rounding costs little.
+SHORT = 256
 END_ID = 2
 #: The linear program ends when no pattern is worth this much more than a sequence.
 GAP = 2e-4
 #: Rows that one task ranks.
-RANKED = 50_000
+RANKED = 10_000
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens (and ids)."""
+    """Pieces of all documents: piece (a number of its own), doc_id, start, length, ids_crc32, doc_tokens (and ids)."""
 
     def pieces(batches):
         texts = encoder(tokenizer)
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -55,10 +61,12 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
                         total.append(len(ids))
                         if with_ids:
                             ids_of.append(piece.astype(np.int32))
-                columns = {"doc_id": part.column("doc_id").take(pa.array(doc, pa.int64()))} | {n: pa.array(v, pa.int64()) for n, v in (("start", start), ("length", length), ("ids_crc32", crc), ("doc_tokens", total))}
+                columns = {"piece": pa.array(np.arange(number, number + len(doc)))} | {"doc_id": part.column("doc_id").take(pa.array(doc, pa.int64()))} | {n: pa.array(v, pa.int64()) for n, v in (("start", start), ("length", length), ("ids_crc32", crc), ("doc_tokens", total))}
+                number += len(doc)
                 yield pa.record_batch(columns | ({"ids": pa.array(ids_of, pa.list_(pa.int32()))} if with_ids else {}))
 
-    return docs.select("doc_id", "text").mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(pieces, f"piece long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
 
 
 def best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -87,29 +95,28 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP
     n = len(sizes)
     if not n:
         return []
-    basis = np.diag((capacity // sizes).astype(float))
-    inverse, x = np.linalg.inv(basis), counts / np.diag(basis)
-    for step in range(20 * n + 200):
+    most = (capacity // sizes).astype(float)
+    basis, inverse, x = np.diag(most), np.diag(1 / most), counts / most
+    for _ in range(20 * n + 200):
         if x.sum() <= (1 + gap) * (sizes @ counts) / capacity:  # no plan needs fewer sequences than ids fill
             break
         prices = inverse.sum(axis=0)
         value, pattern = best_pattern(prices, sizes, capacity)
         if value <= 1 + gap:
             break
-        d = inverse @ pattern
+        held = np.flatnonzero(pattern)
+        d = (inverse[:, held] * pattern[held]).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(d > 1e-9, x / d, np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
             break
         basis[:, out] = pattern
-        if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-        else:
-            row = inverse[out] / d[out]
-            inverse -= np.outer(d, row)
-            inverse[out] = row
-        x = np.maximum(inverse @ counts, 0)
+        row = inverse[out] / d[out]
+        inverse -= d[:, None] * row
+        inverse[out] = row
+        # small errors of many steps are harmless: the counts are rounded down and the rest is placed exactly
+        x = np.maximum((inverse * counts).sum(axis=1), 0)
     used: dict[tuple[int, ...], int] = {}
     left = counts.astype(np.int64).copy()
     for k in np.argsort(-x):
@@ -130,11 +137,23 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP
     return [(np.array(p), t) for p, t in used.items()]
 
 
+def bundled(pieces: DataFrame, salts: int, short: int = SHORT) -> DataFrame:
+    """pieces with salt, item (the piece itself, or the first piece of its bundle), inner (ids before it there) and item_length."""
+    dealt = pieces.withColumns({"salt": F.pmod(F.xxhash64("piece"), F.lit(salts)), "small": F.col("length") < short})
+    before = F.sum("length").over(Window.partitionBy("salt").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
+    few = dealt.where("small").withColumn("before", before).withColumn("bundle", F.floor(F.col("before") / short))
+    w = Window.partitionBy("salt", "bundle")
+    few = few.withColumns({"item": F.min("piece").over(w), "inner": F.col("before") - F.min("before").over(w), "item_length": F.sum("length").over(w)}).drop("before", "bundle", "small")
+    own = dealt.where("not small").drop("small").withColumns({"item": F.col("piece"), "inner": F.lit(0).cast("long"), "item_length": F.col("length")})
+    return own.unionByName(few)
+
+
 def assign(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
-    """pieces (doc_id, start, length, ...) with sequence_id, offset and sequence_tokens added."""
+    """pieces (piece, doc_id, start, length, ...) with sequence_id, offset and sequence_tokens added, and without piece."""
     spark = pieces.sparkSession
-    kind = F.ceil(F.col("length") / unit).cast("int")
-    histogram = sorted((r[0], r[1]) for r in pieces.groupBy(kind.alias("c")).count().collect())  # capacity / unit rows
+    items = materialize(bundled(pieces.select("piece", "length"), max(1, -(-pieces.count() // RANKED)), min(SHORT, capacity // 16)), "items")
+    first = items.where("inner = 0").select("item", "item_length", F.ceil(F.col("item_length") / unit).cast("int").alias("c"))
+    histogram = sorted((r[0], r[1]) for r in first.groupBy("c").count().collect())  # capacity / unit rows
     sizes, counts = np.array([c for c, _ in histogram], np.int64), np.array([n for _, n in histogram], np.int64)
     patterns = solve(sizes, counts, capacity // unit)
     slots, base, filled = [], 0, np.zeros(len(sizes), np.int64)
@@ -145,14 +164,16 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> Dat
         base += times
     table = spark.createDataFrame(slots, "c int, lo long, hi long, per long, base long")  # patterns x classes at most
     salts = max(1, -(-int(counts.max(initial=0)) // RANKED))
-    dealt = pieces.withColumns({"c": kind, "salt": F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts))})
+    dealt = first.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(salts)))
     before = dealt.groupBy("c", "salt").count().withColumn("before", F.sum("count").over(Window.partitionBy("c").orderBy("salt")) - F.col("count")).drop("count")
-    ranked = dealt.withColumn("k", F.row_number().over(Window.partitionBy("c", "salt").orderBy("doc_id", "start", "ids_crc32"))).join(before, ["c", "salt"])
+    ranked = dealt.withColumn("k", F.row_number().over(Window.partitionBy("c", "salt").orderBy("item"))).join(before, ["c", "salt"])
     placed = ranked.withColumn("rank", F.col("before") + F.col("k") - 1).alias("p").join(F.broadcast(table).alias("t"), F.expr("p.c = t.c and p.rank >= t.lo and p.rank < t.hi"))
-    placed = placed.select("p.*", F.expr("base + (rank - lo) div per").alias("sequence_id"))
+    placed = placed.select("p.item", "p.item_length", "p.c", "p.rank", F.expr("base + (rank - lo) div per").alias("sequence_id"))
     inside = Window.partitionBy("sequence_id")
     order = inside.orderBy(F.desc("c"), "rank").rowsBetween(Window.unboundedPreceding, 0)
-    return placed.select(*pieces.columns, "sequence_id", (F.sum("length").over(order) - F.col("length")).alias("offset"), F.sum("length").over(inside).alias("sequence_tokens"))
+    placed = placed.select("item", "sequence_id", (F.sum("item_length").over(order) - F.col("item_length")).alias("at"), F.sum("item_length").over(inside).alias("sequence_tokens"))
+    own = items.join(placed, "item").select("piece", "sequence_id", (F.col("at") + F.col("inner")).alias("offset"), "sequence_tokens")
+    return pieces.join(own, "piece").drop("piece")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
