@@ -6,13 +6,13 @@ language by the Jensen-Shannon distance (base 2, the square root of the divergen
 two distances sum to least is the text's. A distance counts only from a least length on, and its limit
 is widened by what chance adds to the divergence of a text of that length. References come from the
 whole table, by its ``lang`` (null is a language of its own; one of fewer than ``LEAST_WORDS`` words has no
-reference, and for its documents only the counting rules count): words that make up at least ``COMMON`` of a language's words, hence
-at most 1 / COMMON of them. They are found exactly in two passes: a word with that share has it in at
-least one chunk of the table, so the chunks' own common words are the candidates that are then counted.
+reference, and for its documents only the counting rules count): words that make up at least ``COMMON`` of
+a language's words, hence at most 1 / COMMON of them. All words are counted in one pass, by tasks first
+and then in Spark; only these common ones come to the driver.
 
 Defined cases: null, empty and wordless texts have zero counts, fail the base rules and are not kept;
 repeated rows get a row each; null doc_ids stay null; an empty table gives no rows; other columns are
-ignored here and kept by ``filter_documents``.
+ignored here and kept by ``filter_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.shared import documents
+from paceline.llm.shared import discard, documents, integer_ids, materialize
 from paceline.llm.textnp import LEADS, WHITE, chunks, keyed, windows
 
 COMMON = 0.002
 #: Least words and characters from which a distance counts, and the distances allowed.
-MIN_WORDS, MIN_CHARS = 50, 200
+MIN_WORDS, MIN_CHARS = 80, 400
 MAX_WORD_DISTANCE, MAX_CHAR_DISTANCE = 0.32, 0.26
 #: Times the expected divergence of a sample from its own source that is allowed besides.
 CHANCE = 2.0
@@ -42,6 +42,8 @@ CLASS[48:58], CLASS[65:91], CLASS[97:123] = 3, 4, 5
 CLASS[list(b".,;:!?'\"-()")] = 6
 CLASS[list(b"#*$%&|<>@^~=+_\\{}[]/`")] = 8
 CLASS[0x80:], CLASS[[0xC3, 0xC4, 0xC5]] = 10, 9
+#: Words that a task holds before they leave it.
+HELD = 1_000_000
 #: Words of a language from which it has a reference: a common word is there ten times.
 LEAST_WORDS = int(10 / COMMON)
 
@@ -79,49 +81,54 @@ def base_counts(c) -> tuple[dict[str, np.ndarray], tuple]:
     }, (start, end, text)
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By language: shares of character classes, hashes of common words (sorted), and their shares with that of all others last."""
-    lang = F.coalesce("lang", F.lit(""))
-    own = sorted(r[0] for r in docs.select(lang.alias("lang")).distinct().collect())  # the languages
-    place = {x: k for k, x in enumerate(own)}
+def tally(docs: DataFrame, place: dict[str, int]) -> DataFrame:
+    """lang (its place), kind, key, n over all documents: 0 characters by class, 1 words in all, 2 words by hash."""
+
+    def rows(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        chars, size = np.zeros((len(place), N_CLASSES), np.int64), 0
+
+        def words_out():
+            of, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            for k in np.unique(of):
+                words, n = np.unique(h[of == k], return_counts=True)
+                yield pa.record_batch({"lang": pa.array(np.full(len(n) + 1, k), pa.int32()), "kind": pa.array(np.append(np.full(len(n), 2), 1), pa.int32()), "key": pa.array(np.append(words.astype(np.int64), 0)), "n": pa.array(np.append(n, n.sum()), pa.int64())})
 
-    def tallies(batches, wanted):
         for batch in batches:
             langs = np.array([place[x or ""] for x in batch.column("lang").to_pylist()], np.int64)
             for c in chunks(batch.column("text")):
                 here = langs[c.first : c.first + len(c)]
                 start, end, text = c.words()
-                h, of = c.hashes(start, end, lower=True), here[text]
-                chars = char_classes(c)
-                for k in np.unique(here):
-                    words, n = np.unique(h[of == k], return_counts=True)
-                    size = n.sum()
-                    keep = n >= COMMON * size if wanted is None else np.isin(words, wanted[k])
-                    keys, counts, kinds = [words[keep].astype(np.int64)], [n[keep]], [np.full(keep.sum(), 2)]
-                    if wanted is not None:
-                        keys += [np.zeros(1, np.int64), np.arange(N_CLASSES)]
-                        counts += [np.array([size]), chars[here == k].sum(axis=0)]
-                        kinds += [np.ones(1, np.int64), np.zeros(N_CLASSES, np.int64)]
-                    keys, counts, kinds = map(np.concatenate, (keys, counts, kinds))
-                    yield pa.record_batch({"lang": pa.array(np.full(len(keys), k), pa.int32()), "kind": pa.array(kinds, pa.int32()), "key": pa.array(keys, pa.int64()), "n": pa.array(counts, pa.int64())})
-
-    schema = "lang int, kind int, key long, n long"
-    texts = docs.select("lang", "text")
-    found = texts.mapInArrow(lambda b: tallies(b, None), schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    # a word that is common overall is common in chunks that hold it all but a COMMON of the rest, so few candidates per language stay
-    candidates: dict[int, list[int]] = {k: [] for k in range(len(own))}
-    for k, key in found.select("lang", "key").collect():
-        candidates[k].append(key)
-    wanted = {k: np.array(sorted(v), np.int64).astype(np.uint64) for k, v in candidates.items()}
-    out: dict[int, list[dict[int, int]]] = {}
-    for k, kind, key, n in texts.mapInArrow(lambda b: tallies(b, wanted), schema).groupBy("lang", "kind", "key").agg(F.sum("n")).collect():
-        out.setdefault(k, [{}, {}, {}])[kind][key] = n
+                held.append((here[text].astype(np.int32), c.hashes(start, end, lower=True)))
+                size += len(text)
+                np.add.at(chars, here, char_classes(c))
+                if size >= HELD:
+                    yield from words_out()
+                    held, size = [], 0
+        if size:
+            yield from words_out()
+        lang, cls = np.nonzero(chars)
+        yield pa.record_batch({"lang": pa.array(lang, pa.int32()), "kind": pa.array(np.zeros(len(lang)), pa.int32()), "key": pa.array(cls, pa.int64()), "n": pa.array(chars[lang, cls])})
+
+    return docs.select("lang", "text").mapInArrow(rows, "lang int, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+
+
+def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By language: shares of character classes, hashes of common words (sorted), and their shares with that of all others last."""
+    own = sorted(r[0] for r in docs.select(F.coalesce("lang", F.lit("")).alias("lang")).distinct().collect())  # the languages
+    counted = materialize(tally(docs, {x: k for k, x in enumerate(own)}), "word-tally")
+    sizes = counted.where("kind = 1").select(F.col("lang").alias("of"), F.col("n").alias("size"))  # one row per language
+    common = counted.where("kind = 2").join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(F.col("n") >= COMMON * F.col("size")).select("lang", "kind", "key", "n")
+    out: dict[int, list[dict[int, int]]] = {k: [{}, {}, {}] for k in range(len(own))}
+    for k, kind, key, n in counted.where("kind < 2").unionByName(common).collect():  # per language N_CLASSES + 1 + 1 / COMMON rows at most
+        out[k][kind][key] = n
+    discard(counted)
     refs = {}
     for k, (chars, size, words) in out.items():
         size = size.get(0, 0)
         if size < LEAST_WORDS:
             continue
-        kept = {np.uint64(np.int64(w).astype(np.uint64)): n for w, n in words.items() if n >= COMMON * size}
+        kept = {np.uint64(np.int64(w).astype(np.uint64)): n for w, n in words.items()}
         hashes = np.array(sorted(kept), np.uint64)
         shares = np.array([kept[w] for w in hashes] + [size - sum(kept.values())], float) / size
         chars = np.array([chars.get(j, 0) for j in range(N_CLASSES)], float)
@@ -143,46 +150,62 @@ def chance(q: np.ndarray, n: np.ndarray) -> np.ndarray:
     return cells / (8 * np.log(2) * np.maximum(n, 1))
 
 
+def verdicts(c, has_reference: np.ndarray, refs: dict) -> dict[str, np.ndarray]:
+    """The base figures, base_failed, reference (its place, or the number of references), word_distance, char_distance (less chance) and kept of the texts of a chunk."""
+    base, (start, end, text) = base_counts(c)
+    n, chars = base["n_words"], char_classes(c)
+    h = c.hashes(start, end, lower=True)
+    best = np.full(len(c), np.inf)
+    word_d, char_d, which = np.zeros(len(c)), np.zeros(len(c)), np.full(len(c), len(refs))
+    n_chars = chars.sum(axis=1)
+    for r, (q_chars, common, q_words) in enumerate(refs[name] for name in sorted(refs)):
+        at = np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0))
+        at = np.where(common[at] == h, at, len(common)) if len(common) else np.zeros(len(h), np.int64)
+        k = len(common) + 1
+        hist = np.bincount(text * k + at, minlength=len(c) * k).reshape(-1, k)
+        dw = np.sqrt(np.maximum(divergence(hist / np.maximum(n, 1)[:, None], q_words) - CHANCE * chance(q_words, n), 0))
+        dc = np.sqrt(np.maximum(divergence(chars / np.maximum(n_chars, 1)[:, None], q_chars) - CHANCE * chance(q_chars, n_chars), 0))
+        nearer = dw + dc < best
+        best = np.where(nearer, dw + dc, best)
+        word_d, char_d, which = np.where(nearer, dw, word_d), np.where(nearer, dc, char_d), np.where(nearer, r, which)
+    failed = (n < 50) | (100 * base["n_repeat_words"] > 50 * n)
+    far = ((n >= MIN_WORDS) & (word_d > MAX_WORD_DISTANCE)) | ((n_chars >= MIN_CHARS) & (char_d > MAX_CHAR_DISTANCE))
+    return base | {"base_failed": failed, "reference": which, "word_distance": word_d, "char_distance": char_d, "kept": ~failed & ~(far & has_reference)}
+
+
+def _referenced(batch, refs: dict) -> np.ndarray:
+    return np.array([(x or "") in refs for x in batch.column("lang").to_pylist()], bool)
+
+
 def judge(docs: DataFrame, refs: dict) -> DataFrame:
-    """doc_id and the base figures, base_failed, reference, word_distance, char_distance (less chance), kept; one row per document, in the order of its partition."""
-    names = sorted(refs)
+    """doc_id and the figures of ``verdicts``, reference by name; one row per document."""
+    names = pa.array([*sorted(refs), None], pa.string())
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def rows(batches):
         for batch in batches:
-            has_reference = np.array([(x or "") in refs for x in batch.column("lang").to_pylist()], bool)
+            known = _referenced(batch, refs)
             for c in chunks(batch.column("text")):
-                base, (start, end, text) = base_counts(c)
-                n, chars = base["n_words"], char_classes(c)
-                h = c.hashes(start, end, lower=True)
-                best = np.full(len(c), np.inf)
-                word_d, char_d, which = np.zeros(len(c)), np.zeros(len(c)), np.full(len(c), -1)
-                n_chars = chars.sum(axis=1)
-                for r, name in enumerate(names):
-                    q_chars, common, q_words = refs[name]
-                    at = np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0))
-                    at = np.where(common[at] == h, at, len(common)) if len(common) else np.zeros(len(h), np.int64)
-                    k = len(common) + 1
-                    hist = np.bincount(text * k + at, minlength=len(c) * k).reshape(-1, k)
-                    dw = np.sqrt(np.maximum(divergence(hist / np.maximum(n, 1)[:, None], q_words) - CHANCE * chance(q_words, n), 0))
-                    dc = np.sqrt(np.maximum(divergence(chars / np.maximum(n_chars, 1)[:, None], q_chars) - CHANCE * chance(q_chars, n_chars), 0))
-                    nearer = dw + dc < best
-                    best = np.where(nearer, dw + dc, best)
-                    word_d, char_d, which = np.where(nearer, dw, word_d), np.where(nearer, dc, char_d), np.where(nearer, r, which)
-                failed = (n < 50) | (100 * base["n_repeat_words"] > 50 * n)
-                far = ((n >= MIN_WORDS) & (word_d > MAX_WORD_DISTANCE)) | ((n_chars >= MIN_CHARS) & (char_d > MAX_CHAR_DISTANCE))
-                far &= has_reference[c.first : c.first + len(c)]
-                columns = {"doc_id": batch.column("doc_id").slice(c.first, len(c)).cast(pa.int64())} | {k: pa.array(v, pa.int64()) for k, v in base.items()}
-                columns |= {"base_failed": pa.array(failed), "reference": pc.take(pa.array([*names, None], pa.string()), pa.array(which % (len(names) + 1))), "word_distance": pa.array(word_d), "char_distance": pa.array(char_d), "kept": pa.array(~failed & ~far)}
+                v = verdicts(c, known[c.first : c.first + len(c)], refs)
+                columns = {"doc_id": batch.column("doc_id").slice(c.first, len(c)).cast(pa.int64())} | {k: pa.array(v[k], pa.int64()) for k in counts}
+                columns |= {"base_failed": pa.array(v["base_failed"]), "reference": pc.take(names, pa.array(v["reference"]))} | {k: pa.array(v[k]) for k in ("word_distance", "char_distance", "kept")}
                 yield pa.record_batch(columns)
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, reference string, word_distance double, char_distance double, kept boolean")
+    return integer_ids(docs).select("doc_id", "lang", "text").mapInArrow(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, reference string, word_distance double, char_distance double, kept boolean")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns. Equal texts of one lang get equal verdicts, so their hash with doc_id joins them."""
-    h = F.xxhash64("doc_id", "lang", "text")
-    kept = judge(docs.select(h.alias("doc_id"), "lang", "text"), references(docs)).where("kept").select(F.col("doc_id").alias("_h")).distinct()
-    return docs.join(kept, h == F.col("_h"), "left_semi")
+    """The documents that are kept, with all their columns; each is judged where it is read."""
+    refs = references(docs)
+
+    def rows(batches):
+        for batch in batches:
+            known = _referenced(batch, refs)
+            kept = [verdicts(c, known[c.first : c.first + len(c)], refs)["kept"] for c in chunks(batch.column("text"))]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
