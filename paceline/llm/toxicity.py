@@ -1,20 +1,33 @@
 """Operator 8: toxicity by weak supervision.
 
-Terms are words (runs of letters, A-Z lower-cased) and beginnings of words. Over the labelled training
-rows (about ``LABELLED`` of them at most, drawn by hash) Spark counts how many toxic and clean texts hold each term; those that lean strongly to toxic
-texts form a lexicon of at most ``LEXICON`` terms. The lexicon is dealt to ``VOTERS`` voters (word lists
-and prefix patterns); a voter says toxic if a text holds one of its terms. Vote patterns, counted over
-all documents (at most 2**VOTERS), go to a generative label model: expectation maximisation estimates
-how often each voter fires on toxic and on clean texts, with labelled training rows as nearly certain;
-the voters' correlations within the classes then correct their weights (the pooled covariance's
-inverse, as in linear discriminant analysis). A logistic regression on the terms a text holds is
-trained on the model's posterior labels of a sample of at most ``SAMPLE`` texts with votes (rows
-without any are all alike and enter by their number), and scores every text.
+Terms are words (runs of letters, A-Z lower-cased), beginnings and endings of words, and words that only
+show when digits and signs are read as the letters they stand for. Over the labelled training rows (about
+``LABELLED`` of them at most, drawn by hash) Spark counts how many toxic and clean texts hold each term;
+those that lean strongly to toxic texts form the lexicon (its size is bounded by the labelled rows), those
+that lean to clean ones a second list. ``VOTERS`` of different kinds say toxic, clean or nothing:
+
+    0 strong words      toxic: one of the half of the toxic words that lean most
+    1 other words       toxic: one of the rest
+    2 beginnings        toxic: a beginning of 4 bytes that leans so
+    3 longer beginnings toxic: one of 5 bytes
+    4 endings           toxic: the last 4 bytes of a word
+    5 disguised words   toxic: a word of the lists with digits or signs for letters
+    6 several at once   toxic: three or more toxic terms; clean: none in a text of ``LONG`` words or more
+    7 clean words       clean: at least ``CLEAN_WORDS`` words that lean to clean texts; nothing otherwise
+    8 case and marks    toxic: shouting, or exclamation marks, where the labelled texts lean so; else nothing
+
+Vote patterns, counted over all documents (at most 3**VOTERS, far fewer in practice), go to a generative
+label model: given toxic or clean, each voter depends on one other voter, along the tree of greatest
+conditional mutual information, so their accuracies and their correlations are parameters of the model.
+Expectation maximisation estimates them, with labelled training rows as nearly certain; the tree is found
+anew from the posteriors. A logistic regression on the terms a text holds is trained on the model's
+posteriors. Its rows are the distinct sets of terms that documents hold, counted in Spark, so that copies
+are one row with their number as weight; beyond ``SAMPLE`` sets a share is drawn by the hash of the set.
 
 Defined cases: null and empty texts hold no term and get the score of a text without terms; labels
 with a null doc_id or a null toxic are ignored, of several labels of one doc_id the largest counts;
 without labels or without toxic ones the lexicon is empty and all texts get the smoothed base rate;
-repeated rows get a row each; an empty table gives no rows.
+repeated rows get a row each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,40 +37,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.shared import documents, materialize
+from paceline.llm.shared import discard, documents, integer_ids, materialize
 from paceline.llm.textnp import chunks, keyed
 
-LEXICON = 3000
 SAMPLE = 30_000
 #: Labels that are learned from.
 LABELLED = 200_000
 TRAINING = "crc32(cast(doc_id as string)) % 4 != 2"
-VOTERS = 14
-WORD_VOTERS = 8
+VOTERS = 9
+#: Kinds of terms: 0 a word, 4 and 5 its first bytes, -4 its last ones, 1 a word in disguise.
 PREFIXES = (4, 5)
+ENDING, DISGUISED = -4, 1
+LONG, CLEAN_WORDS = 30, 3
+#: What digits and signs stand for inside words.
+STAND_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 LEAST_TOXIC = 3
 LEAST_LOG_ODDS = 2.5
 #: A term's toxic texts times its log odds must exceed the log of the number of terms looked at by this, so that few pass by chance.
 LEAST_GAIN = 1.0
 #: How far a label is trusted against the voters.
 TRUST = 0.98
+#: The texts without labels count together this often what the labelled ones count, at most; else they would decide alone what the classes are.
+UNLABELLED = 0.2
 THRESHOLD = 0.3
 INSIDE = np.zeros(256, bool)
 INSIDE[65:91] = INSIDE[97:123] = INSIDE[128:] = True
+SIGNS = np.zeros(256, bool)
+SIGNS[[ord(x) for x in STAND_FOR]] = True
+PLAIN = np.arange(256, dtype=np.uint8)
+PLAIN[[ord(x) for x in STAND_FOR]] = [ord(x) for x in STAND_FOR.values()]
 TERMS = "term long, kind int"
 
 
+def disguised(c) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of the words that hold a digit or sign and a letter, read as letters."""
+    inside = INSIDE | SIGNS
+    start, end, text = c._spans(inside[c.data])
+    total = np.concatenate(([0], np.cumsum(SIGNS[c.data])))
+    letters = np.concatenate(([0], np.cumsum(INSIDE[c.data])))
+    some = (total[end] > total[start]) & (letters[end] > letters[start])
+    if not some.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    read = type(c)(c.first, PLAIN[c.data], c.offsets, c.valid)
+    return read.hashes(start[some], end[some], lower=True), text[some]
+
+
 def terms(c) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, kind (0: word, n: first n bytes) and text of each distinct term of each text."""
+    """Hash, kind and text of each distinct term of each text."""
     start, end, text = c._spans(INSIDE[c.data])
     hashes, kinds, of = [], [], []
-    for n in (0, *PREFIXES):
-        long = end - start > n if n else np.ones(len(start), bool)
-        h = c.hashes(start[long], start[long] + n if n else end[long], lower=True) ^ np.uint64(n * 0x5851F42D4C957F2D % 2**64)
-        _, first = np.unique(keyed(h, text[long]), return_index=True)
-        hashes.append(h[first])
-        kinds.append(np.full(len(first), n))
-        of.append(text[long][first])
+    for n in (0, *PREFIXES, ENDING):
+        long = end - start > abs(n) if n else np.ones(len(start), bool)
+        first = np.where(n < 0, end + n, start)[long]
+        last = first + abs(n) if n else end[long]
+        h = c.hashes(first, last, lower=True) ^ np.uint64(n * 0x5851F42D4C957F2D % 2**64)
+        _, one = np.unique(keyed(h, text[long]), return_index=True)
+        hashes.append(h[one])
+        kinds.append(np.full(len(one), n))
+        of.append(text[long][one])
+    h, t = disguised(c)
+    _, one = np.unique(keyed(h, t), return_index=True)
+    hashes.append(h[one] ^ np.uint64(0xD15C))
+    kinds.append(np.full(len(one), DISGUISED))
+    of.append(t[one])
     return np.concatenate(hashes), np.concatenate(kinds), np.concatenate(of)
 
 
@@ -70,17 +112,20 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(train.join(F.broadcast(drawn), "doc_id").select("text", "toxic"), "labelled")
 
 
-def lexicon(train: DataFrame, size: int = LEXICON) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Sorted hashes of the terms, their kinds, and the numbers of toxic and clean training texts."""
+def lexicon(train: DataFrame) -> dict:
+    """words (sorted hashes of toxic terms), kinds, odds; clean (sorted hashes of words that lean to clean texts); n_toxic, n_clean; loud (whether shouting leans to toxic)."""
     n_toxic, n_clean = (int(x or 0) for x in train.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
+    none = {"words": np.zeros(0, np.uint64), "kinds": np.zeros(0, np.int64), "odds": np.zeros(0), "clean": np.zeros(0, np.uint64), "n_toxic": n_toxic, "n_clean": n_clean, "loud": False}
     if not n_toxic or not n_clean:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), n_toxic, n_clean
+        return none
 
     def counts(batches):
         for batch in batches:
             toxic = batch.column("toxic").to_numpy()
             for c in chunks(batch.column("text")):
                 h, kind, text = terms(c)
+                shouts = np.flatnonzero(loud(c))
+                h, kind, text = np.append(h, np.zeros(len(shouts), np.uint64)), np.append(kind, np.full(len(shouts), 99)), np.append(text, shouts)
                 if not len(h):
                     continue
                 u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
@@ -89,17 +134,29 @@ def lexicon(train: DataFrame, size: int = LEXICON) -> tuple[np.ndarray, np.ndarr
 
     found = train.mapInArrow(counts, TERMS + ", bad long, good long").groupBy("term", "kind").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (n_toxic + 1)) - F.log((F.col("good") + 0.5) / (n_clean + 1))
-    gain = F.col("bad") * odds
-    found = materialize(found.where(F.col("bad") >= LEAST_TOXIC), "terms")
-    least = float(np.log(max(1, found.count()))) + LEAST_GAIN
-    best = found.where((odds >= LEAST_LOG_ODDS) & (gain >= least)).orderBy(gain.desc(), "term").limit(size).select("term", "kind").collect()
-    best = sorted((np.uint64(t % 2**64), k) for t, k in best)
-    return np.array([t for t, _ in best], np.uint64), np.array([k for _, k in best], np.int64), n_toxic, n_clean
+    found = materialize(found.where((F.col("bad") >= LEAST_TOXIC) | (F.col("good") >= 20)).withColumn("odds", odds), "terms")
+    least = float(np.log(max(1, found.where(F.col("bad") >= LEAST_TOXIC).count()))) + LEAST_GAIN
+    toxic = (F.col("bad") >= LEAST_TOXIC) & (F.col("odds") >= LEAST_LOG_ODDS) & (F.col("bad") * F.col("odds") >= least)
+    # each toxic term is in LEAST_TOXIC labelled texts or more, so the labelled rows bound the lists
+    best = sorted((np.uint64(t % 2**64), k, o) for t, k, o in found.where((F.col("kind") != 99) & toxic).select("term", "kind", "odds").collect())
+    clean = found.where((F.col("kind") == 0) & (F.col("odds") <= -CLEAN_ODDS)).select("term").collect()
+    shouting = found.where(F.col("kind") == 99).select("odds").collect()
+    discard(found)
+    return none | {
+        "words": np.array([t for t, _, _ in best], np.uint64), "kinds": np.array([k for _, k, _ in best], np.int64), "odds": np.array([o for _, _, o in best]),
+        "clean": np.array(sorted(t % 2**64 for (t,) in clean), np.uint64), "loud": bool(shouting and shouting[0][0] >= 1),
+    }
+
+
+#: Log odds from which a word leans to clean texts.
+CLEAN_ODDS = 0.7
 
 
-def voter_of(words: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    lists = (words >> np.uint64(20)).astype(np.int64)
-    return np.where(kinds == 0, lists % WORD_VOTERS, WORD_VOTERS + lists % (VOTERS - WORD_VOTERS))
+def loud(c) -> np.ndarray:
+    """Whether most letters are capitals, or there are three exclamation marks or more for 30 words."""
+    capitals, letters = c.per_text((c.data >= 65) & (c.data <= 90)), c.per_text(INSIDE[c.data] & (c.data < 128))
+    words = np.bincount(c.words()[2], minlength=len(c))
+    return ((letters >= 20) & (2 * capitals > letters)) | (c.per_text(c.data == 33) * 30 >= 3 * np.maximum(words, 30))
 
 
 def hits(c, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,59 +166,120 @@ def hits(c, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h, _, text = terms(c)
     at = np.minimum(np.searchsorted(words, h), len(words) - 1)
     found = words[at] == h
-    order = np.argsort(text[found], kind="stable")
+    order = np.lexsort((at[found], text[found]))
     return text[found][order], at[found][order]
 
 
-def patterns(texts: DataFrame, words: np.ndarray, voters: np.ndarray, extra: str | None = None) -> dict:
-    """How many texts have each vote pattern (and value of extra); patterns by partition first."""
+def kinds_of(model: dict) -> np.ndarray:
+    """The toxic voter of each term."""
+    kinds, odds = model["kinds"], model["odds"]
+    middle = np.median(odds[kinds == 0]) if (kinds == 0).any() else 0.0
+    return np.select([(kinds == 0) & (odds >= middle), kinds == 0, kinds == PREFIXES[0], kinds == PREFIXES[1], kinds == ENDING], [0, 1, 2, 3, 4], 5)
+
+
+def votes(c, model: dict, voter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Votes of a chunk's texts as a number of base 3 (digits 0 nothing, 1 clean, 2 toxic), and the terms they hold."""
+    text, at = hits(c, model["words"])
+    n = len(c)
+    said = np.zeros((n, VOTERS), np.int64)
+    said[text, voter[at]] = 2
+    held = np.bincount(text, minlength=n)
+    start, end, of = c._spans(INSIDE[c.data])
+    size = np.bincount(of, minlength=n)
+    said[:, 6] = np.where(held >= 3, 2, np.where((held == 0) & (size >= LONG), 1, 0))
+    if len(model["clean"]):
+        h = c.hashes(start, end, lower=True)
+        k = np.minimum(np.searchsorted(model["clean"], h), len(model["clean"]) - 1)
+        said[:, 7] = np.where(np.bincount(of[model["clean"][k] == h], minlength=n) >= CLEAN_WORDS, 1, 0)
+    if model["loud"]:
+        said[:, 8] = np.where(loud(c), 2, 0)
+    return said @ 3 ** np.arange(VOTERS), text, at
+
+
+def patterns(texts: DataFrame, model: dict, extra: str | None = None) -> DataFrame:
+    """votes, terms (the set a text holds), other (the value of extra, or 0), n: texts alike, counted by tasks and then in Spark."""
+    voter = kinds_of(model)
 
     def rows(batches):
         for batch in batches:
             other = batch.column(extra).to_numpy() if extra else np.zeros(batch.num_rows, np.int64)
+            seen: dict[tuple, int] = {}
             for c in chunks(batch.column("text")):
-                text, at = hits(c, words)
-                votes = np.zeros(len(c), np.int64)
-                np.bitwise_or.at(votes, text, 1 << voters[at])
-                u, n = np.unique(votes * 2 + other[c.first : c.first + len(c)], return_counts=True)
-                yield pa.record_batch({"votes": pa.array(u), "n": pa.array(n, pa.int64())})
-
-    found = texts.select("text", *([extra] if extra else [])).mapInArrow(rows, "votes long, n long").groupBy("votes").agg(F.sum("n")).collect()
-    return {(v >> 1, v & 1): n for v, n in found}
-
-
-def label_model(every: dict, known: dict) -> tuple[dict[int, float], float]:
-    """Posterior of toxic by vote pattern, and the share of toxic texts."""
-    bits = lambda votes: np.array([[v >> k & 1 for k in range(VOTERS)] for v in votes], float).reshape(-1, VOTERS)
-    all_votes = sorted({v for v, _ in every} | {v for v, _ in known})
-    free = np.array([every.get((v, 0), 0) for v in all_votes], float)
-    toxic = np.array([known.get((v, 1), 0) for v in all_votes], float)
-    clean = np.array([known.get((v, 0), 0) for v in all_votes], float)
-    free = np.maximum(free - toxic - clean, 0)
-    votes = bits(all_votes)
+                v, text, at = votes(c, model, voter)
+                cut = np.searchsorted(text, np.arange(len(c) + 1))
+                for k in range(len(c)):
+                    key = (int(v[k]), int(other[c.first + k]), tuple(at[cut[k] : cut[k + 1]].tolist()))
+                    seen[key] = seen.get(key, 0) + 1
+            if seen:
+                yield pa.record_batch({"votes": pa.array([k[0] for k in seen], pa.int64()), "other": pa.array([k[1] for k in seen], pa.int32()), "terms": pa.array([list(k[2]) for k in seen], pa.list_(pa.int32())), "n": pa.array(list(seen.values()), pa.int64())})
+
+    return texts.select("text", *([extra] if extra else [])).mapInArrow(rows, "votes long, other int, terms array<int>, n long").groupBy("votes", "other", "terms").agg(F.sum("n").alias("n"))
+
+
+def tree(said: np.ndarray, weights: list[np.ndarray]) -> list[int]:
+    """Each voter's parent (-1 for the first): the spanning tree of greatest mutual information given the class; weights: of the patterns, by class."""
+    k = said.shape[1]
+    gain = np.zeros((k, k))
+    total = sum(w.sum() for w in weights)
+    for w in weights:
+        for i in range(k):
+            for j in range(i):
+                both = np.bincount(said[:, i] * 3 + said[:, j], weights=w, minlength=9).reshape(3, 3) + 1e-9
+                p = both / both.sum()
+                gain[i, j] += w.sum() / total * (p * np.log(p / (p.sum(1, keepdims=True) * p.sum(0)))).sum()
+    gain += gain.T
+    parent, inside, best, near = [-1] * k, {0}, gain[0].copy(), np.zeros(k, int)
+    while len(inside) < k:
+        best[list(inside)] = -1
+        i = int(np.argmax(best))
+        parent[i] = int(near[i])
+        inside.add(i)
+        closer = gain[i] > best
+        best, near = np.where(closer, gain[i], best), np.where(closer, i, near)
+    return parent
+
+
+def log_likelihood(said: np.ndarray, parent: list[int], tables: list[np.ndarray]) -> np.ndarray:
+    """log p(votes | one class); tables: by voter, p(vote | the parent's vote)."""
+    out = np.zeros(len(said))
+    for i, p in enumerate(parent):
+        out += np.log(tables[i][said[:, p] if p >= 0 else 0, said[:, i]])
+    return out
+
+
+def tables_of(said: np.ndarray, parent: list[int], w: np.ndarray, toxic: bool) -> list[np.ndarray]:
+    """p(vote | the parent's vote) of each voter from weighted patterns, smoothed towards p(vote) and that towards a weak belief in voters."""
+    out = []
+    for i, p in enumerate(parent):
+        alone = np.bincount(said[:, i], weights=w, minlength=3) + (np.array([1.0, 0.2, 0.8]) if toxic else np.array([2.0, 0.5, 0.02]))
+        alone /= alone.sum()
+        if p < 0:
+            out.append(alone[None, :])
+            continue
+        both = np.bincount(said[:, p] * 3 + said[:, i], weights=w, minlength=9).reshape(3, 3) + 5 * alone
+        out.append(both / both.sum(axis=1, keepdims=True))
+    return out
+
+
+def label_model(every: dict[int, float], known: dict[tuple[int, int], float], rounds: int = 60) -> tuple[dict[int, float], float]:
+    """Posterior of toxic by vote pattern, and the share of toxic texts. every: texts by pattern; known: labelled ones by pattern and label."""
+    patterns_seen = sorted(set(every) | {v for v, _ in known})
+    said = np.array([[v // 3**k % 3 for k in range(VOTERS)] for v in patterns_seen], np.int64).reshape(-1, VOTERS)
+    toxic, clean = (np.array([known.get((v, y), 0) for v in patterns_seen], float) for y in (1, 0))
+    free = np.maximum(np.array([every.get(v, 0) for v in patterns_seen], float) - toxic - clean, 0)
     share = (toxic.sum() + 1) / (toxic.sum() + clean.sum() + 10)
-    fire = np.stack([np.clip((clean @ votes + 0.1) / (clean.sum() + 10), 1e-5, 0.5), np.clip((toxic @ votes + 1) / (toxic.sum() + 3), 1e-3, 0.95)])
-    for _ in range(50):
-        odds = np.log(share / (1 - share)) + votes @ np.log(fire[1] / fire[0]) + (1 - votes) @ np.log((1 - fire[1]) / (1 - fire[0]))
+    weight = min(1.0, UNLABELLED * (toxic.sum() + clean.sum()) / max(free.sum(), 1))
+    w0, w1 = clean, toxic
+    parent = tree(said, [w0 + 1e-9, w1 + 1e-9])
+    for k in range(rounds):
+        if k == rounds // 2:
+            parent = tree(said, [w0, w1])
+        odds = np.log(share / (1 - share)) + log_likelihood(said, parent, tables_of(said, parent, w1, True)) - log_likelihood(said, parent, tables_of(said, parent, w0, False))
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        w1 = free * p + toxic * TRUST + clean * (1 - TRUST) * p
-        w0 = free * (1 - p) + toxic * (1 - TRUST) * (1 - p) + clean * TRUST
-        share = np.clip((w1.sum() + 0.1) / (w1.sum() + w0.sum() + 1), 1e-4, 0.9)
-        fire = np.stack([np.clip((w0 @ votes + 0.01) / (w0.sum() + 1), 1e-5, 0.9), np.clip((w1 @ votes + 0.1) / (w1.sum() + 1), 1e-4, 0.99)])
-    # correlations within the classes
-    cov = sum((votes - f).T @ ((votes - f) * w[:, None]) for f, w in zip(fire, (w0, w1), strict=True)) / max(w0.sum() + w1.sum(), 1) + 1e-4 * np.eye(VOTERS)
-    weight = np.linalg.solve(cov, fire[1] - fire[0])
-    lda = votes @ weight - weight @ (fire[0] + fire[1]) / 2
-    # one scale and shift, so that the corrected odds fit the posteriors and the labels best
-    x, y0, y1 = np.stack([lda / max(np.abs(lda).max(), 1e-9), odds / max(np.abs(odds).max(), 1e-9), np.ones(len(odds))], axis=1), w0, w1
-    beta = np.zeros(3)
-    for _ in range(60):
-        q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        total = (y0 + y1)
-        hess = (x * (total * q * (1 - q))[:, None]).T @ x + 0.01 * np.eye(3)
-        beta += np.linalg.solve(hess, x.T @ (y1 - total * q) - 0.01 * beta)
-    q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-    return dict(zip(all_votes, q.tolist(), strict=True)), float(share)
+        w1 = weight * free * p + toxic * TRUST + clean * (1 - TRUST) * p
+        w0 = weight * free * (1 - p) + toxic * (1 - TRUST) * (1 - p) + clean * TRUST
+        share = float(np.clip((w1.sum() + 0.1) / (w1.sum() + w0.sum() + 1), 1e-4, 0.9))
+    return dict(zip(patterns_seen, p.tolist(), strict=True)), share
 
 
 def train_linear(rows: list[tuple[list[int], float, float]], n: int, zero: tuple[float, float]) -> tuple[np.ndarray, float]:
@@ -185,33 +303,23 @@ def train_linear(rows: list[tuple[list[int], float, float]], n: int, zero: tuple
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """Lexicon, weights and bias; all of bounded size."""
     train = labelled(docs, labels)
-    words, kinds, n_toxic, n_clean = lexicon(train)
-    base = (n_toxic + 0.5) / (n_toxic + n_clean + 10)
-    if not len(words):
-        return {"words": words, "w": np.zeros(0), "b": float(np.log(base / (1 - base)))}
-    voters = voter_of(words, kinds)
-    every = patterns(docs, words, voters)
-    posterior, _ = label_model(every, patterns(train, words, voters, "toxic"))
-    with_votes = sum(n for (v, _), n in every.items() if v)
-    share = min(1.0, SAMPLE / max(with_votes, 1))
-
-    def held(batches):
-        for batch in batches:
-            for c in chunks(batch.column("text")):
-                text, at = hits(c, words)
-                here, first = np.unique(text, return_index=True)
-                if len(here):
-                    yield pa.record_batch({"terms": pa.array([x.tolist() for x in np.split(at, first[1:])], pa.list_(pa.int32()))})
-
-    drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003).select("text").mapInArrow(held, "terms array<int>")
-    rows = []
-    for (held_terms,) in drawn.limit(2 * SAMPLE).collect():
-        votes = 0
-        for k in held_terms:
-            votes |= 1 << int(voters[k])
-        rows.append((held_terms, posterior[votes], 1 / share))
-    w, b = train_linear(rows, len(words), (posterior.get(0, base), float(every.get((0, 0), 0) + 1)))
-    return {"words": words, "w": w, "b": b}
+    model = lexicon(train)
+    base = (model["n_toxic"] + 0.5) / (model["n_toxic"] + model["n_clean"] + 10)
+    if not len(model["words"]):
+        return {"words": model["words"], "w": np.zeros(0), "b": float(np.log(base / (1 - base)))}
+    sets = materialize(patterns(docs, model), "term-sets")
+    every = {v: float(n) for v, n in sets.groupBy("votes").agg(F.sum("n")).collect()}  # 3**VOTERS rows at most
+    known = {(v, y): float(n) for v, y, n in patterns(train, model, "toxic").groupBy("votes", "other").agg(F.sum("n")).collect()}
+    posterior, _ = label_model(every, known)
+    held = sets.where("size(terms) > 0")
+    share = min(1.0, SAMPLE / max(held.count(), 1))
+    drawn = held.where(F.pmod(F.xxhash64("terms", "votes"), F.lit(1_000_003)) < share * 1_000_003).select("votes", "terms", "n").collect()  # about SAMPLE rows
+    rows = [(list(t), posterior[v], n / share) for v, t, n in sorted((v, tuple(t), n) for v, t, n in drawn)]
+    without = [(posterior[v], float(n)) for v, n in sets.where("size(terms) = 0").groupBy("votes").agg(F.sum("n")).collect()]
+    zero = sum(n for _, n in without) + 1
+    w, b = train_linear(rows, len(model["words"]), ((sum(p * n for p, n in without) + base) / zero, zero))
+    discard(train, sets)
+    return {"words": model["words"], "w": w, "b": b}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -226,7 +334,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
                 yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "held_out": part.column("held_out"), "score": pa.array(p), "predicted": pa.array((p >= THRESHOLD).astype(np.int32))})
 
-    given = docs.select("doc_id", "text", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.lit(False)).alias("held_out"))
+    given = integer_ids(docs).select("doc_id", "text", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.lit(False)).alias("held_out"))
     return given.mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int")
 
 
