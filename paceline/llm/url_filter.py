@@ -7,8 +7,7 @@ Only as many host labels and path lengths are expanded as some rule has (a numbe
 not of rules). The rules are small or large: Spark broadcasts them or shuffles by its own size check.
 
 Defined cases: null URLs and those without ``://`` have an empty host and path, match nothing and get
-the default verdict; repeated rows are judged one by one; rules with a null part are ignored, repeated
-rules count once; no rules means the default for all.
+the default verdict; repeated rows are judged one by one; rules with a null part are ignored, repeated rules count once; no rules means the default for all.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paceline.llm.shared import unused
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEFAULT_VERDICT = "allow"
 #: Fixed values: (verdict, host, path) of the registered query.
@@ -41,27 +42,28 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = DE
     counted = shape.agg(F.collect_set("labels"), F.collect_set("chars")).first()  # distinct lengths only
     labels, chars = (", ".join(str(x) for x in sorted(c)) for c in counted)
     if not labels:
-        return urls.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        kept = [urls[c] for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+        return urls.select(*kept, host_of(urls[url]).alias("host"), path_of(urls[url]).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     keyed = r.select("rule_verdict", "rule", F.struct(F.length("rule").alias("len"), F.length("host").alias("host_len"), F.col("rule_verdict").alias("v")).alias("rank"), F.sha2(F.concat_ws("\x00", "host", "path"), 256).alias("rule_digest"))
-    one_each = urls.select(url).distinct().withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
+    # names of our own live in a table of its own, so they never meet the caller's
+    one_each = urls.select(F.col(url).alias("u")).distinct().withColumns({"h": host_of(F.col("u")), "p": path_of(F.col("u"))})
     expressions = one_each.select(
-        url, "_host", "_path",
-        F.explode_outer(
+        "u",
+        F.explode(
             F.expr(
-                f"flatten(transform(filter(array({labels}), n -> n <= size(split(_host, '[.]', -1))), n -> "
-                f"transform(filter(array({chars}), m -> m <= length(_path)), m -> "
-                "sha2(concat_ws('\\0', array_join(slice(split(_host, '[.]', -1), -n, n), '.'), substring(_path, 1, m)), 256))))"
+                f"flatten(transform(filter(array({labels}), n -> n <= size(split(h, '[.]', -1))), n -> "
+                f"transform(filter(array({chars}), m -> m <= length(p)), m -> "
+                "sha2(concat_ws('\\0', array_join(slice(split(h, '[.]', -1), -n, n), '.'), substring(p, 1, m)), 256))))"
             )
         ).alias("digest"),
     )
     short = lambda c: F.substring(c, 1, 8)  # noqa: E731  hexadecimal digits of four bytes
     hits = expressions.join(keyed, (short("digest") == short("rule_digest")) & (F.col("digest") == F.col("rule_digest")), "inner")
-    best = hits.groupBy(F.col(url).alias("_url")).agg(F.max_by(F.struct("rule", "rule_verdict"), "rank").alias("best"))
-    found = urls.join(best, F.col(url) == F.col("_url"), "left")
-    return found.withColumns({
-        "host": host_of(F.col(url)), "path": path_of(F.col(url)), "rule": F.col("best.rule"),
-        "verdict": F.coalesce("best.rule_verdict", F.lit(default)),
-    }).select(*[c for c in urls.columns if c not in ("host", "path", "rule", "verdict")], "host", "path", "rule", "verdict")
+    of, best = unused("of_url", urls), unused("best_rule", urls)
+    chosen = hits.groupBy(F.col("u").alias(of)).agg(F.max_by(F.struct("rule", "rule_verdict"), "rank").alias(best))
+    found = urls.join(chosen, urls[url] == chosen[of], "left")
+    kept = [urls[c] for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    return found.select(*kept, host_of(urls[url]).alias("host"), path_of(urls[url]).alias("path"), chosen[best]["rule"].alias("rule"), F.coalesce(chosen[best]["rule_verdict"], F.lit(default)).alias("verdict"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
