@@ -11,16 +11,20 @@ A document's set holds its distinct shingles of ``SHINGLE`` words (fewer words:
    the shingle (those whose counter is far above the mean are salted and simply kept), and then classes
    that share too few for any link; what chance passages have in common goes here.
 3. Sets that share a prefix shingle and are of compatible length hang together through a hub per shingle
-   and length band - a number of edges linear in the prefixes; the components of these edges hold
-   every link. Small ones share a task, large ones are cut into blocks of which each pair is a task.
+   and length band - a number of edges linear in the prefixes. Small components of these edges share a
+   task. The classes of a larger one are dealt to blocks, and a join on the prefix shingles tells which
+   other blocks each class has a partner in: it goes to the tasks of these pairs of blocks and to no others.
 4. In a task, each set meets the later sets of its prefix shingles' lists once; length, positional and
    suffix filters drop most, and the rest are verified by their exact intersection. Out come each set's
    number of links and the edges of a spanning forest, never all pairs.
-5. The spanning edges' components, with the smallest doc_id of each, go back to the documents.
+5. The spanning edges' components, with the smallest doc_id of each, go back to the documents; the at most
+   ``HOT`` classes that hold 1 / ``HOT`` of the rows each are broadcast for that, and rows without words
+   need no join.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; repeated
 rows are copies and linked; a null doc_id keeps its row, and counts for no component_id (null if nothing
-else is reachable); an empty table gives no rows; other columns are ignored here and kept by ``one_of_each``.
+else is reachable); an empty table gives no rows; other columns are ignored here and kept by
+``one_of_each``, whatever their names; doc_ids that aren't whole numbers are an error at once.
 """
 
 from __future__ import annotations
@@ -31,15 +35,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceline.llm.components import components
-from paceline.llm.shared import documents, materialize
+from paceline.llm.shared import discard, documents, integer_ids, materialize, unused
 from paceline.llm.textnp import chunks, mix, windows
 
 SHINGLE = 5
 #: The similarity, as a fraction of whole numbers.
 NUM, DEN = 80, 100
 SKETCH_BITS = 18
-#: Parts of a shingle that is far more frequent than the mean.
-SALTS = 64
+#: Classes with this share of all rows at least are joined to them by broadcast; there are as many at most.
+HOT = 1000
 #: Most classes and shingles of one side of a task.
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Classes of small components that share a task.
@@ -158,10 +162,11 @@ def prefixes(docs: DataFrame, counts, hot: int, seed: int) -> DataFrame:
                 head = prefix(n[t])
                 keep = first[t] & (pos < head - 1 + spare(n[t]))
                 t, g, head = t[keep], g[keep], (pos < head)[keep]
-                salt = np.where(freq[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > hot, cls[t] % SALTS, -1)
-                yield pa.record_batch({"hash": pa.array(g.astype(np.int64)), "salt": pa.array(salt, pa.int32()), "cls": pa.array(cls[t]), "n": pa.array(n[t], pa.int32()), "head": pa.array(head)})
+                often = freq[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                salt = np.where(often > hot, cls[t] % (often // hot + 1), -1)  # parts of about ``hot`` rows
+                yield pa.record_batch({"hash": pa.array(g.astype(np.int64)), "salt": pa.array(salt, pa.int64()), "cls": pa.array(cls[t]), "n": pa.array(n[t], pa.int32()), "head": pa.array(head)})
 
-    return shared_only(docs.select("text").mapInArrow(rows, "hash long, salt int, cls long, n int, head boolean"))
+    return shared_only(docs.select("text").mapInArrow(rows, "hash long, salt long, cls long, n int, head boolean"))
 
 
 def peeled(shared: DataFrame, rounds: int = 2) -> DataFrame:
@@ -272,7 +277,7 @@ def compare(key: tuple, table: pa.Table) -> pa.Table:
 
 def placed_rows(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component (a class of it; null without shingles), component_id, n_links: one row per document."""
-    spark = docs.sparkSession
+    spark = integer_ids(docs).sparkSession
     # a stand-in for null doc_ids, from the text; equal texts may share it
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62))).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     for seed in range(8):  # another digest if two sets ever share the first half of theirs
@@ -284,12 +289,22 @@ def placed_rows(docs: DataFrame) -> DataFrame:
     counts = sketch(docs)
     freq = spark.sparkContext.broadcast(counts)  # 2**SKETCH_BITS numbers
     shared = materialize(prefixes(docs, freq, int(8 * counts.mean()) + 20_000, seed), "prefixes")
-    heads = shared_only(peeled(shared).where("head")).select("hash", "cls", "n")
+    heads = materialize(shared_only(peeled(shared).where("head")).select("hash", "cls", "n"), "heads")
     groups = components(candidate_edges(heads))
     sized = materialize(groups.join(classes, F.col("node") == F.col("cls")).select("cls", "component", "rep", "weight", "n"), "groups")
     per_group = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     tasks = max(1, -(-sized.count() // TOGETHER))
-    placed = sized.join(per_group, "component").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    placed = materialize(sized.join(per_group, "component").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "placed")
+    one = lambda g, i, j, side: F.struct(g.alias("g"), F.lit(i).alias("i") if isinstance(i, int) else i.alias("i"), F.lit(j).alias("j") if isinstance(j, int) else j.alias("j"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    together = placed.where("blocks = 1").select("cls", "rep", "weight", F.array(one(F.pmod(F.xxhash64("component"), F.lit(tasks)), -1, -1, 0)).alias("sides"))
+    # the blocks that hold a class's prefix shingles, its own included
+    apart = placed.where("blocks > 1").select(F.col("cls").alias("c"), "component", "block")
+    dealt_heads = heads.join(apart, F.col("cls") == F.col("c")).select("hash", "cls", "component", "block")
+    partners = dealt_heads.join(dealt_heads.select("hash", F.col("block").alias("other")).distinct(), "hash").select("cls", one(F.col("component"), F.least("block", "other"), F.greatest("block", "other"), F.col("block")).alias("s"))
+    wide = partners.groupBy(F.col("cls").alias("c")).agg(F.collect_set("s").alias("sides"))
+    spread = placed.where("blocks > 1").join(wide, F.col("cls") == F.col("c")).select("cls", "rep", "weight", "sides")
+    placed = materialize(together.unionByName(spread), "sides")
+    sides = "array<struct<g: long, i: int, j: int, side: int>>"
 
     def to_sets(batches):
         freq_here = freq.value
@@ -301,25 +316,27 @@ def placed_rows(docs: DataFrame) -> DataFrame:
                 t, g, _ = ordered(t, g, freq_here)
                 at = np.searchsorted(t, np.arange(len(c) + 1))
                 kept = np.flatnonzero(same)
-                rows = part.select(["cls", "component", "weight", "blocks", "block"]).take(pa.array(kept))
+                rows = part.select(["cls", "weight", "sides"]).take(pa.array(kept))
                 yield pa.record_batch([*rows.columns, pa.array([g[at[k] : at[k + 1]].tobytes() for k in kept], pa.binary())], names=[*rows.schema.names, "shingles"])
 
     # texts meet their classes in the same kind of join at every size
-    with_text = docs.join(placed.hint("merge"), F.col("id") == F.col("rep")).select("cls", "component", "weight", "blocks", "block", "text")
-    ready = with_text.mapInArrow(to_sets, "cls long, component long, weight long, blocks int, block int, shingles binary")
-    # a class of a large component meets each block of it: a pair of blocks is a task, the smaller number first
-    sides = F.when(F.col("blocks") == 1, F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.col("component").alias("g"), F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    )
-    dealt = ready.select("cls", "weight", F.col("block"), "blocks", "shingles", F.explode(sides).alias("s")).select("cls", "weight", F.when(F.col("blocks") == 1, 0).otherwise(F.col("block")).alias("side"), "shingles", "s.g", "s.i", "s.j")
+    with_text = docs.join(placed.hint("merge"), F.col("id") == F.col("rep")).select("cls", "weight", "sides", "text")
+    ready = with_text.mapInArrow(to_sets, f"cls long, weight long, sides {sides}, shingles binary")
+    dealt = ready.select("cls", "weight", "shingles", F.explode("sides").alias("s")).select("cls", "weight", "s.side", "shingles", "s.g", "s.i", "s.j")
     found = materialize(dealt.groupBy("g", "i", "j").applyInArrow(compare, "cls long, other long, links long"), "links")
     links = found.where("other is null").groupBy("cls").agg(F.sum("links").alias("links"))
     of_class = components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
     named = of_class.join(classes.select("cls", "least_doc"), F.col("node") == F.col("cls"))
     least = named.groupBy("component").agg(F.min("least_doc").alias("component_id"))
     by_class = classes.select("cls", "least_doc", "weight").join(named.select("cls", "component").join(least, "component").select("cls", "component", "component_id"), "cls", "left").join(links, "cls", "left")
-    by_class = by_class.select("cls", F.coalesce("component", "cls").alias("component"), F.coalesce("component_id", "least_doc").alias("component_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return all_rows.join(by_class, "cls", "left").select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    by_class = materialize(by_class.select("cls", "weight", F.coalesce("component", "cls").alias("component"), F.coalesce("component_id", "least_doc").alias("component_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links")), "by-class")
+    discard(shared, heads, sized, found)
+    hot = by_class.where(F.col("weight") >= max(2, all_rows.count() // HOT)).drop("weight")  # HOT rows at most
+    worded = all_rows.where("n > 0")
+    some = worded.join(F.broadcast(hot), "cls").unionByName(worded.join(F.broadcast(hot.select("cls")), "cls", "left_anti").join(by_class.drop("weight"), "cls"))
+    columns = ("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component", "component_id", "n_links")
+    none = all_rows.where("n = 0").select("doc_id", "th", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return some.select(*columns).unionByName(none)
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -328,14 +345,24 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component (that with the smallest doc_id, then text hash); rows with null doc_id or without words stay."""
-    rows = placed_rows(docs).where("doc_id is not null and n_shingles > 0").groupBy("component", "doc_id", "th").count()
-    heads = materialize(rows.groupBy("component").agg(F.min(F.struct("doc_id", "th", "count")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_th"), F.col("x.count").alias("_n")), "heads")
-    stays = F.col("doc_id").isNull() | F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    kept = docs.where(~stays).withColumn("_h", F.xxhash64("text")).join(heads.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
-    if not heads.where("_n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_h"])
-    return kept.drop("_h").union(docs.where(stays))
+    """docs with one row of each component (that with the smallest doc_id, then text hash); rows with null doc_id or without words stay.
+
+    The rows that go are a table of ids and text hashes; Spark sends it to all tasks or shuffles by its size.
+    """
+    rows = placed_rows(docs).where("doc_id is not null and n_shingles > 0").groupBy("component", "doc_id", "th").agg(F.count("*").alias("n"))
+    rows = materialize(rows, "texts")
+    first = rows.groupBy(F.col("component").alias("c")).agg(F.min(F.struct("doc_id", "th")).alias("x"))
+    own = first.select("c", F.col("x.doc_id").alias("i"), F.col("x.th").alias("t"))
+    repeated = materialize(rows.join(own, F.expr("component = c and doc_id = i and th = t"), "left").select("doc_id", "th", "n", F.col("i").isNotNull().alias("head")).where("not head or n > 1"), "not-single")
+    id_of, hash_of = unused("other_id", docs), unused("other_hash", docs)
+    gone = repeated.select(F.col("doc_id").alias(id_of), F.col("th").alias(hash_of))
+    same = (docs["doc_id"] == gone[id_of]) & (F.xxhash64(docs["text"]) == gone[hash_of])
+    kept = docs.join(gone, same, "left_anti")
+    twice = repeated.where("head").select(F.col("doc_id").alias(id_of), F.col("th").alias(hash_of))
+    if not twice.isEmpty():  # of equal rows, one
+        again = docs.join(twice, (docs["doc_id"] == twice[id_of]) & (F.xxhash64(docs["text"]) == twice[hash_of])).dropDuplicates([id_of, hash_of])
+        kept = kept.unionByName(again.select(*[docs[c] for c in docs.columns]))
+    return kept
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
