@@ -243,6 +243,15 @@ class Page:
         parent, n = self.parent, len(self.parent)
         self._find_replies()
         # what each element holds, unlinked, outside of elements that are unwanted for sure
+        if "form" in self.tag:  # some sites wrap the whole page in one
+            whole = [0.0] * n
+            for k, text, linked in zip(self.owner, self.texts, self.links, strict=True):
+                whole[k] += len(text) - linked
+            for k in range(n - 1, 0, -1):
+                whole[parent[k]] += whole[k]
+            for k in range(1, n):
+                if self.tag[k] == "form" and 2 * whole[k] > whole[0]:
+                    self.flag[k] = 0
         plain, marked = [0.0] * n, [0.0] * n
         in_article = [False] * n
         for k in range(1, n):
