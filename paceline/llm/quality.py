@@ -43,7 +43,7 @@ CLASS[list(b".,;:!?'\"-()")] = 6
 CLASS[list(b"#*$%&|<>@^~=+_\\{}[]/`")] = 8
 CLASS[0x80:], CLASS[[0xC3, 0xC4, 0xC5]] = 10, 9
 #: Words that a task holds before they leave it.
-HELD = 1_000_000
+HELD = 500_000
 #: Words of a language from which it has a reference: a common word is there ten times.
 LEAST_WORDS = int(10 / COMMON)
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; one longer text is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Bytes whose terms of a hash are computed at once.
+STEP = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 PRIME, PRIME_BASE = np.uint64(2**31 - 1), 1_340_157_139
 WHITE = np.zeros(256, bool)
@@ -37,29 +38,38 @@ BYTES_LOWER = BYTES.copy()
 BYTES_LOWER[65:91] = BYTES[97:123]
 
 
-@cache
+#: Powers of the bases and of their inverses, as far as they have been needed: one table of each kind.
+_POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of BASE and of its inverse."""
-    with np.errstate(over="ignore"):
-        inverse = np.uint64(pow(int(BASE), -1, 2**64))
-        out = []
-        for b in (BASE, inverse):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+    if "base" not in _POWERS or len(_POWERS["base"][0]) < n:
+        size = 1 << max(n - 1, CHUNK - 1).bit_length()
+        with np.errstate(over="ignore"):
+            out = []
+            for b in (BASE, np.uint64(pow(int(BASE), -1, 2**64))):
+                p = np.full(size, b, np.uint64)
+                p[0] = 1
+                out.append(np.cumprod(p, dtype=np.uint64, out=p))
+        _POWERS["base"] = (out[0], out[1])
+    return _POWERS["base"]
 
 
-@cache
 def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of PRIME_BASE and of its inverse, modulo PRIME; n is a power of two."""
-    out = []
-    for b in (PRIME_BASE, pow(PRIME_BASE, -1, int(PRIME))):
-        p = np.ones(1, np.uint64)
-        while len(p) < n:
-            p = np.concatenate((p, p * np.uint64(pow(b, len(p), int(PRIME))) % PRIME))
-        out.append(p.astype(np.uint32))
-    return out[0], out[1]
+    """The first n powers of PRIME_BASE and of its inverse, modulo PRIME."""
+    if "prime" not in _POWERS or len(_POWERS["prime"][0]) < n:
+        size = 1 << max(n - 1, CHUNK - 1).bit_length()
+        out = []
+        for b in (PRIME_BASE, pow(PRIME_BASE, -1, int(PRIME))):
+            p = np.ones(size, np.uint32)
+            have = 1
+            while have < size:
+                p[have : 2 * have] = p[:have] * np.uint64(pow(b, have, int(PRIME))) % PRIME
+                have *= 2
+            out.append(p)
+        _POWERS["prime"] = (out[0], out[1])
+    return _POWERS["prime"]
 
 
 PRIME_BYTES, PRIME_BYTES_LOWER = (t >> np.uint64(33) for t in (BYTES, BYTES_LOWER))
@@ -104,16 +114,24 @@ class Chunk:
     def hashes(self, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
         if not len(start):
             return np.zeros(0, np.uint64)
-        size = 1 << max(CHUNK.bit_length() - 1, int(len(self.data) - 1).bit_length())
-        up, down = powers(size)
-        table = BYTES_LOWER if lower else BYTES
+        n = len(self.data)
+        sums = np.zeros(n + 1, np.uint64)
+
+        def add_up(table: np.ndarray, up: np.ndarray, prime: bool) -> None:
+            for i in range(0, n, STEP):
+                j = min(n, i + STEP)
+                terms = table[self.data[i:j]] * up[i:j]
+                if prime:  # terms are below 2**62; below 2**32 each, sums of a chunk stay exact
+                    terms = (terms & PRIME) + (terms >> np.uint64(31))
+                np.cumsum(terms, dtype=np.uint64, out=sums[i + 1 : j + 1])
+                sums[i + 1 : j + 1] += sums[i]
+
         with np.errstate(over="ignore"):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[self.data] * up[: len(self.data)], dtype=np.uint64)))
+            up, down = powers(n)
+            add_up(BYTES_LOWER if lower else BYTES, up, False)
             first = (sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            up, down = prime_powers(size)
-            terms = (PRIME_BYTES_LOWER if lower else PRIME_BYTES)[self.data] * up[: len(self.data)]  # below 2**62
-            terms = (terms & PRIME) + (terms >> np.uint64(31))  # below 2**32, so sums of a chunk stay exact
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+            up, down = prime_powers(n)
+            add_up(PRIME_BYTES_LOWER if lower else PRIME_BYTES, up, True)
             second = (sums[end] - sums[start]) % PRIME * down[start] % PRIME
             return mix(first ^ mix(second + BASE))
 
