@@ -254,9 +254,9 @@ def filter_documents(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataF
 
     def rows(batches):
         for batch in batches:
-            kept = [np.asarray(pc.not_equal(names, UNKNOWN)) & (score >= least_score) for _, names, score in judged(batch, shared.value)]
-            if kept:
-                yield batch.filter(pa.array(np.concatenate(kept)))
+            for c, names, score in judged(batch, shared.value):  # small batches go back, so that no copy of a large one is held
+                kept = pc.not_equal(names, UNKNOWN).to_numpy(zero_copy_only=False) & (score >= least_score)
+                yield batch.slice(c.first, len(c)).filter(pa.array(kept))
 
     return docs.mapInArrow(rows, docs.schema)
 

@@ -201,9 +201,9 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in batches:
             known = _referenced(batch, refs)
-            kept = [verdicts(c, known[c.first : c.first + len(c)], refs)["kept"] for c in chunks(batch.column("text"))]
-            if kept:
-                yield batch.filter(pa.array(np.concatenate(kept)))
+            for c in chunks(batch.column("text")):  # small batches go back, so that no copy of a large one is held
+                kept = verdicts(c, known[c.first : c.first + len(c)], refs)["kept"]
+                yield batch.slice(c.first, len(c)).filter(pa.array(kept))
 
     return docs.mapInArrow(rows, docs.schema)
 
