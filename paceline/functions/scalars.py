@@ -15,7 +15,7 @@ WEATHER_LABELS = {
     95: "Thunderstorm", 96: "Thunderstorm with slight hail", 99: "Thunderstorm with heavy hail",
 }
 #: The sixteen compass points from north.
-COMPASS = "N NNE NE ENE E ESE SE SSE S SSW SW WSW W WNW NW NNW".split()
+COMPASS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
 #: Lap roles by intensity.
 ROLES = {"warmup": "warmup", "active": "work", "interval": "work", "rest": "recovery", "recovery": "recovery", "cooldown": "cooldown"}
 

@@ -109,18 +109,20 @@ def splits(records: DataFrame, laps: DataFrame, sessions: DataFrame, unit: float
 
 
 def dynamics(records: DataFrame, laps: DataFrame, step_s: float = STEP_S, unit: float = KILOMETRE_M, smoothing_m: float = 170.0, grade_m: float = 200.0) -> DataFrame:
-    """Samples of each segment at 0, step, .. and its end: heart rate, speed, grade; only both ends where a lap's timer replaced the records'."""
+    """Samples of each segment at 0, step, .. and its end: heart rate, speed, grade; only both ends where a lap's timer replaced the records'.
+
+    from_km and to_km name a partial segment and are null for a full one; texts of them are made with the report, whose format rounds to even.
+    """
     segs = timed(segments(records, unit), records, laps, unit).where("duration_s > 0").withColumn("uncertain", F.col("duration_s") != F.col("record_duration_s"))
     n = F.floor(F.col("duration_s") / step_s).cast("int")
     grid = F.transform(F.sequence(F.lit(0), n), lambda i: i * F.lit(float(step_s)))
     grid = F.when(F.col("uncertain"), F.array(F.lit(0.0), F.col("duration_s"))).when(F.element_at(grid, -1) == F.col("duration_s"), grid).otherwise(F.array_append(grid, F.col("duration_s")))
-    full_label = F.concat(F.lit("Km "), F.col("kilometer"))
-    label = F.when(F.col("is_partial"), F.format_string("Km %.2f–%.2f", (F.col("start.distance_m") - F.col("origin_m")) / 1000, (F.col("end.distance_m") - F.col("origin_m")) / 1000)).otherwise(full_label)
-    targets = segs.select("activity_id", "kilometer", label.alias("label"), "uncertain", "duration_s", "record_duration_s", F.col("start.elapsed_s").alias("from"), F.explode(grid).alias("elapsed_seconds"))
+    edge = lambda name: F.when(F.col("is_partial"), (F.col(f"{name}.distance_m") - F.col("origin_m")) / 1000)
+    targets = segs.select("activity_id", "kilometer", edge("start").alias("from_km"), edge("end").alias("to_km"), "uncertain", "duration_s", "record_duration_s", F.col("start.elapsed_s").alias("from"), F.explode(grid).alias("elapsed_seconds"))
     offset = F.when(F.col("uncertain") & (F.col("elapsed_seconds") == F.col("duration_s")), F.col("record_duration_s")).otherwise(F.col("elapsed_seconds"))
-    targets = targets.select("activity_id", "kilometer", "label", "uncertain", "elapsed_seconds", (F.col("from") + offset).alias("at"))
+    targets = targets.select("activity_id", "kilometer", "from_km", "to_km", "uncertain", "elapsed_seconds", (F.col("from") + offset).alias("at"))
     found = interpolate(records, targets, "activity_id", "elapsed_s", "pos", "at", ["distance_m", "speed_mps", "grade_percent"], ["heart_rate_bpm"]).where("found")
     graded = estimated_grade(found.withColumn("sample_id", F.struct("kilometer", "elapsed_seconds")), records, smoothing_m, grade_m)
     return graded.select(
-        "activity_id", "kilometer", "label", "elapsed_seconds", "heart_rate_bpm", (F.col("speed_mps") * 3.6).alias("speed_kmh"), F.coalesce("grade_percent", "estimated_grade").alias("grade_percent"), F.when(F.col("uncertain"), NOTE).alias("sampling_note")
+        "activity_id", "kilometer", "from_km", "to_km", "elapsed_seconds", "heart_rate_bpm", (F.col("speed_mps") * 3.6).alias("speed_kmh"), F.coalesce("grade_percent", "estimated_grade").alias("grade_percent"), F.when(F.col("uncertain"), NOTE).alias("sampling_note")
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.functions.scalars import activity_type, compass, seconds
+from paceline.functions.scalars import WEATHER_LABELS, activity_type, compass, seconds
 from paceline.operators import active_time, elevation, laps, splits, steps, summary, weather
 from paceline.plans import batch
 from paceline.plans.oracles import BASE, LAPS, SEGMENTS, SPANS, STRICT, TOLERANT
@@ -277,7 +277,7 @@ HOURLY = """
 hr0 AS (SELECT aid, date_trunc('hour', ts) AS ts, min(pos) AS pos FROM rec GROUP BY ALL),
 hw AS (SELECT hr0.aid, hr0.ts, e.k * 0.3::DOUBLE AS t, CASE WHEN e.k % 4 <> 0 THEN e.k * 0.25::DOUBLE END AS f, e.k AS code, 5.0::DOUBLE + e.k AS ws, (e.k * 37) % 360 + 0.5::DOUBLE AS wd FROM hr0 JOIN e ON e.aid = hr0.aid AND e.pos = hr0.pos WHERE e.k % 5 <> 0),
 """
-CODES = "0 1 2 3 45 48 51 53 55 56 57 61 63 65 66 67 71 73 75 77 80 81 82 85 86 95 96 99"
+CONDITION = "CASE code " + " ".join(f"WHEN {code} THEN '{label}'" for code, label in WEATHER_LABELS.items()) + " END"
 
 
 @query(BASE + HOURLY + f"""
@@ -285,7 +285,7 @@ wa AS (SELECT aid, t0 AS s, t0 + INTERVAL 3 DAY AS e FROM ses WHERE u % 2 = 0),
 wj AS (SELECT hw.*, wa.s, ts >= date_trunc('hour', wa.s) AND ts <= date_trunc('hour', wa.e) AS inside, abs(epoch_us(ts) - epoch_us(wa.s)) AS away FROM hw JOIN wa ON wa.aid = hw.aid),
 wr AS (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY NOT inside, away, ts) AS r FROM wj),
 wg AS (SELECT aid, count(*) FILTER (inside) AS n, avg(ws) FILTER (inside) AS ws, (degrees(atan2(sum(sin(radians(wd))) FILTER (inside), sum(cos(radians(wd))) FILTER (inside))) + 360) AS wd, min(t) FILTER (inside) AS lo, max(t) FILTER (inside) AS hi FROM wj GROUP BY aid)
-SELECT wg.aid AS activity_id, round(wr.t, 6) AS temperature_c, round(f, 6) AS apparent_temperature_c, code IN ({CODES.replace(' ', ', ')}) AS has_condition, round(CASE WHEN n > 0 THEN wg.ws ELSE wr.ws END, 6) AS wind_speed_kmh,
+SELECT wg.aid AS activity_id, round(wr.t, 6) AS temperature_c, round(f, 6) AS apparent_temperature_c, {CONDITION} AS condition_summary, round(CASE WHEN n > 0 THEN wg.ws ELSE wr.ws END, 6) AS wind_speed_kmh,
   round(CASE WHEN n > 0 THEN wg.wd - 360 * floor(wg.wd / 360) ELSE wr.wd END, 6) AS wind_direction_deg, round(CASE WHEN n > 0 THEN lo ELSE wr.t END, 6) AS temperature_min_c, round(CASE WHEN n > 0 THEN hi ELSE wr.t END, 6) AS temperature_max_c FROM wg JOIN wr ON wr.aid = wg.aid AND r = 1""")
 def weather_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = activities(spark, sf_dir)
@@ -295,7 +295,7 @@ def weather_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     hourly = first.select("activity_id", "ts", (k * 0.3).alias("temperature_c"), F.when(k % 4 != 0, k * 0.25).alias("apparent_temperature_c"), k.alias("weather_code"), (5.0 + k).alias("wind_speed_kmh"), ((k * 37) % 360 + 0.5).alias("wind_direction_deg"))
     even = a.records.groupBy("activity_id").agg(F.min("ts").alias("start_time")).where(F.col("activity_id").cast("long") % 2 == 0).withColumn("end_time", F.expr("start_time + interval 3 days"))
     found = weather.weather(even, hourly)
-    return rounded(found.select("activity_id", "temperature_c", "apparent_temperature_c", F.col("condition_summary").isNotNull().alias("has_condition"), "wind_speed_kmh", "wind_direction_deg", "temperature_min_c", "temperature_max_c"))
+    return rounded(found.select("activity_id", "temperature_c", "apparent_temperature_c", "condition_summary", "wind_speed_kmh", "wind_direction_deg", "temperature_min_c", "temperature_max_c"))
 
 
 ROUTE = """
@@ -361,10 +361,11 @@ sb AS (SELECT aid, km, off, CASE WHEN hit THEN f.hr ELSE CAST(round_even(coalesc
   CASE WHEN hit THEN f.grade ELSE coalesce(l.grade + (nf.grade - l.grade) * r, l.grade, nf.grade) END AS grade, CASE WHEN hit THEN f.d ELSE coalesce(l.d + (nf.d - l.d) * r, l.d, nf.d) END AS d FROM sa),
 go AS (SELECT sb.aid, km, off, o, CASE WHEN prf.d = sb.d + o THEN prf.alt ELSE prf.alt + (nalt - prf.alt) * ((sb.d + o - prf.d) / (nd - prf.d)) END AS a FROM sb, (VALUES (-100.0), (100.0), (-200.0), (0.0), (200.0)) k(o) JOIN prf ON prf.aid = sb.aid AND prf.d <= sb.d + o AND (sb.d + o < nd OR nd IS NULL AND prf.d = sb.d + o) WHERE speed > 0),
 gg AS (SELECT aid, km, off, coalesce(max(a) FILTER (o = 100) - max(a) FILTER (o = -100), max(a) FILTER (o = 0) - max(a) FILTER (o = -200), max(a) FILTER (o = 200) - max(a) FILTER (o = 0)) / 200 * 100 AS g FROM go GROUP BY ALL)
-SELECT sb.aid AS activity_id, CAST(sb.km AS INT) AS kilometer, round(sb.off, 6) AS elapsed_seconds, hr AS heart_rate_bpm, round(speed * 3.6, 6) AS speed_kmh, round(coalesce(grade, g), 6) AS grade_percent FROM sb LEFT JOIN gg ON gg.aid = sb.aid AND gg.km = sb.km AND gg.off = sb.off""")
+SELECT sb.aid AS activity_id, CAST(sb.km AS INT) AS kilometer, round(sb.off, 6) AS elapsed_seconds, hr AS heart_rate_bpm, round(speed * 3.6, 6) AS speed_kmh, round(coalesce(grade, g), 6) AS grade_percent,
+  CASE WHEN part THEN round((st - d0) / 1000, 6) END AS from_km, CASE WHEN part THEN round((t - d0) / 1000, 6) END AS to_km FROM sb JOIN sg ON sg.aid = sb.aid AND sg.km = sb.km JOIN de ON de.aid = sb.aid LEFT JOIN gg ON gg.aid = sb.aid AND gg.km = sb.km AND gg.off = sb.off""")
 def dynamics_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, records, _ = prepared(spark, sf_dir)
-    return rounded(splits.dynamics(records, a.laps, 86_400.0).select("activity_id", "kilometer", "elapsed_seconds", "heart_rate_bpm", "speed_kmh", "grade_percent"))
+    return rounded(splits.dynamics(records, a.laps, 86_400.0).select("activity_id", "kilometer", "from_km", "to_km", "elapsed_seconds", "heart_rate_bpm", "speed_kmh", "grade_percent"))
 
 
 @query("SELECT DISTINCT user_id AS id, CASE WHEN user_id % 4 = 0 THEN 'Bike-Ride' WHEN user_id % 4 = 1 THEN 'Trail Run' WHEN user_id % 4 = 2 THEN 'Running' END AS label FROM events")

@@ -70,6 +70,10 @@ def weather_text(s: dict, w: dict | None) -> str:
     return f"{', '.join(parts)} [{w['source']}]"
 
 
+def segment_label(x: dict) -> str:
+    return f"Km {x['kilometer']}" if x["from_km"] is None else f"Km {x['from_km']:.2f}–{x['to_km']:.2f}"
+
+
 def markdown(row: dict, workout: bool = False, thresholds: tuple[int, ...] | None = None) -> str:
     """The report of one assembled row; workout: with laps, repetitions and recoveries; thresholds: with zones."""
     s, pace = row["summary"], (row["sport"] or "").strip().casefold() == "running"
@@ -89,9 +93,9 @@ def markdown(row: dict, workout: bool = False, thresholds: tuple[int, ...] | Non
     lines += ["No split data available."] * (not row["splits"]) + ["", "## Heart Rate Dynamics (Per Kilometer)"]
     last = None
     for x in row["dynamics"] or ():
-        if x["label"] != last:
-            lines += [f"- **{x['label']}**", *[f"  - {x['sampling_note']}"] * (x["sampling_note"] is not None)]
-            last = x["label"]
+        if x["kilometer"] != last:
+            lines += [f"- **{segment_label(x)}**", *[f"  - {x['sampling_note']}"] * (x["sampling_note"] is not None)]
+            last = x["kilometer"]
         grade = [f"Grade: {g:.2f}%" for g in [x["grade_percent"]] if g is not None]
         lines.append(f"  - {clock(x['elapsed_seconds'])}: {shown(x['heart_rate_bpm'])} bpm ({', '.join([('Pace: ' if pace else 'Speed: ') + speed(x['speed_kmh'], pace), *grade])})")
     lines += ["No transition samples available."] * (not row["dynamics"])

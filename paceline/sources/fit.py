@@ -9,6 +9,7 @@ enumerations are those of the public FIT profile.
 from __future__ import annotations
 
 import struct
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,32 +27,55 @@ MESSAGES = {12: "sport", 18: "session", 19: "lap", 20: "record", 21: "event", 27
 FIELDS = {
     "sport": {0: ("sport", 1, 0), 1: ("sub_sport", 1, 0)},
     "session": {253: ("timestamp", 1, 0), 2: ("start_time", 1, 0), 3: ("start_position_lat", 1, 0), 4: ("start_position_long", 1, 0), 5: ("sport", 1, 0), 6: ("sub_sport", 1, 0), 7: ("total_elapsed_time", 1000, 0), 8: ("total_timer_time", 1000, 0), 9: ("total_distance", 100, 0), 14: ("avg_speed", 1000, 0), 16: ("avg_heart_rate", 1, 0), 17: ("max_heart_rate", 1, 0), 18: ("avg_cadence", 1, 0), 22: ("total_ascent", 1, 0), 23: ("total_descent", 1, 0), 57: ("avg_temperature", 1, 0), 58: ("max_temperature", 1, 0), 92: ("avg_fractional_cadence", 128, 0), 124: ("enhanced_avg_speed", 1000, 0)},
-    "lap": {253: ("timestamp", 1, 0), 2: ("start_time", 1, 0), 7: ("total_elapsed_time", 1000, 0), 8: ("total_timer_time", 1000, 0), 9: ("total_distance", 100, 0), 15: ("avg_heart_rate", 1, 0), 16: ("max_heart_rate", 1, 0), 17: ("avg_cadence", 1, 0), 21: ("total_ascent", 1, 0), 22: ("total_descent", 1, 0), 23: ("intensity", 1, 0), 50: ("avg_temperature", 1, 0), 51: ("max_temperature", 1, 0), 71: ("wkt_step_index", 1, 0), 80: ("avg_fractional_cadence", 128, 0)},
+    "lap": {253: ("timestamp", 1, 0), 2: ("start_time", 1, 0), 7: ("total_elapsed_time", 1000, 0), 8: ("total_timer_time", 1000, 0), 9: ("total_distance", 100, 0), 15: ("avg_heart_rate", 1, 0), 16: ("max_heart_rate", 1, 0), 17: ("avg_cadence", 1, 0), 21: ("total_ascent", 1, 0), 22: ("total_descent", 1, 0), 23: ("intensity", 1, 0), 25: ("sport", 1, 0), 50: ("avg_temperature", 1, 0), 51: ("max_temperature", 1, 0), 71: ("wkt_step_index", 1, 0), 80: ("avg_fractional_cadence", 128, 0)},
     "record": {253: ("timestamp", 1, 0), 0: ("position_lat", 1, 0), 1: ("position_long", 1, 0), 2: ("altitude", 5, 500), 3: ("heart_rate", 1, 0), 4: ("cadence", 1, 0), 5: ("distance", 100, 0), 6: ("speed", 1000, 0), 9: ("grade", 100, 0), 13: ("temperature", 1, 0), 53: ("fractional_cadence", 128, 0), 73: ("enhanced_speed", 1000, 0), 78: ("enhanced_altitude", 5, 500)},
     "event": {253: ("timestamp", 1, 0), 0: ("event", 1, 0), 1: ("event_type", 1, 0)},
     "workout_step": {254: ("message_index", 1, 0), 0: ("wkt_step_name", 1, 0), 1: ("duration_type", 1, 0), 2: ("duration_value", 1, 0), 3: ("target_type", 1, 0), 4: ("target_value", 1, 0), 5: ("custom_target_low", 1, 0), 6: ("custom_target_high", 1, 0), 7: ("intensity", 1, 0), 19: ("secondary_target_type", 1, 0)},
 }
 #: Enumerations.
-SPORTS = {0: "generic", 1: "running", 2: "cycling", 3: "transition", 4: "fitness_equipment", 5: "swimming", 11: "walking", 17: "hiking", 18: "multisport"}
-SUB_SPORTS = {0: "generic", 1: "treadmill", 2: "street", 3: "trail", 4: "track", 7: "road", 8: "mountain", 17: "lap_swimming", 18: "open_water"}
-INTENSITIES = {0: "active", 1: "rest", 2: "warmup", 3: "cooldown", 4: "recovery", 5: "interval"}
-EVENT_TYPES = {0: "start", 1: "stop", 4: "stop_all", 8: "stop_disable", 9: "stop_disable_all"}
-DURATIONS = {0: "time", 1: "distance", 5: "open", 6: "repeat_until_steps_cmplt", 7: "repeat_until_time", 8: "repeat_until_distance"}
-TARGETS = {0: "speed", 1: "heart_rate", 2: "open", 3: "cadence"}
+SPORTS = {
+    0: "generic", 1: "running", 2: "cycling", 3: "transition", 4: "fitness_equipment", 5: "swimming", 6: "basketball", 7: "soccer", 8: "tennis", 9: "american_football",
+    10: "training", 11: "walking", 12: "cross_country_skiing", 13: "alpine_skiing", 14: "snowboarding", 15: "rowing", 16: "mountaineering", 17: "hiking", 18: "multisport", 19: "paddling",
+    20: "flying", 21: "e_biking", 22: "motorcycling", 23: "boating", 24: "driving", 25: "golf", 26: "hang_gliding", 27: "horseback_riding", 28: "hunting", 29: "fishing",
+    30: "inline_skating", 31: "rock_climbing", 32: "sailing", 33: "ice_skating", 34: "sky_diving", 35: "snowshoeing", 36: "snowmobiling", 37: "stand_up_paddleboarding", 38: "surfing", 39: "wakeboarding",
+    40: "water_skiing", 41: "kayaking", 42: "rafting", 43: "windsurfing", 44: "kitesurfing", 45: "tactical", 46: "jumpmaster", 47: "boxing", 48: "floor_climbing", 53: "diving", 254: "all",
+}
+SUB_SPORTS = {
+    0: "generic", 1: "treadmill", 2: "street", 3: "trail", 4: "track", 5: "spin", 6: "indoor_cycling", 7: "road", 8: "mountain", 9: "downhill",
+    10: "recumbent", 11: "cyclocross", 12: "hand_cycling", 13: "track_cycling", 14: "indoor_rowing", 15: "elliptical", 16: "stair_climbing", 17: "lap_swimming", 18: "open_water", 19: "flexibility_training",
+    20: "strength_training", 21: "warm_up", 22: "match", 23: "exercise", 24: "challenge", 25: "indoor_skiing", 26: "cardio_training", 27: "indoor_walking", 28: "e_bike_fitness", 29: "bmx",
+    30: "casual_walking", 31: "speed_walking", 32: "bike_to_run_transition", 33: "run_to_bike_transition", 34: "swim_to_bike_transition", 35: "atv", 36: "motocross", 37: "backcountry", 38: "resort", 39: "rc_drone",
+    40: "wingsuit", 41: "whitewater", 42: "skate_skiing", 43: "yoga", 44: "pilates", 45: "indoor_running", 46: "gravel_cycling", 47: "e_bike_mountain", 48: "commuting", 49: "mixed_surface",
+    50: "navigate", 51: "track_me", 52: "map", 53: "single_gas_diving", 54: "multi_gas_diving", 55: "gauge_diving", 56: "apnea_diving", 57: "apnea_hunting", 58: "virtual_activity", 59: "obstacle", 254: "all",
+}
+INTENSITIES = {0: "active", 1: "rest", 2: "warmup", 3: "cooldown", 4: "recovery", 5: "interval", 6: "other"}
+EVENT_TYPES = {0: "start", 1: "stop", 2: "consecutive_depreciated", 3: "marker", 4: "stop_all", 5: "begin_depreciated", 6: "end_depreciated", 7: "end_all_depreciated", 8: "stop_disable", 9: "stop_disable_all"}
+DURATIONS = {
+    0: "time", 1: "distance", 2: "hr_less_than", 3: "hr_greater_than", 4: "calories", 5: "open", 6: "repeat_until_steps_cmplt", 7: "repeat_until_time", 8: "repeat_until_distance", 9: "repeat_until_calories",
+    10: "repeat_until_hr_less_than", 11: "repeat_until_hr_greater_than", 12: "repeat_until_power_less_than", 13: "repeat_until_power_greater_than", 14: "power_less_than", 15: "power_greater_than", 28: "repetition_time", 29: "reps",
+}
+TARGETS = {0: "speed", 1: "heart_rate", 2: "open", 3: "cadence", 4: "power", 5: "grade", 6: "resistance", 7: "power_3s", 8: "power_10s", 9: "power_30s", 10: "power_lap", 11: "swim_stroke", 12: "speed_lap", 13: "heart_rate_lap"}
 SCHEMA = "activity_id string, pos long, message string, numbers map<string, double>, texts map<string, string>, error string"
 
 
+def _crc_of_byte(b: int) -> int:
+    for _ in range(8):
+        b = b >> 1 ^ (0xA001 if b & 1 else 0)
+    return b
+
+
+CRC_TABLE = [_crc_of_byte(b) for b in range(256)]
+
+
 def crc16(data: bytes) -> int:
-    crc = 0
+    crc, table = 0, CRC_TABLE
     for b in data:
-        crc ^= b
-        for _ in range(8):
-            crc = crc >> 1 ^ (0xA001 if crc & 1 else 0)
+        crc = crc >> 8 ^ table[(crc ^ b) & 0xFF]
     return crc
 
 
 def decode(data: bytes):
-    """Yields (message, numbers, texts) of one file; raises ValueError if it isn't a sound FIT file."""
+    """Yields (message, numbers, texts) of one file; a field that a message has twice is unknown; raises ValueError if it isn't a sound FIT file."""
     if len(data) < 14 or data[8:12] != b".FIT" or data[0] not in (12, 14):
         raise ValueError("no FIT header")
     size, end = int.from_bytes(data[4:8], "little"), data[0] + int.from_bytes(data[4:8], "little")
@@ -77,6 +101,7 @@ def decode(data: bytes):
             name = MESSAGES.get(number)
             numbers: dict[str, float] = {}
             texts: dict[str, str] = {}
+            counts = Counter(field for field, _, _ in fields)
             for field, width, base in fields:
                 raw = data[at : at + width]
                 at += width
@@ -91,7 +116,7 @@ def decode(data: bytes):
                         continue
                 if field == 253:
                     last_time = value
-                if name and field in FIELDS[name]:
+                if name and field in FIELDS[name] and counts[field] == 1:
                     label, scale, offset = FIELDS[name][field]
                     if code == "s":
                         texts[label] = value
@@ -129,7 +154,9 @@ def messages(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _label(value: Column, names: dict[int, str]) -> Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), value.cast("int"))
+    """The name of a code; a code without one stays a number, as text."""
+    code = value.cast("int")
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), code), code.cast("string"))
 
 
 def tables(decoded: DataFrame) -> tuple[Activities, DataFrame]:
@@ -145,7 +172,7 @@ def tables(decoded: DataFrame) -> tuple[Activities, DataFrame]:
         "activity_id", "sport", _label(F.coalesce("ssp", n("sub_sport")), SUB_SPORTS).alias("sub_sport"), time("start_time").alias("start_time"), time("timestamp").alias("end_time"), degrees_of_semicircles(n("start_position_lat")).alias("start_latitude_deg"),
         degrees_of_semicircles(n("start_position_long")).alias("start_longitude_deg"), n("total_distance").alias("total_distance_m"), n("total_timer_time").alias("total_timer_time_s"), n("total_elapsed_time").alias("total_elapsed_time_s"), n("total_ascent").alias("total_ascent_m"),
         n("total_descent").alias("total_descent_m"), whole("avg_heart_rate").alias("avg_heart_rate_bpm"), whole("max_heart_rate").alias("max_heart_rate_bpm"),
-        F.when(F.lower("sport") == "running", doubled(n("avg_cadence"), n("avg_fractional_cadence"))).otherwise(whole("avg_cadence")).alias("avg_cadence_spm"), F.coalesce(n("enhanced_avg_speed"), n("avg_speed")).alias("avg_speed_mps"),
+        F.when((F.lower("sport") == "running") & (n("sport") == 1), doubled(n("avg_cadence"), n("avg_fractional_cadence"))).otherwise(whole("avg_cadence")).alias("avg_cadence_spm"), F.coalesce(n("enhanced_avg_speed"), n("avg_speed")).alias("avg_speed_mps"),
         n("avg_temperature").alias("avg_temperature_c"), F.lit(None).cast("double").alias("min_temperature_c"), n("max_temperature").alias("max_temperature_c"),
     )
     running = sessions.select("activity_id", (F.lower("sport") == "running").alias("running"))
@@ -156,13 +183,12 @@ def tables(decoded: DataFrame) -> tuple[Activities, DataFrame]:
         F.coalesce(n("enhanced_altitude"), n("altitude")).alias("altitude_m"), n("grade").alias("grade_percent"), n("temperature").alias("temperature_c"),
     )
     w = Window.partitionBy("activity_id").orderBy("pos")
-    lap = of("lap").join(running, "activity_id", "left")
-    laps = lap.select(
+    laps = of("lap").select(
         "activity_id", "pos", F.row_number().over(w).alias("lap_index"), time("start_time").alias("start_time"), time("timestamp").alias("end_time"), n("total_distance").alias("total_distance_m"), n("total_timer_time").alias("total_timer_time_s"), n("total_ascent").alias("total_ascent_m"),
-        n("total_descent").alias("total_descent_m"), whole("avg_heart_rate").alias("avg_heart_rate_bpm"), whole("max_heart_rate").alias("max_heart_rate_bpm"), F.when(F.col("running"), doubled(n("avg_cadence"), n("avg_fractional_cadence"))).otherwise(whole("avg_cadence")).alias("avg_cadence_spm"),
+        n("total_descent").alias("total_descent_m"), whole("avg_heart_rate").alias("avg_heart_rate_bpm"), whole("max_heart_rate").alias("max_heart_rate_bpm"), F.when(n("sport") == 1, doubled(n("avg_cadence"), n("avg_fractional_cadence"))).otherwise(whole("avg_cadence")).alias("avg_cadence_spm"),  # the lap's own sport makes it the running field
         n("avg_temperature").alias("avg_temperature_c"), F.lit(None).cast("double").alias("min_temperature_c"), n("max_temperature").alias("max_temperature_c"), _label(n("intensity"), INTENSITIES).alias("intensity"), n("wkt_step_index").cast("int").cast("string").alias("wkt_step_index"),
     )
-    events = of("event").where((n("event") == 0) & n("timestamp").isNotNull() & n("event_type").isNotNull()).select("activity_id", "pos", time("timestamp").alias("ts"), F.coalesce(_label(n("event_type"), EVENT_TYPES), n("event_type").cast("int").cast("string")).alias("event_type"))
+    events = of("event").where((n("event") == 0) & n("timestamp").isNotNull() & n("event_type").isNotNull()).select("activity_id", "pos", time("timestamp").alias("ts"), _label(n("event_type"), EVENT_TYPES).alias("event_type"))
     kind, target = _label(n("duration_type"), DURATIONS), _label(n("target_type"), TARGETS)
     ranged = lambda name, side: F.when(target == name, n(f"custom_target_{side}") / (1000 if name == "speed" else 1))
     steps = of("workout_step").select(
