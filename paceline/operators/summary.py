@@ -18,8 +18,8 @@ def start_times(sessions: DataFrame, records: DataFrame) -> DataFrame:
     return sessions.join(first, "activity_id", "left").select("activity_id", F.coalesce("start_time", "first_ts", back, "end_time").alias("start_time"))
 
 
-def summaries(sessions: DataFrame, records: DataFrame, laps: DataFrame, prefer_records: bool = False, smoothing_m: float = SMOOTHING_M, least_change_m: float = LEAST_CHANGE_M) -> DataFrame:
-    """One row per activity. records: with elapsed_s."""
+def summaries(sessions: DataFrame, records: DataFrame, laps: DataFrame, prefer_records: bool | DataFrame = False, smoothing_m: float = SMOOTHING_M, least_change_m: float = LEAST_CHANGE_M) -> DataFrame:
+    """One row per activity. records: with elapsed_s; prefer_records: whether climb comes from them first, or the activities (activity_id) where it does."""
     whole = lambda c: half_even(F.avg(F.col(c).cast("int")))
     r = records.groupBy("activity_id").agg(
         F.count("*").alias("r_n"), F.count("distance_m").alias("r_nd"), (F.max("distance_m") - F.min("distance_m")).alias("r_span"), F.count("elapsed_s").alias("r_ne"), (F.max("elapsed_s") - F.min("elapsed_s")).alias("r_elapsed"),
@@ -37,11 +37,15 @@ def summaries(sessions: DataFrame, records: DataFrame, laps: DataFrame, prefer_r
     r_time = F.when(F.col("r_ne") >= 2, F.col("r_elapsed")).when(F.col("r_n") >= 2, seconds(F.col("r_last"), F.col("r_first")))
     distance = F.coalesce("total_distance_m", F.when(F.col("r_nd") >= 2, F.col("r_span")), "l_m")
     j = j.withColumns({"distance_m": distance, "timer_s": F.coalesce("total_timer_time_s", r_time, "l_s")})
-    up, down = (["f_up", "total_ascent_m", "l_up"], ["f_down", "total_descent_m", "l_down"]) if prefer_records else (["total_ascent_m", "l_up", "f_up"], ["total_descent_m", "l_down", "f_down"])
+    if isinstance(prefer_records, DataFrame):
+        j = j.join(prefer_records.select("activity_id").distinct().withColumn("preferred", F.lit(True)), "activity_id", "left")
+    else:
+        j = j.withColumn("preferred", F.lit(prefer_records))
+    climb = lambda side, total: F.coalesce(F.when(F.col("preferred"), F.col(f"f_{side}")), total, f"l_{side}", f"f_{side}")
     kind = activity_type(F.col("sport"), F.col("sub_sport"))
     return j.select(
         "activity_id", "start_time", kind.alias("activity_type"), "distance_m", "timer_s", F.coalesce(F.when(F.col("total_elapsed_time_s") != 0, F.col("total_elapsed_time_s")), "timer_s").alias("elapsed_s"),
-        F.coalesce(*up).alias("ascent_m"), F.coalesce(*down).alias("descent_m"), F.coalesce("avg_heart_rate_bpm", "r_hr").alias("avg_heart_rate_bpm"), F.coalesce("max_heart_rate_bpm", "r_hr_max").alias("max_heart_rate_bpm"),
+        climb("up", "total_ascent_m").alias("ascent_m"), climb("down", "total_descent_m").alias("descent_m"), F.coalesce("avg_heart_rate_bpm", "r_hr").alias("avg_heart_rate_bpm"), F.coalesce("max_heart_rate_bpm", "r_hr_max").alias("max_heart_rate_bpm"),
         F.coalesce("avg_cadence_spm", "r_cad").alias("avg_cadence_spm"), F.coalesce(F.col("avg_speed_mps") * 3.6, km_per_hour(F.col("distance_m"), F.col("timer_s"))).alias("avg_speed_kmh"),
         F.coalesce("avg_temperature_c", "r_t", "l_t").alias("avg_temperature_c"), F.coalesce("min_temperature_c", "r_t_min", "l_t_min").alias("min_temperature_c"), F.coalesce("max_temperature_c", "r_t_max", "l_t_max").alias("max_temperature_c"),
     )

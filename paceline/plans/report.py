@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paceline.functions.scalars import plus_seconds
 from paceline.operators.active_time import strict_timeline, with_elapsed
+from paceline.operators.elevation import LEAST_CHANGE_M, SMOOTHING_M
 from paceline.operators.laps import CAP_S, ZONES, lap_rows, lap_zones, recoveries, repetitions, session_zones
 from paceline.operators.splits import STEP_S, dynamics, splits
 from paceline.operators.summary import summaries
@@ -21,19 +23,39 @@ from paceline.sources.fit import reportable
 HEADER = ["| Km | Distance | Time | Pace | Elev +/- | Avg HR | Max HR | Avg Cad |", "|---|---|---|---|---|---|---|---|"]
 
 
-def results(a: Activities, step_s: float = STEP_S, thresholds: tuple[int, ...] = ZONES, cap_s: float = CAP_S, prefer_records: bool = False) -> dict[str, DataFrame]:
-    """The result sets by name: summary, splits, dynamics, laps, repetitions, exclusions, recoveries, zones."""
+def results(a: Activities, step_s: float = STEP_S, thresholds: tuple[int, ...] = ZONES, cap_s: float = CAP_S, prefer_records: bool = False, enriched: DataFrame | None = None, smoothing_m: float = SMOOTHING_M, least_change_m: float = LEAST_CHANGE_M) -> dict[str, DataFrame]:
+    """The result sets by name: summary, splits, dynamics, laps, repetitions, exclusions, recoveries, zones.
+
+    enriched: records with terrain altitudes (``operators.elevation.enrich``); summary, splits and dynamics are
+    made from them, and activities they change prefer their totals to the session's. Laps keep what was recorded.
+    """
     samples = with_elapsed(a.records, a.timer_events)
-    records = reportable(samples)
+    records = reportable(samples if enriched is None else with_elapsed(enriched, a.timer_events))
+    preferred = prefer_records if enriched is None else changed(a.records, enriched)
     timelines = strict_timeline(a.sessions, a.timer_events)
     rows = lap_rows(a.laps, samples, timelines, cap_s)
     groups, left_out = repetitions(rows, a.sessions)
     return {
-        "summary": summaries(a.sessions, records, a.laps, prefer_records), "splits": splits(records, a.laps, a.sessions), "dynamics": dynamics(records, a.laps, step_s), "laps": rows, "repetitions": groups, "exclusions": left_out,
+        "summary": summaries(a.sessions, records, a.laps, preferred, smoothing_m, least_change_m), "splits": splits(records, a.laps, a.sessions), "dynamics": dynamics(records, a.laps, step_s), "laps": rows, "repetitions": groups, "exclusions": left_out,
         "recoveries": recoveries(rows, samples, timelines), "zones": session_zones(a.sessions, samples, timelines, thresholds, cap_s), "lap_zones": lap_zones(a.laps, samples, timelines, thresholds, cap_s),
     }
 
 
+def changed(records: DataFrame, enriched: DataFrame) -> DataFrame:
+    """activity_id of those with any record that enrichment changed."""
+    old = records.select("activity_id", "pos", F.struct("altitude_m", "grade_percent").alias("old"))
+    both = enriched.select("activity_id", "pos", F.struct("altitude_m", "grade_percent").alias("new")).join(old, ["activity_id", "pos"])
+    return both.where(~F.col("new").eqNullSafe(F.col("old"))).select("activity_id").distinct()
+
+
+def weather_wanted(a: Activities, summary: DataFrame) -> DataFrame:
+    """activity_id, start_time, end_time, latitude_deg, longitude_deg of activities without a temperature of their own."""
+    s = summary.where("start_time is not null and coalesce(avg_temperature_c, min_temperature_c, max_temperature_c) is null").select("activity_id", "start_time", "elapsed_s")
+    place = a.sessions.select("activity_id", "end_time", F.col("start_latitude_deg").alias("latitude_deg"), F.col("start_longitude_deg").alias("longitude_deg"))
+    j = s.join(place, "activity_id").where("latitude_deg is not null and longitude_deg is not null")
+    return j.select("activity_id", "start_time", F.coalesce("end_time", plus_seconds(F.col("start_time"), F.col("elapsed_s"))).alias("end_time"), "latitude_deg", "longitude_deg")
+
+
 def assembled(a: Activities, found: dict[str, DataFrame], weather: DataFrame | None = None) -> DataFrame:
     """One row per activity: sport, summary, zones and weather as structs, all other results as arrays in order."""
     listed = lambda name, *order: found[name].groupBy("activity_id").agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in found[name].columns if c not in (*order, "activity_id")]))).alias(name))

@@ -132,8 +132,13 @@ def decode(data: bytes):
         raise ValueError(f"malformed at byte {at}: {e!r}") from e
 
 
-def messages(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per message of the .fit files directly in path (or of that file), or the file's error."""
+def fit_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, content of the .fit files directly in path (or of that file)."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[fF][iI][tT]").load(path).select("path", "content")
+
+
+def messages(spark: SparkSession, path: str | list[str], only: DataFrame | None = None) -> DataFrame:
+    """One row per message of the .fit files directly in path (or of that file), or the file's error; only: paths (path) to keep."""
 
     def rows(batches):
         for batch in batches:
@@ -149,7 +154,9 @@ def messages(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 types = [pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.float64()), pa.map_(pa.string(), pa.string()), pa.string()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*table, strict=True), types, strict=True)], names=["activity_id", "pos", "message", "numbers", "texts", "error"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[fF][iI][tT]").load(path).select("path", "content")
+    files = fit_files(spark, path)
+    if only is not None:
+        files = files.join(only, "path", "left_semi")
     return files.mapInArrow(rows, SCHEMA)
 
 

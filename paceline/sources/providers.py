@@ -1,7 +1,7 @@
-"""Provider payloads (elevation, weather) that were fetched beforehand, as lookup tables.
+"""Answers of providers (elevation, weather) as lookup tables.
 
-The requests themselves stay outside Spark jobs; their JSON answers, one row per batch or activity, are
-parsed here with from_json and higher-order functions.
+``requests.py`` makes and sends the calls; the JSON answers, one row per batch or activity, are parsed
+here with from_json and higher-order functions.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def elevations(answers: DataFrame, size: int = BATCH) -> tuple[DataFrame, DataFr
     text = F.lower(F.coalesce("j.error", F.lit("")))
     kind = (
         F.when(F.col("status_code") == 429, "quota_exceeded").when(F.col("status_code").isNull() | (F.col("status_code") != 200), "unavailable").when(F.col("j").isNull() | F.col("j.status").isNull(), "invalid_response")
-        .when((F.col("j.status") != "OK") & (text.contains("rate limit") | text.contains("quota")), "quota_exceeded").when(~F.col("good") | (F.size("j.results") != F.col("expected")), "invalid_response")
+        .when((F.col("j.status") != "OK") & (text.contains("rate limit") | text.contains("quota")), "quota_exceeded").when(F.col("j.status") != "OK", "unavailable").when(~F.col("good") | (F.size("j.results") != F.col("expected")), "invalid_response")
     )
     own = p.withColumn("kind", kind).where("kind is not null").groupBy("activity_id", "kind").agg(F.min("batch").alias("first_batch"))
     covered = rows.groupBy("activity_id").agg(F.count("elevation_m").alias("have"), F.count("*").alias("want"))
