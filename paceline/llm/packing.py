@@ -36,6 +36,8 @@ SHORT = 256
 END_ID = 2
 #: The linear program ends when no pattern is worth this much more than a sequence.
 GAP = 2e-4
+#: Rooms that the knapsack fills at once, which bounds its memory.
+ROOMS = 512
 #: Rows that one task ranks.
 RANKED = 10_000
 
@@ -70,24 +72,27 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
 
 
 def best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the most valuable multiset of sizes that fits."""
-    value, chosen = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(int(sizes[0]), capacity + 1):
-        fits = int(np.searchsorted(sizes, room, "right"))
-        worth = prices[:fits] + value[room - sizes[:fits]]
-        k = int(np.argmax(worth))
-        if worth[k] > max(value[room - 1], 0):
-            value[room], chosen[room] = worth[k], k
-        else:
-            value[room] = value[room - 1]
-    pattern, room = np.zeros(len(sizes)), capacity
-    while room > 0:
-        if chosen[room] < 0:
-            room -= 1
-            continue
-        pattern[chosen[room]] += 1
-        room -= int(sizes[chosen[room]])
-    return float(value[capacity]), pattern
+    """Unbounded knapsack: the most valuable multiset of sizes (ascending) that fits.
+
+    The best single size per room comes first; each level then doubles the number of pieces, splitting every
+    room between two solutions of the level before.
+    """
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+    worth = np.concatenate([[0.0], prices])
+    top = np.maximum.accumulate(np.where(worth >= np.maximum.accumulate(worth), np.arange(len(worth)), 0))
+    single = top[fits]  # one more than the size's place; 0 for none
+    value, splits = worth[single], []
+    for _ in range(int(capacity // sizes[0]).bit_length() if capacity >= sizes[0] else 0):
+        padded = np.concatenate([np.full(capacity, -np.inf), value])
+        rest = np.lib.stride_tricks.as_strided(padded[capacity:], (capacity + 1, capacity + 1), (padded.strides[0], -padded.strides[0]), writeable=False)
+        split = np.concatenate([np.argmax(value + rest[r : r + ROOMS], axis=1) for r in range(0, capacity + 1, ROOMS)])
+        rooms = np.arange(capacity + 1)
+        value = value[split] + value[rooms - split]
+        splits.append(split)
+    pieces = np.array([capacity])
+    for split in reversed(splits):
+        pieces = np.concatenate([split[pieces], pieces - split[pieces]])
+    return float(value[capacity]), np.bincount(single[pieces], minlength=len(sizes) + 1)[1:].astype(float)
 
 
 def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP) -> list[tuple[np.ndarray, int]]:
