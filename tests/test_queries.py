@@ -7,7 +7,7 @@ import pytest
 
 from paceline.plans.queries import ORACLES, QUERIES
 
-LIGHT = ["km_splits", "session_summary", "elevation_gain_loss", "active_intervals_tolerant", "active_timeline_strict", "hr_zones_session", "step_link", "aligned_laps", "weather_lookup", "hybrid_decision", "dem_enriched_records", "output_collisions"]
+LIGHT = ["km_splits", "session_summary", "elevation_gain_loss", "active_intervals_tolerant", "active_timeline_strict", "hr_zones_session", "step_link", "aligned_laps", "weather_lookup", "dynamics_samples", "hybrid_decision", "dem_enriched_records", "output_collisions"]
 
 
 def same(x):
