@@ -13,8 +13,8 @@ with counts, which Spark sums. Every chunk asks for its pairs again (a join on t
 repartitioned by chunk to its documents' pairs, and each document sums them. No pair or document is
 larger than a chunk there, so no key is hot.
 
-Where A splits at white space first and no piece of B has a space after another byte, texts are encoded by
-stretches that begin at a space after other text, with a bounded cache of stretches; other tokenizers get whole texts.
+Texts of Latin letters get A's ids from tiktoken, with ranks made from A's own merges, which is four times as
+fast; a test compares both.
 
 Defined cases: null and empty texts, and texts whose joined token bytes aren't space and text (U+2581, which B
 writes for a space, is the usual cause), have no tokens, zeros and an empty digest; rows that are equal in
@@ -25,8 +25,8 @@ an empty table gives no rows; other columns are ignored; doc_ids are whole numbe
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -42,12 +42,10 @@ from paceline.llm.tokens import BYTE_LETTERS
 BLOCK = 1 << 15
 #: Links of a chunk; a chunk's links, distinct pairs and answers are in a task's memory at once.
 LINKS = 1_000_000
-#: Stretches kept per Python worker, in two generations of which the older one goes when the newer is full.
-CACHED = 300_000
-#: Longer stretches are encoded but not kept.
-CACHED_CHARS = 48
-#: A stretch begins at a space after a character that isn't white space.
-STRETCH = re.compile(r"(?<=\S) ")
+#: How byte-level tokenizers part a text before its bytes are merged (fixed value).
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Below this character, libraries can't differ in what a letter, number or space is; other texts take the tokenizer's own way.
+PLAIN = "\u0250"
 ROWS = 20_000
 
 EVENTS = "key binary, doc_id long, start long, side int, copies long, n int, ids binary"
@@ -65,17 +63,25 @@ class Pair:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
+        with open(path_a, encoding="utf-8") as f:
+            spec = json.load(f)
         byte_of = {letter: b for b, letter in enumerate(BYTE_LETTERS)}
         names = {i: t for t, i in self.a.get_vocab().items()}
         self.bytes_a = [self._letters(names.get(i), byte_of) for i in range(max(names) + 1)]
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.space = self.b.piece_to_id("▁")
-        pre = self.a.pre_tokenizer.__class__.__name__
-        inner = re.compile("[^▁]▁")
-        plain = not any(inner.search(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()) if not self.b.is_control(i) and not self.b.is_byte(i))
-        self.apart = pre == "ByteLevel" and self.a.normalizer is None and self.b.encode(" x") == [self.space, *self.b.encode("x")] and plain
-        self.cache: dict[str, tuple[list[int], list[int], bool]] = {}
-        self.older: dict[str, tuple[list[int], list[int], bool]] = {}
+        self.quick = self._ranked(spec)
+
+    def _ranked(self, spec: dict):
+        """The same byte pairs by rank in tiktoken, which is faster, if ids ascend with the merges; else None."""
+        import tiktoken
+
+        pre, vocab = spec.get("pre_tokenizer") or {}, spec["model"]["vocab"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        ascending = all(vocab[x + y] == 256 + k for k, (x, y) in enumerate(merges)) and all(vocab.get(c, 256) < 256 for c in BYTE_LETTERS)
+        if not ascending or spec.get("normalizer") or pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space"):
+            return None
+        ranks = {self.bytes_a[i]: i for i in range(256 + len(merges))}
+        return tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     @staticmethod
     def _letters(token: str | None, byte_of: dict[str, int]) -> bytes:
@@ -85,39 +91,18 @@ class Pair:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def joins(self, text: str, a: list[int], b: list[int]) -> bool:
-        """Whether either side's bytes are space and text."""
-        whole = b" " + text.encode()
-        return b"".join([self.bytes_a[i] for i in a]) == whole and b"".join([self.bytes_b[i] for i in b]) == whole
-
-    def _encode(self, texts: list[str]) -> list[tuple[list[int], list[int], bool]]:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = [ids if t else [self.space] for t, ids in zip(texts, self.b.encode(texts, num_threads=1), strict=True)]
-        return [(x, y, self.joins(t, x, y)) for t, x, y in zip(texts, a, b, strict=True)]
-
     def ids(self, text: str) -> tuple[list[int], list[int]]:
         """A's and B's ids, both empty if either doesn't give the text's bytes."""
         if not text:
             return [], []
-        if not self.apart:
-            a, b, whole = self._encode([text])[0]
-            return (a, b) if whole else ([], [])
-        parts = STRETCH.split(" " + text)
-        parts[0] = parts[0][1:]
-        if len(self.cache) > CACHED // 2:
-            self.older, self.cache = self.cache, {}
-        cache, older = self.cache, self.older
-        found = {}
-        for p in {*parts} - cache.keys():
-            if p in older:
-                cache[p] = older[p]
-            else:
-                found[p] = None
-        found = dict(zip(found, self._encode(list(found)), strict=True)) if found else {}
-        encoded = [cache[p] if p in cache else found[p] for p in parts]
-        cache.update((p, x) for p, x in found.items() if len(p) <= CACHED_CHARS)
-        a, b = [i for x in encoded for i in x[0]], [i for x in encoded for i in x[1]]
-        return (a, b) if all(x[2] for x in encoded) or self.joins(text, a, b) else ([], [])
+        spaced = " " + text
+        if self.quick is not None and max(text) < PLAIN:
+            a = self.quick.encode_ordinary(spaced)
+        else:
+            a = self.a.encode(spaced, add_special_tokens=False).ids
+        b, whole = self.b.encode(text), spaced.encode()
+        joined = all(b"".join([of[i] for i in ids]) == whole for of, ids in ((self.bytes_a, a), (self.bytes_b, b)))
+        return (a, b) if joined else ([], [])
 
 
 @lru_cache(maxsize=1)

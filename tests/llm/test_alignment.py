@@ -90,6 +90,15 @@ def test_alignment(spark, monkeypatch, block, links):
     assert Counter(found) == Counter(expected(rows))
 
 
+def test_ranks_give_the_tokenizer_s_ids():
+    pair, rng = alignment.pair_of(A, B), random.Random(4)
+    letters = [chr(c) for c in [*range(0, 0x250)] if chr(c) != "\u2581"]
+    words = [w for _, t in texts() for w in (t or "")[:300].split(" ") if max(w, default="") < alignment.PLAIN]
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(20)) + " ".join(rng.choice(words) for _ in range(5)) + "".join(rng.choice("aehinrst'., \n\t10") for _ in range(60))
+        assert pair.quick.encode_ordinary(text) == pair.a.encode(text, add_special_tokens=False).ids
+
+
 def test_groups(spark):
     rows = [r for r in texts() if r[0] is not None and r[0] not in (3, 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
