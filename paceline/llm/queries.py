@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["alignment", "decontaminate", "html_text", "jaccard_join", "language_id", "language_model", "mixing", "packing", "quality", "token_files", "toxicity", "url_filter"]
+MODULES = ["alignment", "collocations", "decontaminate", "html_text", "jaccard_join", "language_id", "language_model", "mixing", "packing", "quality", "token_files", "toxicity", "url_filter"]
 
 
 def _all(name: str) -> dict:
