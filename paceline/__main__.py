@@ -24,7 +24,9 @@ from paceline.sources import requests
 from paceline.sources.fit import EPOCH, fit_files, messages, reportable, tables
 from paceline.sources.options import OptionFileError, read_options
 from paceline.sources.providers import elevations, hourly_weather
-from paceline.sources.sanitize import sanitized
+from paceline.session import ship
+from paceline.sources.errors import counted
+from paceline.sources.sanitize import SameFile, copy_names, sanitized
 
 OPTIONS = {
     "output", "output-by-activity-time", "dynamics-step-size", "weather-mode", "elevation-smoothing-distance", "elevation-min-change", "elevation-source", "dem-sample-distance",
@@ -144,6 +146,12 @@ def asked_weather(a: Activities, summary: DataFrame, send: requests.Transport) -
     return weather(wanted.select("activity_id", "start_time", "end_time"), hourly)
 
 
+def failures(rows: DataFrame) -> None:
+    """A line on stderr per kind of read error (rows: problem), as there are a handful of kinds."""
+    for r in counted(rows).orderBy("kind").collect():
+        print(f"{r['error_class']}: {r['kind']}: {r['n']} files", file=sys.stderr)
+
+
 def session() -> SparkSession:
     return SparkSession.builder.appName("paceline").config("spark.sql.session.timeZone", "UTC").config("spark.sql.execution.arrow.maxRecordsPerBatch", "64").getOrCreate()
 
@@ -164,7 +172,7 @@ def run(argv: list[str], spark: SparkSession | None = None, send: requests.Trans
     if not folder and args.output and os.path.realpath(args.output) == os.path.realpath(args.source):
         print(f"the report would overwrite its source: {args.output}", file=sys.stderr)
         return 2
-    spark = spark or session()
+    spark = ship(spark or session())
     source = args.source if remote else os.path.realpath(args.source)
     target = (args.output if args.output is None or "://" in args.output else os.path.realpath(args.output)) if folder else None
     target = (target or (source if folder else os.path.dirname(source))).rstrip("/")
@@ -200,6 +208,7 @@ def run(argv: list[str], spark: SparkSession | None = None, send: requests.Trans
     texts = materialize(texts.withColumnRenamed("activity_id", "source").join(pending.select("source", "output_path"), "source").withColumnRenamed("markdown", "content"), "reports")
     written = materialize(write_files(texts), "written")
 
+    failures(failed)
     bad = statuses.where("status = 'failed'").select("source", F.col("decode_error").alias("error"))
     bad = bad.unionByName(written.where("error is not null").select(F.col("output_path").alias("source"), F.concat(F.lit("not written: "), "error").alias("error")))
     clashes = statuses.where("status = 'collision'").groupBy("output_path").agg(F.array_join(F.array_sort(F.collect_list("source")), ", ").alias("all"))
@@ -221,17 +230,21 @@ def run_sanitize(argv: list[str], spark: SparkSession | None = None) -> int:
     p.add_argument("-o", "--output", required=True, help="the copy of a file, or the folder for those of a folder")
     p.add_argument("--start-at", type=moment, default=datetime(2020, 1, 1, 12, tzinfo=UTC), help="new start, ISO with an offset")
     args = p.parse_args(argv)
-    folder = os.path.isdir(args.source)
     if not os.path.exists(args.source) and "://" not in args.source:
         print(f"no such file or folder: {args.source}", file=sys.stderr)
         return 2
-    spark = spark or session()
     target = args.output if "://" in args.output else os.path.realpath(args.output)
+    try:
+        named = copy_names(args.source, target)
+    except SameFile as e:
+        print(str(e), file=sys.stderr)
+        return 2
+    spark = ship(spark or session())
     rows = materialize(sanitized(spark, args.source, int(args.start_at.timestamp()) - EPOCH), "sanitized")
-    path = F.concat(F.lit(target.rstrip("/") + "/"), F.element_at(F.split("path", "/"), -1)) if folder else F.lit(target)
     good = rows.where("error is null")
-    written = materialize(write_files(good.select(path.alias("output_path"), "content")), "written")
+    written = materialize(write_files(good.select(named(F.col("path")).alias("output_path"), "content")), "written")
     bad = rows.where("error is not null").select("path", "error").unionByName(written.where("error is not null").select(F.col("output_path").alias("path"), "error"))
+    failures(rows)
     code = 0
     for r in bad.toLocalIterator():
         print(f"{r['path']}: {r['error']}", file=sys.stderr)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from paceline.functions.scalars import degrees_of_semicircles, half_even
 from paceline.operators.steps import attach_steps
 from paceline.schema import Activities
+from paceline.sources import errors
+from paceline.sources.errors import ReadError
 
 EPOCH = 631_065_600
 #: Struct codes and invalid markers by base type number.
@@ -55,7 +57,7 @@ DURATIONS = {
     10: "repeat_until_hr_less_than", 11: "repeat_until_hr_greater_than", 12: "repeat_until_power_less_than", 13: "repeat_until_power_greater_than", 14: "power_less_than", 15: "power_greater_than", 28: "repetition_time", 29: "reps",
 }
 TARGETS = {0: "speed", 1: "heart_rate", 2: "open", 3: "cadence", 4: "power", 5: "grade", 6: "resistance", 7: "power_3s", 8: "power_10s", 9: "power_30s", 10: "power_lap", 11: "swim_stroke", 12: "speed_lap", 13: "heart_rate_lap"}
-SCHEMA = "activity_id string, pos long, message string, numbers map<string, double>, texts map<string, string>, error string"
+SCHEMA = f"activity_id string, pos long, message string, numbers map<string, double>, texts map<string, string>, problem {errors.PROBLEM}"
 
 
 def _crc_of_byte(b: int) -> int:
@@ -74,14 +76,24 @@ def crc16(data: bytes) -> int:
     return crc
 
 
-def decode(data: bytes):
-    """Yields (message, numbers, texts) of one file; a field that a message has twice is unknown; raises ValueError if it isn't a sound FIT file."""
+def body_of(data: bytes) -> tuple[int, int]:
+    """Where the messages of a file begin and end; ReadError if header, length or checksum are wrong."""
     if len(data) < 14 or data[8:12] != b".FIT" or data[0] not in (12, 14):
-        raise ValueError("no FIT header")
-    size, end = int.from_bytes(data[4:8], "little"), data[0] + int.from_bytes(data[4:8], "little")
-    if len(data) < end + 2 or crc16(data[:end]) != int.from_bytes(data[end : end + 2], "little"):
-        raise ValueError("truncated or wrong checksum" if size else "empty body")
-    at, kinds, last_time = data[0], {}, None
+        raise ReadError("no_header", 0, "no FIT header")
+    size = int.from_bytes(data[4:8], "little")
+    end = data[0] + size
+    if not size:
+        raise ReadError("empty_body", data[0], "empty body")
+    if len(data) < end + 2:
+        raise ReadError("truncated", len(data), f"truncated, {end + 2 - len(data)} bytes are missing")
+    if crc16(data[:end]) != int.from_bytes(data[end : end + 2], "little"):
+        raise ReadError("wrong_checksum", end, "wrong checksum")
+    return data[0], end
+
+
+def decode(data: bytes):
+    """Yields (message, numbers, texts) of one file; a field that a message has twice is unknown; raises ReadError if it isn't a sound FIT file."""
+    (at, end), kinds, last_time = body_of(data), {}, None
     try:
         while at < end:
             head = data[at]
@@ -129,7 +141,7 @@ def decode(data: bytes):
             if name:
                 yield name, numbers, texts
     except (KeyError, IndexError, struct.error) as e:
-        raise ValueError(f"malformed at byte {at}: {e!r}") from e
+        raise ReadError("malformed", at, f"malformed: {e!r}") from e
 
 
 def fit_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -147,12 +159,14 @@ def messages(spark: SparkSession, path: str | list[str], only: DataFrame | None
                 try:
                     found = list(decode(data.as_py()))
                     if sum(m == "session" for m, _, _ in found) > 1:
-                        found, error = [], "unsupported: several sessions"
-                except ValueError as e:
-                    found, error = [], f"invalid: {e}"
-                table = [(name, k, m, list(n.items()), list(t.items()), None) for k, (m, n, t) in enumerate(found)] or [(name, 0, None, [], [], error or "invalid: no messages")]
-                types = [pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.float64()), pa.map_(pa.string(), pa.string()), pa.string()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*table, strict=True), types, strict=True)], names=["activity_id", "pos", "message", "numbers", "texts", "error"])
+                        raise ReadError("several_sessions", None, "several sessions")
+                    if not found:
+                        raise ReadError("no_messages", None, "no messages")
+                except ReadError as e:
+                    found, error = [], e.row()
+                table = [(name, k, m, list(n.items()), list(t.items()), None) for k, (m, n, t) in enumerate(found)] or [(name, 0, None, [], [], error)]
+                types = [pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.float64()), pa.map_(pa.string(), pa.string()), errors.ARROW]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*table, strict=True), types, strict=True)], names=["activity_id", "pos", "message", "numbers", "texts", "problem"])
 
     files = fit_files(spark, path)
     if only is not None:
@@ -167,7 +181,7 @@ def _label(value: Column, names: dict[int, str]) -> Column:
 
 
 def tables(decoded: DataFrame) -> tuple[Activities, DataFrame]:
-    """The activity tables of decoded messages, and the files that failed (activity_id, error)."""
+    """The activity tables of decoded messages, and the files that failed (activity_id, error: a line, problem: kind, offset, detail)."""
     n = lambda name: F.col("numbers").getItem(name)
     time = lambda name: F.timestamp_seconds(n(name) + EPOCH)
     whole = lambda name: half_even(n(name))
@@ -204,7 +218,7 @@ def tables(decoded: DataFrame) -> tuple[Activities, DataFrame]:
         F.when(target == "cadence", n("target_value").cast("int")).alias("target_cadence_zone"), ranged("speed", "low").alias("custom_target_speed_low"), ranged("speed", "high").alias("custom_target_speed_high"), ranged("cadence", "low").alias("custom_target_cadence_low"),
         ranged("cadence", "high").alias("custom_target_cadence_high"), _label(n("secondary_target_type"), TARGETS).alias("secondary_target_type"),
     )
-    return Activities(sessions, records, attach_steps(laps, steps), events, steps), decoded.where("error is not null").select("activity_id", "error")
+    return Activities(sessions, records, attach_steps(laps, steps), events, steps), decoded.where("problem is not null").select("activity_id", errors.text(F.col("problem")).alias("error"), "problem")
 
 
 def read_activities(spark: SparkSession, path: str) -> tuple[Activities, DataFrame]:
