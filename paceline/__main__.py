@@ -22,6 +22,7 @@ from paceline.schema import Activities
 from paceline.scratch import materialize, new_path
 from paceline.sources import requests
 from paceline.sources.fit import EPOCH, fit_files, messages, reportable, tables
+from paceline.sources.ledger import Ledger
 from paceline.sources.options import OptionFileError, read_options
 from paceline.sources.providers import elevations, hourly_weather
 from paceline.session import ship
@@ -91,6 +92,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--workout-report", choices=("off", "laps"), default="off", help="laps: add native laps, repetitions and recoveries")
     p.add_argument("--hr-zone-boundaries", type=zones, help="four heart-rate thresholds; adds the zones")
     p.add_argument("--stdout", action="store_true", help="print the reports of a folder as well, as those of a file are")
+    p.add_argument("--provider-ledger", help="folder to keep providers' answers in, so that a later run doesn't ask again")
     p.add_argument("--tables", help="folder to keep the activity tables in, as Parquet")
     return p
 
@@ -121,25 +123,26 @@ def told(kinds: DataFrame, provider: str) -> None:
         print(f"warning: {provider}: {r['kind']}: {r['n']} activities, as {r['first']}", file=sys.stderr)
 
 
-def terrain_records(a: Activities, args: argparse.Namespace, send: requests.Transport) -> DataFrame | None:
+def terrain_records(a: Activities, args: argparse.Namespace, send: requests.Transport, ledger: Ledger) -> DataFrame | None:
     """Records with the terrain's altitudes, and what the provider said on stderr."""
     if args.elevation_source == "fit":
         return None
     public = requests.is_public(args.opentopodata_base_url)
     samples = materialize(route_samples(reportable(a.records), args.dem_sample_distance), "route-samples")
-    calls, without = requests.elevation_requests(samples, args.opentopodata_base_url, args.opentopodata_dataset)
-    lanes = 1 if public else a.records.sparkSession.sparkContext.defaultParallelism
-    answers = materialize(requests.fetch(calls, send, lanes, requests.INTERVAL_S if public else 0.0), "elevation-answers")
+    calls, without = requests.elevation_requests(samples, args.opentopodata_base_url, args.opentopodata_dataset, ledger=ledger)
+    before, lanes = ledger.here.count(), a.records.sparkSession.sparkContext.defaultParallelism
+    answers = materialize(requests.fetch(calls, send, lanes, requests.INTERVAL_S if public else 0.0, ledger, "elevation"), "elevation-answers")
     rows, kinds = elevations(answers)
     told(kinds.select("activity_id", "kind").unionByName(without), "elevation")
     limit = f" of {requests.MOST_CALLS}" if public else ""
-    print(f"elevation requests in this run: {answers.count()}{limit}", file=sys.stderr)
+    print(f"elevation requests in this run: {ledger.here.count() - before}{limit}", file=sys.stderr)
     return materialize(enrich(reportable(a.records), rows, args.elevation_source, args.dem_sample_distance), "terrain-records")
 
 
-def asked_weather(a: Activities, summary: DataFrame, send: requests.Transport) -> DataFrame:
+def asked_weather(a: Activities, summary: DataFrame, send: requests.Transport, ledger: Ledger) -> DataFrame:
     wanted = materialize(weather_wanted(a, summary), "weather-wanted")
-    answers = materialize(requests.fetch(requests.weather_requests(wanted), send), "weather-answers")
+    lanes = a.records.sparkSession.sparkContext.defaultParallelism
+    answers = materialize(requests.fetch(requests.weather_requests(wanted), send, lanes, ledger=ledger, what="weather"), "weather-answers")
     failed = F.when(F.col("status_code") == 429, "quota_exceeded").when(F.col("status_code").isNull() | (F.col("status_code") != 200), "unavailable")
     hourly, kinds = hourly_weather(answers.where("status_code = 200").select("activity_id", "payload"))
     told(kinds.unionByName(answers.select("activity_id", failed.alias("kind")).where("kind is not null")), "weather")
@@ -201,9 +204,10 @@ def run(argv: list[str], spark: SparkSession | None = None, send: requests.Trans
 
     ids = pending.select(F.col("source").alias("activity_id"))
     a = Activities(*(t.join(ids, "activity_id", "left_semi") for t in (a.sessions, a.records, a.laps, a.timer_events, a.steps)))
-    enriched = terrain_records(a, args, send)
+    ledger = Ledger(spark, args.provider_ledger)
+    enriched = terrain_records(a, args, send, ledger)
     named = results(a, float(args.dynamics_step_size), args.hr_zone_boundaries or ZONES, enriched=enriched, smoothing_m=args.elevation_smoothing_distance, least_change_m=args.elevation_min_change)
-    sky = asked_weather(a, summaries(a.sessions, reportable(with_elapsed(a.records, a.timer_events)), a.laps), send) if args.weather_mode == "auto" else None
+    sky = asked_weather(a, summaries(a.sessions, reportable(with_elapsed(a.records, a.timer_events)), a.laps), send, ledger) if args.weather_mode == "auto" else None
     texts = rendered(assembled(a, named, sky), args.workout_report == "laps", args.hr_zone_boundaries)
     texts = materialize(texts.withColumnRenamed("activity_id", "source").join(pending.select("source", "output_path"), "source").withColumnRenamed("markdown", "content"), "reports")
     written = materialize(write_files(texts), "written")
