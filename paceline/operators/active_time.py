@@ -6,7 +6,7 @@ never are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions.scalars import finite, seconds
@@ -113,3 +113,14 @@ def at_active_offset(intervals: Column, start: Column, end: Column, offset_s: fl
         return F.struct((a["done"] + length(i)).alias("done"), here.alias("at"))
 
     return F.aggregate(clipped, zero, step, lambda a: a["at"])
+
+
+def clocked(records: DataFrame) -> DataFrame:
+    """records whose elapsed_s is the wall time since the activity's first record where the activity has no elapsed_s at all; wall_origin: that record's time there, else null.
+
+    Splits and samples then look records up by one clock per activity, in one sort for both kinds. Within an activity that
+    has elapsed_s, records without it stay out of lookups.
+    """
+    own = Window.partitionBy("activity_id")
+    r = records.withColumn("wall_origin", F.when(F.max("elapsed_s").over(own).isNull(), F.min("ts").over(own)))
+    return r.withColumn("elapsed_s", F.coalesce("elapsed_s", seconds(F.col("ts"), F.col("wall_origin"))))

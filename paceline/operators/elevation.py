@@ -73,13 +73,19 @@ def estimated_grade(samples: DataFrame, records: DataFrame, smoothing_m: float =
 
 
 def route_samples(records: DataFrame, spacing_m: float = DEM_SPACING_M) -> DataFrame:
-    """activity_id, idx, distance_m, latitude_deg, longitude_deg every spacing_m from the first located record and at the last; idx * spacing, not repeated addition."""
+    """activity_id, idx, distance_m, latitude_deg, longitude_deg every spacing_m from the first located record and at the last.
+
+    Marks add up: each is the one before plus spacing_m, rounded as doubles are, not its number times spacing_m. A running sum
+    adds in the window's order, so marks are linear in their number.
+    """
     located = records.where("distance_m is not null and latitude_deg is not null and longitude_deg is not null")
     ends = located.groupBy("activity_id").agg(F.min_by("distance_m", "pos").alias("d0"), F.max_by("distance_m", "pos").alias("d1")).where("d1 > d0")
-    steps = (F.ceil((F.col("d1") - F.col("d0")) / spacing_m) - 1).cast("int")
-    grid = F.concat(F.transform(F.sequence(F.lit(0), steps), lambda i: F.col("d0") + i * F.lit(spacing_m)), F.array("d1"))
-    targets = ends.select("activity_id", F.posexplode(grid).alias("idx", "at"))
-    found = interpolate(located, targets, "activity_id", "distance_m", "pos", "at", ["latitude_deg", "longitude_deg"]).where("found")
+    most = (F.ceil((F.col("d1") - F.col("d0")) / spacing_m) + 1).cast("int")  # one more than can lie before d1, as sums may fall short
+    added = F.sum(F.when(F.col("k") == 0, F.col("d0")).otherwise(F.lit(float(spacing_m)))).over(Window.partitionBy("activity_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    marks = ends.select("activity_id", "d0", "d1", F.explode(F.sequence(F.lit(0), most)).alias("k")).withColumn("at", added)
+    before = marks.where("at < d1").select("activity_id", F.col("k").alias("idx"), "at")
+    last = ends.select("activity_id", F.lit(2147483647).alias("idx"), F.col("d1").alias("at"))
+    found = interpolate(located, before.unionByName(last), "activity_id", "distance_m", "pos", "at", ["latitude_deg", "longitude_deg"]).where("found")
     w = Window.partitionBy("activity_id").orderBy("idx")
     return found.select("activity_id", (F.row_number().over(w) - 1).alias("idx"), F.col("at").alias("distance_m"), "latitude_deg", "longitude_deg")
 

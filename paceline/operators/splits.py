@@ -1,4 +1,7 @@
-"""Kilometre segments, splits and per-kilometre dynamics."""
+"""Kilometre segments, splits and per-kilometre dynamics.
+
+Records are looked up by elapsed_s; ``active_time.clocked`` gives activities without it the wall clock first.
+"""
 
 from __future__ import annotations
 
@@ -23,21 +26,24 @@ def segments(records: DataFrame, unit: float = KILOMETRE_M) -> DataFrame:
     and the rest are dropped.
     """
     d = records.where("distance_m is not null")
+    if "wall_origin" not in d.columns:
+        d = d.withColumn("wall_origin", F.lit(None).cast("timestamp"))
     ends = d.groupBy("activity_id").agg(
         F.count("*").alias("n"), F.min_by(F.struct("distance_m", "ts", "elapsed_s", "altitude_m"), "pos").alias("first"), F.max_by(F.struct("distance_m", "ts", "elapsed_s", "altitude_m"), "pos").alias("final")
     )
     ends = ends.where("n >= 2 and final.distance_m > first.distance_m").withColumn("full", F.floor((F.col("final.distance_m") - F.col("first.distance_m")) / unit).cast("int"))
     w = Window.partitionBy("activity_id").orderBy("pos")
-    pairs = d.select("activity_id", "pos", "distance_m", "ts", "elapsed_s", "altitude_m", F.lead(F.struct("distance_m", "ts", "elapsed_s", "altitude_m")).over(w).alias("next")).where("distance_m < next.distance_m")
+    pairs = d.select("activity_id", "pos", "distance_m", "ts", "elapsed_s", "altitude_m", "wall_origin", F.lead(F.struct("distance_m", "ts", "elapsed_s", "altitude_m")).over(w).alias("next")).where("distance_m < next.distance_m")
     origin = F.col("first.distance_m")
     low = F.greatest(F.lit(1), F.ceil((F.col("distance_m") - origin) / unit).cast("int"))
     high = F.least(F.col("full"), F.floor((F.col("next.distance_m") - origin) / unit).cast("int"))
     marks = pairs.join(ends.where("full > 0").select("activity_id", "first", "full"), "activity_id").withColumns({"low": low, "high": high}).where("low <= high")
     marks = marks.withColumn("kilometer", F.explode(F.sequence("low", "high"))).withColumn("mark", origin + F.col("kilometer") * unit)
     ratio = (F.col("mark") - F.col("distance_m")) / (F.col("next.distance_m") - F.col("distance_m"))
+    passed = plus_seconds(F.col("ts"), seconds(F.col("next.ts"), F.col("ts")) * ratio)
     point = F.struct(
-        F.col("mark").alias("distance_m"), plus_seconds(F.col("ts"), seconds(F.col("next.ts"), F.col("ts")) * ratio).alias("ts"),
-        lerp(F.col("elapsed_s"), F.col("next.elapsed_s"), ratio).alias("elapsed_s"), lerp(F.col("altitude_m"), F.col("next.altitude_m"), ratio).alias("altitude_m"),
+        F.col("mark").alias("distance_m"), passed.alias("ts"),
+        F.when(F.col("wall_origin").isNotNull(), seconds(passed, F.col("wall_origin"))).otherwise(lerp(F.col("elapsed_s"), F.col("next.elapsed_s"), ratio)).alias("elapsed_s"), lerp(F.col("altitude_m"), F.col("next.altitude_m"), ratio).alias("altitude_m"),
     )
     found = marks.groupBy("activity_id", "kilometer").agg(F.min_by(point, "pos").alias("end"))
     by_km = Window.partitionBy("activity_id").orderBy("kilometer")

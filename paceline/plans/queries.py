@@ -300,7 +300,8 @@ def weather_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ROUTE = """
 rt AS (SELECT aid, min_by(d, pos) AS d0, max_by(d, pos) AS d1 FROM rec GROUP BY aid),
-rg AS (SELECT aid, i AS idx, d0 + i * 30.0::DOUBLE AS apt FROM rt, LATERAL (SELECT unnest(generate_series(0, CAST(ceil((d1 - d0) / 30) - 1 AS INT))) AS i) WHERE d1 > d0 UNION ALL SELECT aid, CAST(ceil((d1 - d0) / 30) AS INT), d1 FROM rt WHERE d1 > d0),
+ra AS (SELECT aid, d0, d1, 0 AS idx, d0 AS apt FROM rt WHERE d1 > d0 UNION ALL SELECT aid, d0, d1, idx + 1, apt + 30.0::DOUBLE FROM ra WHERE apt + 30.0::DOUBLE < d1),
+rg AS (SELECT aid, idx, apt FROM ra UNION ALL SELECT aid, max(idx) + 1, any_value(d1) FROM ra GROUP BY aid),
 rp AS (SELECT *, lead(d) OVER w AS nd, lead(lat) OVER w AS nlat, lead(lon) OVER w AS nlon FROM rec WINDOW w AS (PARTITION BY aid ORDER BY pos)),
 rs AS (SELECT rg.aid, idx, apt, CASE WHEN d = apt THEN lat ELSE lat + (nlat - lat) * ((apt - d) / (nd - d)) END AS lat, CASE WHEN d = apt THEN lon ELSE lon + (nlon - lon) * ((apt - d) / (nd - d)) END AS lon
   FROM rg JOIN rp ON rp.aid = rg.aid AND d <= apt AND (apt < nd OR nd IS NULL AND d = apt)),
@@ -348,7 +349,8 @@ def dem_enriched_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(elevation.enrich(records, _lookup(elevation.route_samples(records))).select("activity_id", "pos", "altitude_m", "grade_percent"))
 
 
-@query(BASE + TOLERANT + SEGMENTS + SMOOTH.replace("FROM rec WHERE alt", "FROM rec WHERE d IS NOT NULL AND alt") + """
+#: Samples of segments over elapsed seconds.
+DYNAMICS = SEGMENTS + SMOOTH.replace("FROM rec WHERE alt", "FROM rec WHERE d IS NOT NULL AND alt") + """
 sp AS (SELECT sm.aid, unnest(generate_series(1, sm.n)) AS i, unnest(sm.s) AS alt FROM sm),
 ar AS (SELECT aid, d, row_number() OVER (PARTITION BY aid ORDER BY pos) AS i FROM rec WHERE alt IS NOT NULL),
 prf AS (SELECT sp.aid, ar.i, ar.d, sp.alt, lead(ar.d) OVER w AS nd, lead(sp.alt) OVER w AS nalt FROM sp JOIN ar ON ar.aid = sp.aid AND ar.i = sp.i WINDOW w AS (PARTITION BY sp.aid ORDER BY ar.i)),
@@ -362,12 +364,55 @@ sb AS (SELECT aid, km, off, CASE WHEN hit THEN f.hr ELSE CAST(round_even(coalesc
 go AS (SELECT sb.aid, km, off, o, CASE WHEN prf.d = sb.d + o THEN prf.alt ELSE prf.alt + (nalt - prf.alt) * ((sb.d + o - prf.d) / (nd - prf.d)) END AS a FROM sb, (VALUES (-100.0), (100.0), (-200.0), (0.0), (200.0)) k(o) JOIN prf ON prf.aid = sb.aid AND prf.d <= sb.d + o AND (sb.d + o < nd OR nd IS NULL AND prf.d = sb.d + o) WHERE speed > 0),
 gg AS (SELECT aid, km, off, coalesce(max(a) FILTER (o = 100) - max(a) FILTER (o = -100), max(a) FILTER (o = 0) - max(a) FILTER (o = -200), max(a) FILTER (o = 200) - max(a) FILTER (o = 0)) / 200 * 100 AS g FROM go GROUP BY ALL)
 SELECT sb.aid AS activity_id, CAST(sb.km AS INT) AS kilometer, round(sb.off, 6) AS elapsed_seconds, hr AS heart_rate_bpm, round(speed * 3.6, 6) AS speed_kmh, round(coalesce(grade, g), 6) AS grade_percent,
-  CASE WHEN part THEN round((st - d0) / 1000, 6) END AS from_km, CASE WHEN part THEN round((t - d0) / 1000, 6) END AS to_km FROM sb JOIN sg ON sg.aid = sb.aid AND sg.km = sb.km JOIN de ON de.aid = sb.aid LEFT JOIN gg ON gg.aid = sb.aid AND gg.km = sb.km AND gg.off = sb.off""")
+  CASE WHEN part THEN round((st - d0) / 1000, 6) END AS from_km, CASE WHEN part THEN round((t - d0) / 1000, 6) END AS to_km FROM sb JOIN sg ON sg.aid = sb.aid AND sg.km = sb.km JOIN de ON de.aid = sb.aid LEFT JOIN gg ON gg.aid = sb.aid AND gg.km = sb.km AND gg.off = sb.off"""
+
+
+@query(BASE + TOLERANT + DYNAMICS)
 def dynamics_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, records, _ = prepared(spark, sf_dir)
     return rounded(splits.dynamics(records, a.laps, 86_400.0).select("activity_id", "kilometer", "from_km", "to_km", "elapsed_seconds", "heart_rate_bpm", "speed_kmh", "grade_percent"))
 
 
+#: Every third activity without elapsed seconds.
+MIXED = TOLERANT.replace("CASE WHEN EXISTS (SELECT 1 FROM iv WHERE iv.aid = rec.aid)\n    THEN", "CASE WHEN rec.u % 3 <> 0 AND EXISTS (SELECT 1 FROM iv WHERE iv.aid = rec.aid)\n    THEN")
+
+
+def _mixed(records: DataFrame) -> DataFrame:
+    return active_time.clocked(records.withColumn("elapsed_s", F.when(F.col("activity_id").cast("long") % 3 != 0, F.col("elapsed_s"))))
+
+
+@query("SELECT activity_id, kilometer, round(elapsed_seconds, 3) AS elapsed_seconds, heart_rate_bpm, speed_kmh FROM (" + BASE + MIXED + DYNAMICS + ")")
+def mixed_clock_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples where every third activity has no elapsed seconds and goes by the wall clock."""
+    a, records, _ = prepared(spark, sf_dir)
+    found = splits.dynamics(_mixed(records), a.laps, 86_400.0).withColumn("elapsed_seconds", F.round("elapsed_seconds", 3))
+    return rounded(found.select("activity_id", "kilometer", "elapsed_seconds", "heart_rate_bpm", "speed_kmh"))
+
+
+@query("SELECT activity_id, kilometer, is_partial, round(time_seconds, 3) AS time_seconds, avg_heart_rate_bpm, max_heart_rate_bpm FROM (" + BASE + MIXED + SEGMENTS + """
+w AS (SELECT sg.aid, km, round_even(avg(hr), 0)::INT AS ahr, max(hr) AS mhr FROM sg JOIN el ON el.aid = sg.aid AND el.x > sx AND el.x <= mx WHERE km > 0 GROUP BY sg.aid, km)
+SELECT sg.aid AS activity_id, CAST(sg.km AS INT) AS kilometer, part AS is_partial, mx - sx AS time_seconds, ahr AS avg_heart_rate_bpm, mhr AS max_heart_rate_bpm FROM sg LEFT JOIN w ON w.aid = sg.aid AND w.km = sg.km WHERE sg.km > 0)""")
+def mixed_clock_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, records, _ = prepared(spark, sf_dir)
+    return rounded(splits.record_splits(_mixed(records), a.laps).select("activity_id", "kilometer", "is_partial", "time_seconds", "avg_heart_rate_bpm", "max_heart_rate_bpm"), 3)
+
+
+@query(BASE + """
+pl AS (SELECT aid, u, 'out/' || (u % 40) AS p, CASE WHEN u % 5 = 0 THEN 'old/' || (u % 40) END AS lg, CASE WHEN u % 13 = 4 THEN 'invalid: no FIT header' END AS err FROM ses),
+ex AS (SELECT 'out/' || i AS p FROM range(0, 40, 7) t(i) UNION ALL SELECT 'old/' || i FROM range(0, 40, 10) t(i)),
+kn AS (SELECT *, p IN (SELECT p FROM ex) OR coalesce(lg IN (SELECT p FROM ex), false) AS had FROM pl)
+SELECT aid AS source, p AS output_path, err AS decode_error, CASE WHEN err IS NOT NULL THEN 'failed' WHEN had THEN 'skipped' WHEN count(*) FILTER (err IS NULL AND NOT had) OVER (PARTITION BY p) > 1 THEN 'collision' ELSE 'pending' END AS status FROM kn""")
+def output_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a folder run does with each source."""
+    u = F.col("activity_id").cast("long")
+    slot = (u % 40).cast("string")
+    plans = activities(spark, sf_dir).sessions.select(
+        F.col("activity_id").alias("source"), F.concat(F.lit("out/"), slot).alias("output_path"), F.when(u % 5 == 0, F.concat(F.lit("old/"), slot)).alias("legacy_path"), F.when(u % 13 == 4, "invalid: no FIT header").alias("decode_error")
+    )
+    there = [spark.range(0, 40, step).select(F.concat(F.lit(f"{folder}/"), F.col("id").cast("string")).alias("output_path")) for folder, step in (("out", 7), ("old", 10))]
+    return batch.plan_statuses(plans, there[0].unionByName(there[1]))
+
+
 @query("SELECT DISTINCT user_id AS id, CASE WHEN user_id % 4 = 0 THEN 'Bike-Ride' WHEN user_id % 4 = 1 THEN 'Trail Run' WHEN user_id % 4 = 2 THEN 'Running' END AS label FROM events")
 def activity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("id")).distinct()

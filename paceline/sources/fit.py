@@ -151,6 +151,12 @@ def fit_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def messages(spark: SparkSession, path: str | list[str], only: DataFrame | None = None) -> DataFrame:
     """One row per message of the .fit files directly in path (or of that file), or the file's error; only: paths (path) to keep."""
+    files = fit_files(spark, path)
+    return decoded(files if only is None else files.join(only, "path", "left_semi"))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """One row per message of files (path, content), or the file's error."""
 
     def rows(batches):
         for batch in batches:
@@ -168,10 +174,7 @@ def messages(spark: SparkSession, path: str | list[str], only: DataFrame | None
                 types = [pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.float64()), pa.map_(pa.string(), pa.string()), errors.ARROW]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*table, strict=True), types, strict=True)], names=["activity_id", "pos", "message", "numbers", "texts", "problem"])
 
-    files = fit_files(spark, path)
-    if only is not None:
-        files = files.join(only, "path", "left_semi")
-    return files.mapInArrow(rows, SCHEMA)
+    return files.select("path", "content").mapInArrow(rows, SCHEMA)
 
 
 def _label(value: Column, names: dict[int, str]) -> Column:
@@ -180,12 +183,12 @@ def _label(value: Column, names: dict[int, str]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), code), code.cast("string"))
 
 
-def tables(decoded: DataFrame) -> tuple[Activities, DataFrame]:
+def tables(found: DataFrame) -> tuple[Activities, DataFrame]:
     """The activity tables of decoded messages, and the files that failed (activity_id, error: a line, problem: kind, offset, detail)."""
     n = lambda name: F.col("numbers").getItem(name)
     time = lambda name: F.timestamp_seconds(n(name) + EPOCH)
     whole = lambda name: half_even(n(name))
-    of = lambda name: decoded.where(F.col("message") == name)
+    of = lambda name: found.where(F.col("message") == name)
     sports = of("sport").groupBy("activity_id").agg(F.max_by(n("sport"), F.when(n("sport").isNotNull(), F.col("pos"))).alias("sp"), F.max_by(n("sub_sport"), F.when(n("sub_sport").isNotNull(), F.col("pos"))).alias("ssp"))
     doubled = lambda a, b: half_even((a + F.coalesce(b, F.lit(0.0))) * 2)
     session = of("session").join(sports, "activity_id", "left").withColumn("sport", _label(F.coalesce("sp", n("sport")), SPORTS))
@@ -218,7 +221,7 @@ def tables(decoded: DataFrame) -> tuple[Activities, DataFrame]:
         F.when(target == "cadence", n("target_value").cast("int")).alias("target_cadence_zone"), ranged("speed", "low").alias("custom_target_speed_low"), ranged("speed", "high").alias("custom_target_speed_high"), ranged("cadence", "low").alias("custom_target_cadence_low"),
         ranged("cadence", "high").alias("custom_target_cadence_high"), _label(n("secondary_target_type"), TARGETS).alias("secondary_target_type"),
     )
-    return Activities(sessions, records, attach_steps(laps, steps), events, steps), decoded.where("problem is not null").select("activity_id", errors.text(F.col("problem")).alias("error"), "problem")
+    return Activities(sessions, records, attach_steps(laps, steps), events, steps), found.where("problem is not null").select("activity_id", errors.text(F.col("problem")).alias("error"), "problem")
 
 
 def read_activities(spark: SparkSession, path: str) -> tuple[Activities, DataFrame]:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paceline import schema
+from paceline.functions.interpolate import interpolate
 from paceline.operators import active_time, elevation, laps, splits, steps, summary
 from paceline.plans import batch, report
 from paceline.sources import fit
@@ -201,3 +202,31 @@ def test_start_times_and_batches(spark):
     plans = spark.createDataFrame([("1.fit", "x", "old1", None), ("2.fit", "x", "old2", None), ("3.fit", "y", "old3", None), ("4.fit", "z", "z0", None), ("5.fit", "w", "w0", "invalid"), ("6.fit", "v", "v0", None)], "source string, output_path string, legacy_path string, decode_error string")
     had = spark.createDataFrame([("y",), ("z0",)], "output_path string")
     assert {r["source"]: r["status"] for r in batch.plan_statuses(plans, had).collect()} == {"1.fit": "collision", "2.fit": "collision", "3.fit": "skipped", "4.fit": "skipped", "5.fit": "failed", "6.fit": "pending"}
+
+
+def test_route_marks_add_up(spark):
+    """Marks are the sums that adding the spacing again and again gives, to the last bit."""
+    rows = [(a, k, d, 46.0 + k / 100, 8.0 - k / 50) for a, d0 in (("a", 0.3), ("b", 1e6 / 3)) for k, d in enumerate((d0, d0 + 100.1, d0 + 100.1, d0 + 777.7))]
+    records = spark.createDataFrame([*rows, ("c", 0, 5.0, 1.0, 1.0), ("c", 1, 5.0, 1.0, 1.0), ("d", 0, 0.0, 1.0, 1.0), ("d", 1, 0.7, 2.0, 3.0)], "activity_id string, pos long, distance_m double, latitude_deg double, longitude_deg double")
+    found = {}
+    for r in elevation.route_samples(records, 0.1).orderBy("activity_id", "idx").collect():
+        found.setdefault(r["activity_id"], []).append(r["distance_m"])
+    for name, first, last in (("a", 0.3, 0.3 + 777.7), ("b", 1e6 / 3, 1e6 / 3 + 777.7), ("d", 0.0, 0.7)):
+        marks, at = [], first
+        while at < last:
+            marks.append(at)
+            at += 0.1
+        assert found[name] == [*marks, last]
+    assert "c" not in found and found["d"] != [0.1 * k for k in range(7)] + [0.7]
+
+
+def test_clocks_by_activity(spark):
+    """An activity with elapsed seconds goes by them, one without by the wall clock, in one plan."""
+    at = lambda s: T0 + timedelta(seconds=s)
+    rows = [("e", 0, at(0), 0.0, 100), ("e", 1, at(50), None, 999), ("e", 2, at(400), 100.0, 120), ("w", 0, at(7), None, 100), ("w", 1, at(57), None, 150), ("w", 2, at(107), None, 120)]
+    records = active_time.clocked(spark.createDataFrame(rows, "activity_id string, pos long, ts timestamp, elapsed_s double, heart_rate_bpm int"))
+    targets = spark.createDataFrame([(a, x) for a in "ew" for x in (0.0, 25.0, 50.0, 100.0, 101.0)], "activity_id string, at double")
+    found = interpolate(records, targets, "activity_id", "elapsed_s", "pos", "at", [], ["heart_rate_bpm"])
+    assert {(r["activity_id"], r["at"]): r["heart_rate_bpm"] for r in found.collect()} == {("e", 0.0): 100, ("e", 25.0): 105, ("e", 50.0): 110, ("e", 100.0): 120, ("e", 101.0): None, ("w", 0.0): 100, ("w", 25.0): 125, ("w", 50.0): 150, ("w", 100.0): 120, ("w", 101.0): None}
+    origins = {r["activity_id"]: r["wall_origin"] for r in records.select("activity_id", "wall_origin").distinct().collect()}
+    assert origins["e"] is None and origins["w"] is not None
