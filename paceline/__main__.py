@@ -29,6 +29,7 @@ from paceline.session import ship
 from paceline.sources.errors import counted
 from paceline.sources.sanitize import SameFile, copy_names, sanitized
 
+#: Names of options in a file, and the words of its switches.
 OPTIONS = {
     "output", "output-by-activity-time", "dynamics-step-size", "weather-mode", "elevation-smoothing-distance", "elevation-min-change", "elevation-source", "dem-sample-distance",
     "opentopodata-dataset", "opentopodata-base-url", "workout-report", "hr-zone-boundaries",

@@ -21,7 +21,8 @@ def neighbours(points: DataFrame, targets: DataFrame, key: str, x: str, order: s
     both = p.unionByName(t)
     w = Window.partitionBy(key).orderBy("_x", "_kind", "_o")
     found = both.select("*", F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.first("_p", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("q"))
-    return found.where("_kind = 1").select("_t.*", "p", F.col("q.last").alias("q"))
+    own = [F.col(c) if c == key else F.col("_t")[c].alias(c) for c in targets.columns]  # the key itself, so that what comes next knows that rows lie by it
+    return found.where("_kind = 1").select(*own, "p", F.col("q.last").alias("q"))
 
 
 def interpolate(points: DataFrame, targets: DataFrame, key: str, x: str, order: str, at: str, floats: list[str], ints: list[str] = (), bridge_nulls: bool = True) -> DataFrame:

@@ -63,13 +63,16 @@ def smoothed_profile(records: DataFrame, smoothing_m: float = SMOOTHING_M) -> Da
 def estimated_grade(samples: DataFrame, records: DataFrame, smoothing_m: float = SMOOTHING_M, grade_m: float = GRADE_M) -> DataFrame:
     """samples (activity_id, sample_id, distance_m, speed_mps, ..) with estimated_grade in percent: over +-half, before, or after; whichever lies in the profile first."""
     offsets = [-grade_m / 2, grade_m / 2, -grade_m, 0.0, grade_m]
-    moving = samples.where("distance_m is not null and speed_mps > 0")
-    targets = moving.select("activity_id", "sample_id", F.explode(F.transform(F.array(*map(F.lit, offsets)), lambda o: F.struct(o.alias("o"), (F.col("distance_m") + o).alias("at")))).alias("x")).select("activity_id", "sample_id", "x.o", "x.at")
+    moving = F.coalesce(F.col("distance_m").isNotNull() & (F.col("speed_mps") > 0), F.lit(False))
+    # a sample travels with its lookups and is put together from them again, so that all stays by activity; one that stands still has a lookup of nothing
+    spots = F.transform(F.array(*map(F.lit, offsets)), lambda o: F.struct(o.alias("o"), (F.col("distance_m") + o).alias("at")))
+    nothing = F.array(F.struct(F.lit(None).cast("double").alias("o"), F.lit(None).cast("double").alias("at")))
+    targets = samples.select("activity_id", "sample_id", F.struct(*samples.columns).alias("sample"), F.explode(F.when(moving, spots).otherwise(nothing)).alias("x")).select("activity_id", "sample_id", "sample", "x.o", "x.at")
     alts = interpolate(smoothed_profile(records, smoothing_m), targets, "activity_id", "distance_m", "pos", "at", ["altitude_m"])
     at = lambda o: F.max(F.when(F.col("o") == o, F.col("altitude_m")))
-    wide = alts.groupBy("activity_id", "sample_id").agg(*[at(o).alias(f"a{k}") for k, o in enumerate(offsets)])
+    wide = alts.groupBy("activity_id", "sample_id").agg(F.first("sample").alias("sample"), *[at(o).alias(f"a{k}") for k, o in enumerate(offsets)])
     rise = F.coalesce(F.col("a1") - F.col("a0"), F.col("a3") - F.col("a2"), F.col("a4") - F.col("a3"))
-    return samples.join(wide.select("activity_id", "sample_id", (rise / grade_m * 100).alias("estimated_grade")), ["activity_id", "sample_id"], "left")
+    return wide.select(*[F.col("sample")[c].alias(c) for c in samples.columns], (rise / grade_m * 100).alias("estimated_grade"))
 
 
 def route_samples(records: DataFrame, spacing_m: float = DEM_SPACING_M) -> DataFrame:
@@ -123,7 +126,7 @@ def enrich(records: DataFrame, lookup: DataFrame, mode: str = "dem", spacing_m:
     dem = terrain(route_samples(records, spacing_m), lookup)
     if mode == "hybrid":
         dem = dem.join(replaces_recorded(records, dem).where("replace").select("activity_id"), "activity_id", "left_semi")
-    targets = records.where("distance_m is not null").select("activity_id", "pos", F.col("distance_m").alias("at"))
-    found = interpolate(dem, targets, "activity_id", "distance_m", "idx", "at", ["altitude_m"], bridge_nulls=False).where("altitude_m is not null").select("activity_id", "pos", F.col("altitude_m").alias("dem_m"))
-    j = records.join(found, ["activity_id", "pos"], "left")
-    return j.withColumns({"altitude_m": F.coalesce("dem_m", "altitude_m"), "grade_percent": F.when(F.col("dem_m").isNull(), F.col("grade_percent"))}).drop("dem_m").select(*records.columns)
+    targets = records.select("activity_id", F.struct(*records.columns).alias("record"), F.col("distance_m").alias("at"))  # records travel with their lookups
+    found = interpolate(dem, targets, "activity_id", "distance_m", "idx", "at", ["altitude_m"], bridge_nulls=False).withColumnRenamed("altitude_m", "dem_m")
+    new = {"altitude_m": F.coalesce("dem_m", "record.altitude_m"), "grade_percent": F.when(F.col("dem_m").isNull(), F.col("record.grade_percent"))}
+    return found.select(*[new.get(c, F.col("record")[c]).alias(c) for c in records.columns])

@@ -21,37 +21,35 @@ NOTE = "Intermediate samples unavailable: pause timing was not recorded."
 def segments(records: DataFrame, unit: float = KILOMETRE_M) -> DataFrame:
     """One row per full unit of distance and the rest, with both boundaries (ts, elapsed, altitude) and the distance of the origin.
 
-    Each pair of consecutive distance records gives the unit marks it passes, so marks cost one row each
-    and no range join; of several pairs that pass a mark the first counts. Marks after a missing one
-    and the rest are dropped.
+    Each pair of consecutive distance records gives the unit marks it passes and the last record the rest, so marks
+    cost one row each and no range join; of several pairs that pass a mark the first counts. Marks after a missing one
+    and the rest are dropped. All steps go by activity: records that lie by activity need no exchange.
     """
     d = records.where("distance_m is not null")
     if "wall_origin" not in d.columns:
         d = d.withColumn("wall_origin", F.lit(None).cast("timestamp"))
-    ends = d.groupBy("activity_id").agg(
-        F.count("*").alias("n"), F.min_by(F.struct("distance_m", "ts", "elapsed_s", "altitude_m"), "pos").alias("first"), F.max_by(F.struct("distance_m", "ts", "elapsed_s", "altitude_m"), "pos").alias("final")
-    )
-    ends = ends.where("n >= 2 and final.distance_m > first.distance_m").withColumn("full", F.floor((F.col("final.distance_m") - F.col("first.distance_m")) / unit).cast("int"))
     w = Window.partitionBy("activity_id").orderBy("pos")
-    pairs = d.select("activity_id", "pos", "distance_m", "ts", "elapsed_s", "altitude_m", "wall_origin", F.lead(F.struct("distance_m", "ts", "elapsed_s", "altitude_m")).over(w).alias("next")).where("distance_m < next.distance_m")
+    whole_run = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    here = F.struct("distance_m", "ts", "elapsed_s", "altitude_m")
+    d = d.select("activity_id", "pos", "distance_m", "ts", "elapsed_s", "altitude_m", "wall_origin", F.lead(here).over(w).alias("next"), F.first(here).over(whole_run).alias("first"), F.last(here).over(whole_run).alias("final"))
+    d = d.where("final.distance_m > first.distance_m").withColumn("full", F.floor((F.col("final.distance_m") - F.col("first.distance_m")) / unit).cast("int"))
     origin = F.col("first.distance_m")
     low = F.greatest(F.lit(1), F.ceil((F.col("distance_m") - origin) / unit).cast("int"))
     high = F.least(F.col("full"), F.floor((F.col("next.distance_m") - origin) / unit).cast("int"))
-    marks = pairs.join(ends.where("full > 0").select("activity_id", "first", "full"), "activity_id").withColumns({"low": low, "high": high}).where("low <= high")
-    marks = marks.withColumn("kilometer", F.explode(F.sequence("low", "high"))).withColumn("mark", origin + F.col("kilometer") * unit)
+    none = F.array().cast("array<int>")
+    passes = F.when((F.col("distance_m") < F.col("next.distance_m")) & (low <= high), F.sequence(low, high)).otherwise(none)
+    rest = F.when(F.col("next").isNull() & ((F.col("final.distance_m") - origin) - F.col("full") * unit > 0), F.array(F.col("full") + 1)).otherwise(none)
+    marks = d.withColumn("kilometer", F.explode(F.concat(passes, rest))).withColumns({"mark": origin + F.col("kilometer") * unit, "whole": F.col("kilometer") <= F.col("full")})
     ratio = (F.col("mark") - F.col("distance_m")) / (F.col("next.distance_m") - F.col("distance_m"))
     passed = plus_seconds(F.col("ts"), seconds(F.col("next.ts"), F.col("ts")) * ratio)
     point = F.struct(
         F.col("mark").alias("distance_m"), passed.alias("ts"),
         F.when(F.col("wall_origin").isNotNull(), seconds(passed, F.col("wall_origin"))).otherwise(lerp(F.col("elapsed_s"), F.col("next.elapsed_s"), ratio)).alias("elapsed_s"), lerp(F.col("altitude_m"), F.col("next.altitude_m"), ratio).alias("altitude_m"),
     )
-    found = marks.groupBy("activity_id", "kilometer").agg(F.min_by(point, "pos").alias("end"))
+    point = F.when(F.col("whole"), point).otherwise(F.col("final"))
+    every = marks.groupBy("activity_id", "kilometer").agg(F.min_by(F.struct(point.alias("end"), "whole", "first"), "pos").alias("x")).select("activity_id", "kilometer", "x.*")
     by_km = Window.partitionBy("activity_id").orderBy("kilometer")
-    found = found.withColumn("k", F.row_number().over(by_km)).where("k = kilometer").drop("k")
-    last = ends.where((F.col("final.distance_m") - F.col("first.distance_m")) - F.col("full") * unit > 0).select("activity_id", (F.col("full") + 1).alias("kilometer"), F.col("final").alias("end"))
-    every = found.withColumn("whole", F.lit(True)).unionByName(last.withColumn("whole", F.lit(False)))
-    every = every.withColumns({"k": F.row_number().over(by_km), "start": F.lag("end").over(by_km)}).where("k = kilometer").drop("k")
-    every = every.join(ends.select("activity_id", "first"), "activity_id").withColumn("start", F.coalesce("start", "first"))
+    every = every.withColumns({"k": F.row_number().over(by_km), "start": F.lag("end").over(by_km)}).where("k = kilometer").withColumn("start", F.coalesce("start", "first"))
     return every.select(
         "activity_id", "kilometer", F.when(F.col("whole"), F.lit(unit)).otherwise(F.col("end.distance_m") - F.col("start.distance_m")).alias("distance_m"), (~F.col("whole")).alias("is_partial"),
         "start", "end", F.col("first.distance_m").alias("origin_m"), (F.col("end.elapsed_s") - F.col("start.elapsed_s")).alias("record_duration_s"),
@@ -59,30 +57,35 @@ def segments(records: DataFrame, unit: float = KILOMETRE_M) -> DataFrame:
 
 
 def timed(segs: DataFrame, records: DataFrame, laps: DataFrame, unit: float = KILOMETRE_M) -> DataFrame:
-    """segments with duration_s: the native lap's timer where records have no pause timing and the laps so far match the segments exactly."""
+    """segments with duration_s: the native lap's timer where records have no pause timing and the laps so far match the segments exactly.
+
+    An activity's laps are one array, so that both joins are on the activity alone.
+    """
     timing = records.groupBy("activity_id").agg(F.bool_or("has_active_timing").alias("paused"))
-    w = Window.partitionBy("activity_id").orderBy("pos")
-    native = laps.select("activity_id", F.row_number().over(w).alias("kilometer"), F.count("*").over(Window.partitionBy("activity_id")).alias("n_laps"), F.col("total_distance_m").alias("lap_m"), F.col("total_timer_time_s").alias("lap_s"), F.coalesce(F.min((F.coalesce(F.col("total_distance_m") == unit, F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1)).alias("exact"))
-    j = segs.join(timing, "activity_id").join(native, ["activity_id", "kilometer"], "left")
-    fits = F.when(F.col("distance_m") == unit, F.col("lap_m") == unit).otherwise((F.col("kilometer") == F.col("n_laps")) & (F.abs(F.col("lap_m") - F.col("distance_m")) <= ALIGNMENT_M))
-    use = ~F.col("paused") & (F.col("origin_m") == 0) & (F.col("exact") == 1) & fits & finite(F.col("lap_s")) & (F.col("lap_s") > 0) & (F.col("lap_s") <= F.col("record_duration_s"))
-    return j.withColumn("duration_s", F.when(F.coalesce(use, F.lit(False)), F.col("lap_s")).otherwise(F.col("record_duration_s"))).drop("paused", "n_laps", "lap_m", "lap_s", "exact")
+    native = laps.groupBy("activity_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("total_distance_m").alias("m"), F.col("total_timer_time_s").alias("s")))).alias("native"))
+    j = segs.join(timing, "activity_id").join(native, "activity_id", "left").withColumn("lap", F.try_element_at("native", F.col("kilometer")))
+    exact = F.forall(F.slice("native", F.lit(1), F.col("kilometer") - 1), lambda x: F.coalesce(x["m"] == unit, F.lit(False)))
+    fits = F.when(F.col("distance_m") == unit, F.col("lap.m") == unit).otherwise((F.col("kilometer") == F.size("native")) & (F.abs(F.col("lap.m") - F.col("distance_m")) <= ALIGNMENT_M))
+    use = ~F.col("paused") & (F.col("origin_m") == 0) & exact & fits & finite(F.col("lap.s")) & (F.col("lap.s") > 0) & (F.col("lap.s") <= F.col("record_duration_s"))
+    return j.withColumn("duration_s", F.when(F.coalesce(use, F.lit(False)), F.col("lap.s")).otherwise(F.col("record_duration_s"))).drop("paused", "native", "lap")
 
 
 def record_splits(records: DataFrame, laps: DataFrame, unit: float = KILOMETRE_M) -> DataFrame:
     """Splits of activities whose records give segments; a record counts for the segment with start < elapsed <= end."""
     segs = timed(segments(records, unit), records, laps, unit)
-    # sorted together, each record meets the next segment end at or after it
-    ends = segs.select("activity_id", F.col("end.elapsed_s").alias("x"), F.lit(1).alias("kind"), F.struct("kilometer", F.col("start.elapsed_s").alias("from")).alias("seg"), F.lit(None).alias("r"))
-    rows = records.select("activity_id", F.col("elapsed_s").alias("x"), F.lit(0).alias("kind"), F.lit(None).alias("seg"), F.struct("heart_rate_bpm", "cadence_spm").alias("r"))
-    w = Window.partitionBy("activity_id").orderBy("x", "kind", F.col("seg.kilometer")).rowsBetween(0, Window.unboundedFollowing)
-    placed = rows.unionByName(ends).withColumn("seg", F.first("seg", ignorenulls=True).over(w)).where("kind = 0 and x > seg.from")
-    inside = placed.groupBy("activity_id", F.col("seg.kilometer").alias("kilometer")).agg(
-        half_even(F.avg("r.heart_rate_bpm")).alias("avg_heart_rate_bpm"), F.max("r.heart_rate_bpm").alias("max_heart_rate_bpm"), half_even(F.avg("r.cadence_spm")).alias("avg_cadence_spm")
+    # sorted together, each record meets the next segment end at or after it; the end itself brings the segment to its group
+    seg = F.struct("kilometer", "distance_m", "is_partial", "duration_s", "start", "end")
+    ends = segs.select("activity_id", F.col("end.elapsed_s").alias("x"), F.lit(1).alias("kind"), seg.alias("own"), F.lit(None).alias("r"))
+    rows = records.select("activity_id", F.col("elapsed_s").alias("x"), F.lit(0).alias("kind"), F.lit(None).alias("own"), F.struct("heart_rate_bpm", "cadence_spm").alias("r"))
+    w = Window.partitionBy("activity_id").orderBy("x", "kind", F.col("own.kilometer")).rowsBetween(0, Window.unboundedFollowing)
+    met = F.first(F.when(F.col("kind") == 1, F.struct("own.kilometer", F.col("own.start.elapsed_s").alias("from"))), ignorenulls=True).over(w)
+    placed = rows.unionByName(ends).withColumn("met", met).where("kind = 1 or x > met.from")
+    found = placed.groupBy("activity_id", F.coalesce("own.kilometer", "met.kilometer").alias("kilometer")).agg(
+        F.max("own").alias("own"), half_even(F.avg("r.heart_rate_bpm")).alias("avg_heart_rate_bpm"), F.max("r.heart_rate_bpm").alias("max_heart_rate_bpm"), half_even(F.avg("r.cadence_spm")).alias("avg_cadence_spm")
     )
-    return segs.join(inside, ["activity_id", "kilometer"], "left").select(
-        "activity_id", "kilometer", "distance_m", "is_partial", F.col("duration_s").alias("time_seconds"), F.when(F.col("distance_m") > 0, F.col("duration_s") / (F.col("distance_m") / 1000)).alias("pace_seconds_per_km"),
-        (F.col("end.altitude_m") - F.col("start.altitude_m")).alias("elevation_delta_m"), "avg_heart_rate_bpm", "max_heart_rate_bpm", "avg_cadence_spm",
+    return found.select(
+        "activity_id", "kilometer", "own.distance_m", "own.is_partial", F.col("own.duration_s").alias("time_seconds"), F.when(F.col("own.distance_m") > 0, F.col("own.duration_s") / (F.col("own.distance_m") / 1000)).alias("pace_seconds_per_km"),
+        (F.col("own.end.altitude_m") - F.col("own.start.altitude_m")).alias("elevation_delta_m"), "avg_heart_rate_bpm", "max_heart_rate_bpm", "avg_cadence_spm",
     )
 
 

@@ -20,6 +20,7 @@ from paceline.plans.workout_text import clock, shown, workout_lines, zone_lines
 from paceline.schema import Activities
 from paceline.sources.fit import reportable
 
+#: The columns of splits; the labels in ``markdown`` are fixed as well.
 HEADER = ["| Km | Distance | Time | Pace | Elev +/- | Avg HR | Max HR | Avg Cad |", "|---|---|---|---|---|---|---|---|"]
 
 

@@ -38,12 +38,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, label: str, by: str, order: str | None = None, buckets: int | None = None) -> DataFrame:
+    """Like ``materialize``, but rows lie in buckets by a column: joins, groups and windows on it need no exchange any more."""
+    spark = df.sparkSession
+    path, buckets = new_path(spark, label), buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    writer = df.repartition(buckets, by).write.format("parquet").bucketBy(buckets, by).option("path", path)
+    (writer.sortBy(order) if order else writer).saveAsTable(name)
+    out = spark.table(name)
+    out._scratch_path, out._scratch_name = path, name
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more; other tables are left alone."""
     for table in tables:
-        path = table.__dict__.pop("_scratch_path", None)
+        path, name = table.__dict__.pop("_scratch_path", None), table.__dict__.pop("_scratch_name", None)
         if path:
             spark = table.sparkSession
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 

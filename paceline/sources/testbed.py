@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from paceline.operators.active_time import strict_timeline, with_elapsed
 from paceline.operators.steps import attach_steps
 from paceline.schema import Activities
-from paceline.scratch import materialize
+from paceline.scratch import bucketed, shared_dir
 
 #: Seconds that one sample covers at most here; events of one user are hours apart.
 CAP_S = 43_200.0
@@ -75,30 +75,47 @@ def mapped(spark: SparkSession, sf_dir: str) -> Activities:
     return Activities(sessions, records, attach_steps(laps, steps), timer, steps)
 
 
-#: Stored tables by application and folder.
-_STORED: dict[tuple[str, str, str], DataFrame | Activities] = {}
+#: Stored tables by application, folder, state of the folder's data, and name.
+_STORED: dict[tuple[str, str, tuple, str], DataFrame | Activities] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, make):
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STORED:
+def state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files behind the testbed, and the shared folder; a change of any of them makes the tables anew."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = system.listStatus(where)
+    return (shared_dir(spark), *sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+def _there(spark: SparkSession, table: DataFrame | Activities) -> bool:
+    """Whether a stored table's folder still exists."""
+    path = (table.records if isinstance(table, Activities) else table).__dict__.get("_scratch_path")
+    if path is None:
+        return False
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame | Activities:
+    """What make gives, written once as long as the data behind it stay as they are."""
+    key = (spark.sparkContext.applicationId, sf_dir, state(spark, sf_dir), name)
+    if key not in _STORED or not _there(spark, _STORED[key]):
         _STORED[key] = make()
     return _STORED[key]
 
 
 def activities(spark: SparkSession, sf_dir: str) -> Activities:
-    """The stored tables; records lie together by activity."""
+    """The stored tables, each in buckets by activity."""
 
     def make() -> Activities:
         a = mapped(spark, sf_dir)
-        records = materialize(a.records, "records")
-        return Activities(materialize(a.sessions, "sessions"), records, materialize(a.laps, "laps"), materialize(a.timer_events, "timer-events"), materialize(a.steps, "steps"))
+        return Activities(*(bucketed(t, name, "activity_id") for t, name in ((a.sessions, "sessions"), (a.records, "records"), (a.laps, "laps"), (a.timer_events, "timer-events"), (a.steps, "steps"))))
 
-    return _once(spark, sf_dir, "activities", make)
+    return stored(spark, sf_dir, "activities", make)
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> tuple[Activities, DataFrame, DataFrame]:
     """The tables, records with elapsed_s, and strict timelines; stored as well."""
     a = activities(spark, sf_dir)
-    records = _once(spark, sf_dir, "elapsed", lambda: materialize(with_elapsed(a.records, a.timer_events), "elapsed"))
-    return a, records, _once(spark, sf_dir, "timelines", lambda: materialize(strict_timeline(a.sessions, a.timer_events), "timelines"))
+    records = stored(spark, sf_dir, "elapsed", lambda: bucketed(with_elapsed(a.records, a.timer_events), "elapsed", "activity_id"))
+    return a, records, stored(spark, sf_dir, "timelines", lambda: bucketed(strict_timeline(a.sessions, a.timer_events), "timelines", "activity_id"))

@@ -1,11 +1,14 @@
 """Registered queries against their SQL on the smallest data."""
 
+import re
 from collections import Counter
 
 import duckdb
 import pytest
 
+from paceline import scratch
 from paceline.plans.queries import ORACLES, QUERIES
+from paceline.sources import testbed
 
 LIGHT = ["km_splits", "session_summary", "elevation_gain_loss", "active_intervals_tolerant", "active_timeline_strict", "hr_zones_session", "step_link", "aligned_laps", "weather_lookup", "dynamics_samples", "hybrid_decision", "dem_enriched_records", "output_collisions", "output_statuses", "mixed_clock_samples", "mixed_clock_splits", "route_resample", "dem_isolation", "repetition_stats", "recovery_change", "dedupe_last_wins"]
 #: On the smallest data these have no rows.
@@ -36,6 +39,29 @@ def test_plans_have_no_products_or_python(spark, sf_dir):
         assert not any(x in plan for x in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "MapInArrow"))
 
 
+@pytest.mark.parametrize("name,scans,exchanges", [("km_splits", 5, 1), ("dynamics_samples", 5, 3), ("dem_enriched_records", 8, 3), ("hr_zones_session", 5, 3), ("lap_breakdown", 1, 0), ("repetition_stats", 4, 3)])
+def test_stored_tables_lie_by_activity(spark, sf_dir, name, scans, exchanges):
+    """Scans and shuffles that a plan may have at most."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("FileScan", plan)) <= scans and len(re.findall("Exchange hashpartitioning", plan)) <= exchanges and "Exchange SinglePartition" not in plan
+
+
+def test_stored_tables_follow_their_data(spark, tmp_path):
+    """A folder whose data change, or whose stored tables are gone, is read anew."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    put = lambda part: part.write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+    put(events.where("user_id < 5"))
+    first = testbed.activities(spark, str(tmp_path))
+    assert testbed.activities(spark, str(tmp_path)) is first and first.sessions.count() == 5
+    put(events.where("user_id < 7"))
+    second = testbed.activities(spark, str(tmp_path))
+    assert second.sessions.count() == 7
+    scratch.discard(second.records)
+    with pytest.raises(Exception):  # noqa: B017
+        second.records.count()
+    assert QUERIES["session_summary"](spark, str(tmp_path)).count() == 7
+
+
 def test_entry_without_llm(tmp_path):
     import shutil
     import subprocess
