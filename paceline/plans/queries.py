@@ -250,6 +250,26 @@ def aligned_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(splits.lap_splits(a.laps, a.sessions, 500.0))
 
 
+#: Splits of half a kilometre: a third of the activities have no distances in their records and go by laps, whose distances are near the unit and whose timers are all known here.
+@query(BASE + TOLERANT + SEGMENTS.replace("1000", "500").replace("FROM el GROUP BY aid HAVING", "FROM el WHERE u % 3 <> 1 GROUP BY aid HAVING") + """
+w AS (SELECT sg.aid, km, round_even(avg(hr), 0)::INT AS ahr, max(hr) AS mhr, round_even(avg(cad), 0)::INT AS acad FROM sg JOIN el ON el.aid = sg.aid AND el.x > sx AND el.x <= mx WHERE km > 0 GROUP BY sg.aid, km),
+al AS (SELECT *, row_number() OVER w AS km, count(*) OVER (PARTITION BY aid) AS nl, sum(m) OVER w AS cum FROM (SELECT * REPLACE ((478 + (u * 7 + pos * 13) % 47)::DOUBLE AS m, coalesce(timer, 300 + pos)::DOUBLE AS timer) FROM lap) WINDOW w AS (PARTITION BY aid ORDER BY pos)),
+ok AS (SELECT *, coalesce(timer IS NOT NULL AND abs(m - 500) <= 25 AND abs(cum - km * 500) <= 25, false) AS ok FROM al),
+pf AS (SELECT *, bool_and(ok) OVER (PARTITION BY aid ORDER BY pos) AS pre, coalesce(bool_and(ok) OVER (PARTITION BY aid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS pre0 FROM ok)
+SELECT sg.aid AS activity_id, CAST(sg.km AS INT) AS kilometer, round(CASE WHEN part THEN t - st ELSE 500 END, 6) AS distance_m, part AS is_partial, round(mx - sx, 6) AS time_seconds,
+  round((mx - sx) / (CASE WHEN part THEN t - st ELSE 500 END / 1000), 6) AS pace_seconds_per_km, round(malt - salt, 6) AS elevation_delta_m, ahr AS avg_heart_rate_bpm, mhr AS max_heart_rate_bpm, acad AS avg_cadence_spm
+FROM sg LEFT JOIN w ON w.aid = sg.aid AND w.km = sg.km WHERE sg.km > 0
+UNION ALL SELECT pf.aid, CAST(km AS INT), round(pf.m, 6), (NOT pre OR (km = nl AND pf.m < 500)), round(pf.timer, 6), round(pf.timer / (pf.m / 1000), 6),
+  CASE WHEN pf.up IS NOT NULL OR pf.down IS NOT NULL THEN coalesce(pf.up, 0) - coalesce(pf.down, 0) END, pf.hr, pf.hr_max, pf.cad
+FROM pf LEFT JOIN ses ON ses.aid = pf.aid WHERE (pre OR (pre0 AND km = nl AND pf.timer IS NOT NULL AND pf.m < 500 AND abs(ses.m - cum) <= 25)) AND pf.aid NOT IN (SELECT aid FROM sg WHERE km > 0)""")
+def splits_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, records, _ = prepared(spark, sf_dir)
+    u = F.col("activity_id").cast("long")
+    measured = records.withColumn("distance_m", F.when(u % 3 != 1, F.col("distance_m")))
+    near = a.laps.withColumns({"total_distance_m": (478 + (u * 7 + F.col("pos") * 13) % 47).cast("double"), "total_timer_time_s": F.coalesce("total_timer_time_s", (300 + F.col("pos")).cast("double"))})
+    return rounded(splits.splits(measured, near, a.sessions, 500.0))
+
+
 @query(BASE + "z AS (SELECT 1) SELECT aid AS activity_id, epoch_us(ts) AS ts, CAST(pos AS BIGINT) AS pos, hr AS heart_rate_bpm FROM (SELECT aid, pos, to_timestamp(floor(epoch_us(ts) / 3.6e10) * 36000)::TIMESTAMP AS ts, hr FROM rec) QUALIFY row_number() OVER (PARTITION BY aid, ts ORDER BY pos DESC) = 1")
 def dedupe_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     coarse = activities(spark, sf_dir).records.withColumn("ts", F.timestamp_seconds(F.floor(F.unix_micros("ts") / 3.6e10) * 36000))

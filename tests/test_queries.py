@@ -10,7 +10,7 @@ from paceline import scratch
 from paceline.plans.queries import ORACLES, QUERIES
 from paceline.sources import testbed
 
-LIGHT = ["km_splits", "session_summary", "elevation_gain_loss", "active_intervals_tolerant", "active_timeline_strict", "hr_zones_session", "step_link", "aligned_laps", "weather_lookup", "dynamics_samples", "hybrid_decision", "dem_enriched_records", "output_collisions", "output_statuses", "mixed_clock_samples", "mixed_clock_splits", "route_resample", "dem_isolation", "repetition_stats", "recovery_change", "dedupe_last_wins"]
+LIGHT = ["km_splits", "session_summary", "elevation_gain_loss", "active_intervals_tolerant", "active_timeline_strict", "hr_zones_session", "step_link", "aligned_laps", "weather_lookup", "dynamics_samples", "hybrid_decision", "dem_enriched_records", "output_collisions", "output_statuses", "mixed_clock_samples", "mixed_clock_splits", "route_resample", "dem_isolation", "repetition_stats", "recovery_change", "dedupe_last_wins", "splits_union"]
 #: On the smallest data these have no rows.
 LARGER = ["aligned_laps", "output_collisions"]
 

@@ -123,3 +123,17 @@ def test_command_never_overwrites_a_source(spark, tmp_path, capsys):
     damaged(source)
     assert run(["sanitize", str(source), "-o", str(tmp_path / "out")], spark) == 1
     assert "invalid: truncated: 2 files" in capsys.readouterr().err
+
+
+def test_command_from_another_folder(tmp_path):
+    """Workers find the package although neither their folder nor PYTHONPATH leads to it."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    (tmp_path / "a.fit").write_bytes(fit_file(ROWS))
+    code = f"import sys; sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r}); from paceline.__main__ import run; sys.exit(run(['sanitize', 'a.fit', '-o', 'b.fit']))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env | {"PYSPARK_PYTHON": sys.executable}, timeout=300)
+    assert [m for m, _, _ in fit.decode((tmp_path / "b.fit").read_bytes())] == ["session", "record", "record"]
