@@ -11,8 +11,7 @@ from paceline.functions.scalars import WEATHER_LABELS, activity_type, compass, s
 from paceline.operators import active_time, elevation, laps, splits, steps, summary, weather
 from paceline.plans import batch
 from paceline.plans.oracles import BASE, LAPS, SEGMENTS, SPANS, STRICT, TOLERANT
-from paceline.scratch import bucketed
-from paceline.sources.testbed import CAP_S, activities, prepared, stored
+from paceline.sources.testbed import CAP_S, activities, lying, prepared, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -152,7 +151,7 @@ lap_out AS (SELECT *, CASE WHEN dist > 0 AND dur > 0 THEN dur * 1000 / dist END
 
 def _lap_rows(spark: SparkSession, sf_dir: str):
     a, records, timelines = prepared(spark, sf_dir)
-    return a, records, timelines, stored(spark, sf_dir, "lap-rows", lambda: bucketed(laps.lap_rows(a.laps, records, timelines, CAP_S), "lap-rows", "activity_id"))
+    return a, records, timelines, stored(spark, sf_dir, "lap-rows", lambda: lying(spark, sf_dir, laps.lap_rows(a.laps, records, timelines, CAP_S), "lap-rows"))
 
 
 @query(BASE + STRICT + SPANS + LAPS + ROWS + """z AS (SELECT 1)

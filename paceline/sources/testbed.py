@@ -20,6 +20,8 @@ from paceline.scratch import bucketed, shared_dir
 #: Seconds that one sample covers at most here; events of one user are hours apart.
 CAP_S = 43_200.0
 PER_LAP = 10
+#: Events of one bucket, and the most buckets that Spark allows by default.
+ROWS, MOST_BUCKETS = 1_000_000, 100_000
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,12 +106,29 @@ def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame | Act
     return _STORED[key]
 
 
+def lying(spark: SparkSession, sf_dir: str, df: DataFrame, name: str) -> DataFrame:
+    """df written in buckets by activity, as many for all tables of a folder: one per ROWS events, but one for each core at least."""
+    rows = stored_count(spark, sf_dir)
+    return bucketed(df, name, "activity_id", buckets=min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-rows // ROWS))))
+
+
+_COUNTS: dict[tuple, int] = {}
+
+
+def stored_count(spark: SparkSession, sf_dir: str) -> int:
+    """Number of events, from the files' footers, once per state of the folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, state(spark, sf_dir))
+    if key not in _COUNTS:
+        _COUNTS[key] = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    return _COUNTS[key]
+
+
 def activities(spark: SparkSession, sf_dir: str) -> Activities:
     """The stored tables, each in buckets by activity."""
 
     def make() -> Activities:
         a = mapped(spark, sf_dir)
-        return Activities(*(bucketed(t, name, "activity_id") for t, name in ((a.sessions, "sessions"), (a.records, "records"), (a.laps, "laps"), (a.timer_events, "timer-events"), (a.steps, "steps"))))
+        return Activities(*(lying(spark, sf_dir, t, name) for t, name in ((a.sessions, "sessions"), (a.records, "records"), (a.laps, "laps"), (a.timer_events, "timer-events"), (a.steps, "steps"))))
 
     return stored(spark, sf_dir, "activities", make)
 
@@ -117,5 +136,5 @@ def activities(spark: SparkSession, sf_dir: str) -> Activities:
 def prepared(spark: SparkSession, sf_dir: str) -> tuple[Activities, DataFrame, DataFrame]:
     """The tables, records with elapsed_s, and strict timelines; stored as well."""
     a = activities(spark, sf_dir)
-    records = stored(spark, sf_dir, "elapsed", lambda: bucketed(with_elapsed(a.records, a.timer_events), "elapsed", "activity_id"))
-    return a, records, stored(spark, sf_dir, "timelines", lambda: bucketed(strict_timeline(a.sessions, a.timer_events), "timelines", "activity_id"))
+    records = stored(spark, sf_dir, "elapsed", lambda: lying(spark, sf_dir, with_elapsed(a.records, a.timer_events), "elapsed"))
+    return a, records, stored(spark, sf_dir, "timelines", lambda: lying(spark, sf_dir, strict_timeline(a.sessions, a.timer_events), "timelines"))
