@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from math import log10
@@ -141,6 +142,31 @@ def test_decontaminate(spark, docs, rows, empty, most):
     assert len(cut(spans[10])) == len(cut(rows[10][1])) - next(e[2] for e in expected if e[0] == 10) and spans[100] is None and spans[102] == " \n\t "
 
 
+def test_decontaminate_long_texts(spark):
+    """Windows across the borders of parts, in several passes; hits in copies of a row; a text of 400,000 words in linear time."""
+    part, win = decontaminate.PART, decontaminate.WINDOW
+    passage = [f"p{i}" for i in range(win)]
+    bench = spark.createDataFrame([(7, " ".join(passage)), (8, "lone"), (9, " ".join(passage[3:] + ["q"]))], "item_id long, text string")
+    rows, expected = [], []
+    for i, at in enumerate([0, part - win - 1, part - win, part - win + 1, part - 5, part - 1, part, part + 1, 2 * part - 1]):
+        words = [f"w{j}" for j in range(2 * part + win - 1)]
+        words[at : at + win] = passage[: len(words) - at]
+        rows += [(i, " ".join(words))] * 2
+        expected += [(i, len(words), win if at + win <= len(words) else 0, int(at + win <= len(words)))] * 2
+    rows.append((None, " ".join(["x"] * (part - 1) + ["lone"])))
+    expected.append((None, part, 1, 1))
+    for block in (decontaminate.BLOCK, 1):
+        found = decontaminate.report(spark.createDataFrame(rows, "doc_id long, text string"), bench, block)
+        assert Counter(tuple(r) for r in found.select("doc_id", "n_words", "n_hit", "n_items").collect()) == Counter(expected)
+    n = 400_000
+    words = [f"w{j % 1000}" for j in range(n)]
+    words[n - win - 1 : n - 1] = passage
+    one = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    begun = time.monotonic()
+    assert [tuple(r) for r in decontaminate.report(one, bench).select("n_words", "n_hit").collect()] == [(n, win)]
+    assert time.monotonic() - begun < 30
+
+
 def test_url_filter(spark):
     urls = ["http://a.example.com/en/1?x=/es/", "https://www.example.com/en/", "http://net/es/2", "http://x.net/fr/#a", "http://x.net/fr", "HTTP://X.NET/ES/", "no url", None, "://", "http://com", "http://notexample.com/en/x", "http://a.example.com/en/1?x=/es/", "ftp://u@h.com:80/a"]
     found = {r["url"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame([(i, u, "clash", "x", "y", "z") for i, u in enumerate(urls)], "page_id long, url string, host string, best string, _url string, of_url string"), spark.createDataFrame(url_filter.RULES, url_filter.RULE_SCHEMA)).collect()}
@@ -581,7 +607,12 @@ def test_pipeline_stages(spark, docs, rows, sf_dir):
     alone = [key(r) for i, r in enumerate(before) if not near[i] or r["doc_id"] is None]
     assert not Counter(alone) - Counter(map(key, out)) and len({r["doc_id"] for r in out} & {3, *range(90, 100)}) == 1
     before, out = (x.collect() for x in seen["decontamination"])
-    assert len(out) <= len(before)
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    cut = lambda t: word.findall((t or "").translate(LOWER))
+    items = [cut(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    windows = {tuple(w[a : a + 13]) for w in items if w for a in range(max(1, len(w) - 12))}
+    dirty = lambda w: (n := len({a + j for k in {len(x) for x in windows} for a in range(len(w) - k + 1) if tuple(w[a : a + k]) in windows for j in range(k)})) and 20 * n >= len(w)
+    assert Counter(map(key, out)) == Counter(key(r) for r in before if not dirty(cut(r["text"])))
     before, out = seen["packing"]
     assert {"doc_id", "start", "length", "sequence_id"} <= set(out.columns)
     ids = encoded([(r["doc_id"], r["text"]) for r in before.collect()], 2)
