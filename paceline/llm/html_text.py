@@ -2,7 +2,7 @@
 
 One pass cuts every page into text blocks under a tree of elements. Menus, headers, footers, sidebars,
 forms and the like are told by tag and role. Class and id names only support: an element other than a
-paragraph or heading is suspected if a whole name consists of such words (``cookie-notice``, but not
+heading (a paragraph only by the words of notices and adverts) is suspected if a whole name consists of such words (``cookie-notice``, but not
 ``related-work``), and cleared again if it holds most of the page's unlinked text, unless its children
 repeat one shape as reader comments do; elements of one shape that each offer a reply are comments
 whatever their names. A container is scored by the text of the blocks below it, less what is linked. The
@@ -45,7 +45,7 @@ LEAST_SHARE = 0.05
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body div main section td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("iframe noembed noframes noscript script style svg template textarea title select option datalist object canvas audio video math".split())
+RAW = frozenset("iframe noembed noframes noscript script style svg template textarea title select option datalist audio video annotation annotation-xml".split())
 UNWANTED = frozenset("aside button dialog footer form header label menu nav".split())
 UNWANTED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 UNWANTED_WORDS = frozenset(
@@ -57,12 +57,16 @@ NEUTRAL_WORDS = frozenset("area articles bar block bottom box buttons card cards
 REPLIES = frozenset("reply répondre antworten responder rispondi responde".split())
 #: Elements that no class name removes.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
-NEVER_SUSPECT = frozenset("html body main p h1 h2 h3 h4 h5 h6 blockquote pre td th tr tbody".split())
+NEVER_SUSPECT = frozenset("html body main h1 h2 h3 h4 h5 h6 blockquote pre td th tr tbody".split())
+#: A paragraph is suspected only if its name has one of these.
+NOTICE_WORDS = frozenset("ad ads advert advertisement adverts advertising consent cookie cookies gdpr newsletter notice notices notification notifications paywall promo sponsored subscribe subscription".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag that ends an open element of these kinds first, up to the element that bounds the search.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+#: What stands after an attribute's name: a quote opens a string only right after the sign.
+VALUE = r"\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\s>=]++|{VALUE}|\s++)*+)(?:>|\Z)", re.DOTALL)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
 WORDS = re.compile(r"[a-z]+")
 NAME_PARTS = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
 #: Names that a build step makes.
@@ -117,6 +121,7 @@ class Page:
         stack: list[tuple[str, int]] = [("", 0)]
         count: dict[str, int] = {}
         pieces: list[str] = []
+        aside: list[tuple[int, str]] = []  # texts of unwanted inline elements within the block of pieces
         links, linked, heading, owner = 0, 0, False, 0
         special = {0: 0}  # flagged ancestors of each element, itself included
 
@@ -130,13 +135,24 @@ class Page:
                     self.links.append(min(links, len(text)))
                     self.heading.append(heading)
                 pieces.clear()
+                for k, text in aside:
+                    self.owner.append(k)
+                    self.texts.append(text)
+                    self.links.append(0)
+                    self.heading.append(False)
+                aside.clear()
             links, heading = 0, False
 
         def take(text: str) -> None:
             nonlocal owner, links, heading
-            # the innermost flagged inline element counts: its text is a block of its own
+            # the innermost flagged inline element counts: its text is a block of its own;
+            # one that is unwanted for sure doesn't break the block around it
             top = stack[-1][1]
             if pieces and special[top] != special[owner]:
+                if special[top] > special[owner] and self.flag[top] == 1:
+                    if text := " ".join(unescape(text).split()):
+                        aside.append((top, text))
+                    return
                 flush()
             if not pieces:
                 if text.isspace():
@@ -163,7 +179,7 @@ class Page:
             if m.start() > at:
                 take(html[at : m.start()])
             at = m.end()
-            close, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            close, tag, rest = m[1], m[2], m[3]
             if not tag:
                 continue
             tag = tag.lower()
@@ -226,6 +242,8 @@ class Page:
                         if flag != 1 and tag not in NEVER_SUSPECT:
                             for name in value.split():
                                 bad, comments = suspicious(name)
+                                if tag == "p" and not NOTICE_WORDS.intersection(words_of(name)):
+                                    continue
                                 flag = max(flag, 3 if comments else 2 if bad else 0)
             if tag in ("html", "body"):
                 flag = 0

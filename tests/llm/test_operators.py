@@ -167,6 +167,33 @@ def test_decontaminate_long_texts(spark):
     assert time.monotonic() - begun < 30
 
 
+@pytest.mark.parametrize(
+    "inner, expected",
+    [
+        ("<p title=it's>{0}</p><p>It's second.</p><p>third</p>", "{0}\nIt's second.\nthird"),
+        ("<p title=a\"b data-x='1>2' lang=x=\"y>{0}</p><p>\"second\" here</p>", "{0}\n\"second\" here"),
+        ("<p title='what is hidden here' data-role=navigation data-class=\"ads\">{0}</p>", "{0}"),
+        ("<p title=\"never closed>{0}</p><p>second</p>", "{0}\nsecond"),
+        ("<p>{0} Let <math><mi>x</mi><annotation>tex</annotation></math> be</p>", "{0} Let x be"),
+        ("<p>{0} Press <button>here <b>and</b> here</button> now to go.</p><p>next</p>", "{0} Press now to go.\nnext"),
+        ("<p>{0} a<span hidden>b</span> c</p>", "{0} a c"),
+        ("<p class='cookie-notice'>We use cookies.</p><p>{0}</p><p class='notice-of-death'>stays</p>", "{0}\nstays"),
+        ("<p>{0}</p><object>shown <canvas>too</canvas></object>", "{0}\nshown too"),
+    ],
+)
+def test_html_attributes_and_inline_elements(inner, expected):
+    prose = "A long sentence of the article that says something. " * 4
+    page = html_text.Page(f"<html><body><nav><a href=/>Home</a></nav><article>{inner.format(prose.strip())}</article></body></html>")
+    assert page.text(page.path[page.choice()]) == expected.format(prose.strip())
+
+
+def test_html_attributes_in_linear_time():
+    begun = time.monotonic()
+    for odd in ("<p a=\"", "<p a='x\" b=", "<p  =  = ", "=\"<a b", "<p " + " " * 9):
+        html_text.Page(odd * 30_000)
+    assert time.monotonic() - begun < 20
+
+
 def test_url_filter(spark):
     urls = ["http://a.example.com/en/1?x=/es/", "https://www.example.com/en/", "http://net/es/2", "http://x.net/fr/#a", "http://x.net/fr", "HTTP://X.NET/ES/", "no url", None, "://", "http://com", "http://notexample.com/en/x", "http://a.example.com/en/1?x=/es/", "ftp://u@h.com:80/a"]
     found = {r["url"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame([(i, u, "clash", "x", "y", "z") for i, u in enumerate(urls)], "page_id long, url string, host string, best string, _url string, of_url string"), spark.createDataFrame(url_filter.RULES, url_filter.RULE_SCHEMA)).collect()}
