@@ -11,9 +11,12 @@ A document's set holds its distinct shingles of ``SHINGLE`` words (fewer words:
    the shingle (those whose counter is far above the mean are salted and simply kept), and then classes
    that share too few for any link; what chance passages have in common goes here.
 3. Sets that share a prefix shingle and are of compatible length hang together through a hub per shingle
-   and length band - a number of edges linear in the prefixes. Small components of these edges share a
-   task. The classes of a larger one are dealt to blocks, and a join on the prefix shingles tells which
-   other blocks each class has a partner in: it goes to the tasks of these pairs of blocks and to no others.
+   and length band - a number of edges linear in the prefixes; a shingle with salts has a hub per salt too.
+   Small components of these edges share a task. The classes of a larger one are dealt to blocks by length.
+   Blocks with a common prefix shingle and compatible lengths of its holders meet, and each class goes to
+   the tasks of those pairs of its block where it has such a shingle itself, and to no others. Blocks are
+   joined by shingle with salts on both sides, classes by shingle and block, so no key has more than a
+   block's rows on one side and ``FEW`` blocks or a class's shingles on the other.
 4. In a task, each set meets the later sets of its prefix shingles' lists once; length, positional and
    suffix filters drop most, and the rest are verified by their exact intersection. Out come each set's
    number of links and the edges of a spanning forest, never all pairs.
@@ -48,6 +51,10 @@ HOT = 1000
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Classes of small components that share a task.
 TOGETHER = 400
+#: Blocks of one shingle that meet all others of it in one part of a join.
+FEW = 64
+#: Shingles whose counter is this much above eight times the mean are salted.
+OFTEN = 20_000
 SUFFIX_CELLS = 32
 
 
@@ -184,14 +191,46 @@ def peeled(shared: DataFrame, rounds: int = 2) -> DataFrame:
 
 
 def candidate_edges(shared: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes that hold every compatible pair of one shingle together."""
+    """Edges (a, b) between classes that hold every compatible pair of one shingle together.
+
+    shared: hash, salt, cls, n. A hub of each salt keeps a hot shingle's rows apart; hubs of salts hang on one of all.
+    """
     # sets of one link lie in one band or in neighbouring ones: n grows by less than DEN / NUM within a link
     banded = shared.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(DEN / NUM * 1.0001))).cast("int"))
-    hubs = banded.groupBy("hash", "band").agg(F.min("cls").alias("hub"), F.count("*").alias("size"))
-    next_hubs = hubs.select("hash", (F.col("band") - 1).alias("band"), F.col("hub").alias("b"))
-    across = hubs.join(next_hubs, ["hash", "band"]).select(F.col("hub").alias("a"), "b")
-    within = banded.join(hubs.where("size > 1"), ["hash", "band"]).select(F.col("cls").alias("a"), F.col("hub").alias("b"))
-    return within.where("a != b").union(across.where("a != b")).distinct()
+    near = banded.groupBy("hash", "salt", "band").agg(F.min("cls").alias("hub"), F.count("*").alias("size"))
+    hubs = near.groupBy("hash", "band").agg(F.min("hub").alias("top"))
+    next_hubs = hubs.select("hash", (F.col("band") - 1).alias("band"), F.col("top").alias("b"))
+    across = hubs.join(next_hubs, ["hash", "band"]).select(F.col("top").alias("a"), "b")
+    within = banded.join(near.where("size > 1"), ["hash", "salt", "band"]).select(F.col("cls").alias("a"), F.col("hub").alias("b"))
+    salted = near.where("salt >= 0").join(hubs, ["hash", "band"]).select(F.col("hub").alias("a"), F.col("top").alias("b"))
+    return within.union(salted).union(across).where("a != b").distinct()
+
+
+def in_blocks(sized: DataFrame) -> DataFrame:
+    """sized (cls, component, n, ..) with block and blocks, of its component: about BLOCK classes and BLOCK_SHINGLES shingles at most each.
+
+    Blocks follow the length, so that far lengths lie in blocks that never meet; equal ones are dealt by hash.
+    """
+    room = F.greatest(F.col("n"), F.lit(BLOCK_SHINGLES // BLOCK)).cast("long")
+    lengths = sized.groupBy("component", "n").agg(F.count("*").alias("same")).withColumn("filled", F.col("same") * room)
+    before = F.sum("filled").over(Window.partitionBy("component").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("filled")
+    blocks = F.ceil(F.sum("filled").over(Window.partitionBy("component")) / BLOCK_SHINGLES).cast("int")
+    starts = lengths.select("component", "n", "same", before.alias("before"), blocks.alias("blocks"))  # a row per length
+    at = F.col("before") + F.pmod(F.xxhash64("cls"), F.col("same")) * room
+    return sized.join(starts, ["component", "n"]).withColumn("block", F.floor(at / BLOCK_SHINGLES).cast("int")).drop("same", "before")
+
+
+def partners(heads: DataFrame) -> DataFrame:
+    """cls, component, block, other: the blocks in which a class may have links, by common shingle and length, at least once each.
+
+    heads: hash, cls, n, component, block."""
+    held = heads.groupBy("hash", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    held = held.withColumn("salts", F.ceil(F.count("*").over(Window.partitionBy("hash")) / FEW).cast("int"))
+    left = held.withColumn("salt", F.pmod("block", "salts"))
+    right = held.select("hash", F.col("block").alias("other"), F.col("least").alias("from_n"), F.col("most").alias("to_n"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    close = lambda lo, hi: (F.col(lo) * NUM <= F.col("to_n") * DEN) & (F.col("from_n") * NUM <= F.col(hi) * DEN)
+    met = left.join(right, ["hash", "salt"]).where(close("least", "most")).select("hash", "block", "other", "from_n", "to_n")
+    return heads.join(met, ["hash", "block"]).where(close("n", "n")).select("cls", "component", "block", "other")
 
 
 def linked(size, weight, side, flat, begin, cut: bool):
@@ -288,20 +327,19 @@ def placed_rows(docs: DataFrame) -> DataFrame:
             break
     counts = sketch(docs)
     freq = spark.sparkContext.broadcast(counts)  # 2**SKETCH_BITS numbers
-    shared = materialize(prefixes(docs, freq, int(8 * counts.mean()) + 20_000, seed), "prefixes")
-    heads = materialize(shared_only(peeled(shared).where("head")).select("hash", "cls", "n"), "heads")
+    shared = materialize(prefixes(docs, freq, int(8 * counts.mean()) + OFTEN, seed), "prefixes")
+    heads = materialize(shared_only(peeled(shared).where("head")).select("hash", "salt", "cls", "n"), "heads")
     groups = components(candidate_edges(heads))
     sized = materialize(groups.join(classes, F.col("node") == F.col("cls")).select("cls", "component", "rep", "weight", "n"), "groups")
-    per_group = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     tasks = max(1, -(-sized.count() // TOGETHER))
-    placed = materialize(sized.join(per_group, "component").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "placed")
+    placed = materialize(in_blocks(sized), "placed")
     one = lambda g, i, j, side: F.struct(g.alias("g"), F.lit(i).alias("i") if isinstance(i, int) else i.alias("i"), F.lit(j).alias("j") if isinstance(j, int) else j.alias("j"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
     together = placed.where("blocks = 1").select("cls", "rep", "weight", F.array(one(F.pmod(F.xxhash64("component"), F.lit(tasks)), -1, -1, 0)).alias("sides"))
-    # the blocks that hold a class's prefix shingles, its own included
+    # the blocks that hold a class's prefix shingles, its own included, in rows of some blocks each
     apart = placed.where("blocks > 1").select(F.col("cls").alias("c"), "component", "block")
-    dealt_heads = heads.join(apart, F.col("cls") == F.col("c")).select("hash", "cls", "component", "block")
-    partners = dealt_heads.join(dealt_heads.select("hash", F.col("block").alias("other")).distinct(), "hash").select("cls", one(F.col("component"), F.least("block", "other"), F.greatest("block", "other"), F.col("block")).alias("s"))
-    wide = partners.groupBy(F.col("cls").alias("c")).agg(F.collect_set("s").alias("sides"))
+    met = partners(heads.join(apart, F.col("cls") == F.col("c")).select("hash", "cls", "n", "component", "block"))
+    pair = one(F.col("component"), F.least("block", "other"), F.greatest("block", "other"), F.col("block"))
+    wide = met.groupBy(F.col("cls").alias("c"), F.floor(F.col("other") / FEW)).agg(F.collect_set(pair).alias("sides")).select("c", "sides")
     spread = placed.where("blocks > 1").join(wide, F.col("cls") == F.col("c")).select("cls", "rep", "weight", "sides")
     placed = materialize(together.unionByName(spread), "sides")
     sides = "array<struct<g: long, i: int, j: int, side: int>>"

@@ -610,6 +610,36 @@ def test_chain_of_blocks(spark, monkeypatch):
     assert rng and all(found[k] == (k, int(k < 10)) for k in range(300)) and all(found[300 + k] == (k, 1) for k in range(10))
 
 
+def test_hot_shingles(spark, monkeypatch):
+    """A passage in the prefixes of all texts: salted hubs, blocks by length, pairs of blocks in parts, and no link lost."""
+    for name, value in (("BLOCK", 8), ("FEW", 2), ("OFTEN", 10)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    passage = [f"common{k}" for k in range(40)]
+    texts = [" ".join(passage + [f"own{k}-{j}" for j in range(k % 20)] + [f"last{k}"]) for k in range(160)]
+    texts += [" ".join(passage[:30] + [f"far{k}-{j}" for j in range(100)]) for k in range(20)]
+    _, near = links([(k, t) for k, t in enumerate(texts)])
+    heads, met = [], set()
+    partners = jaccard_join.partners
+
+    def watched(h):
+        heads.extend(h.collect())
+        met.update((r["cls"], r["other"]) for r in partners(h).collect())
+        return partners(h)
+
+    monkeypatch.setattr(jaccard_join, "partners", watched)
+    found = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {k: n for k, (_, n) in found.items()} == {k: len(x) for k, x in enumerate(near)} and any(near) and not all(near)
+    first = min(k for k, x in enumerate(near) if x)
+    assert all(found[k][0] == (first if x else k) for k, x in enumerate(near))
+    held = {(r["hash"], r["cls"]): r for r in heads}
+    assert len({r["block"] for r in held.values()}) > 4
+    by_hash = {}
+    for (h, _), r in held.items():
+        by_hash.setdefault(h, []).append(r)
+    pairs = {(a["cls"], b["block"]) for rows in by_hash.values() for a in rows for b in rows if 80 * max(a["n"], b["n"]) <= 100 * min(a["n"], b["n"])}
+    assert pairs <= met
+
+
 def test_pipeline_stages(spark, docs, rows, sf_dir):
     """Every stage keeps what its rule keeps, of its own input, with all columns."""
     import corpus_pipeline
