@@ -266,11 +266,14 @@ def learned(docs):
     return language_model.learn(train, language_model.word_counts(train))
 
 
-@pytest.mark.parametrize("split", [language_model.SPLIT, 200])
-def test_context_probabilities_add_up_to_one(docs, monkeypatch, split):
+@pytest.mark.parametrize(("split", "splits", "words"), [(language_model.SPLIT, language_model.SPLITS, range(1)), (200, 1000, range(1, 1000)), (10, 100, range(1, 100))])
+def test_context_probabilities_add_up_to_one(docs, monkeypatch, split, splits, words):
+    """words: how many are split, fewer than splits."""
     monkeypatch.setattr(language_model, "SPLIT", split)
+    monkeypatch.setattr(language_model, "SPLITS", splits)
     monkeypatch.setattr(language_model, "HELD", 500)
     model, pairs = learned(docs)
+    assert pairs.where("kind = 0 and part > 0").select("w").distinct().count() in words
     p_word = {r["w"]: 10 ** r["logq"] for r in language_model.priced_words(pairs, model).collect()}
     assert sum(p_word.values()) + model.parent.unknown == pytest.approx(1, abs=1e-6) and len(p_word) == model.kinds
     by_context = {}
