@@ -643,6 +643,25 @@ def test_hot_shingles(spark, monkeypatch):
     assert pairs <= met
 
 
+def test_close_languages(spark):
+    """Languages of one family with many words in common: held-out texts are told apart by the pair's own model."""
+    words_of = {
+        "da": "og i at det er en til på som af med for ikke den har jeg et de var han kun meget efter også blev nogle uden igen hvad sige mig noget lidt vej siger hjælp",
+        "no": "og i at det er en til på som av med for ikke den har jeg et de var han bare veldig etter også ble noen uten igjen hva si meg noe litt vei sier hjelp",
+        "es": "el la de que y en los se del las por un para con no una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también",
+        "pt": "o a de que e em os se do as por um para com não uma seu ao lo como mais mas seus lhe já ou este sim porque esta entre quando muito sem sobre também",
+    }
+    rng = random.Random(11)
+    given = [(k * 4 + j, " ".join(rng.choices(w.split(), k=30)), lang) for k in range(90) for j, (lang, w) in enumerate(words_of.items())]
+    docs = spark.createDataFrame(given, "doc_id long, text string, lang string")
+    assert language_id.FAMILY_OF["da"] == language_id.FAMILY_OF["no"] != language_id.FAMILY_OF["es"] == language_id.FAMILY_OF["pt"]
+    truth = {i: lang for i, _, lang in given if zlib.crc32(str(i).encode()) % 4 == 2}
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, language_id.fit(docs)).collect()}
+    for lang in words_of:
+        own = [found[i] == lang for i, x in truth.items() if x == lang]
+        assert len(own) > 10 and sum(own) >= 0.95 * len(own)
+
+
 def test_pipeline_stages(spark, docs, rows, sf_dir):
     """Every stage keeps what its rule keeps, of its own input, with all columns."""
     import corpus_pipeline
