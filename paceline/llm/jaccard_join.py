@@ -15,8 +15,8 @@ A document's set holds its distinct shingles of ``SHINGLE`` words (fewer words:
    Small components of these edges share a task. The classes of a larger one are dealt to blocks by length.
    Blocks with a common prefix shingle and compatible lengths of its holders meet, and each class goes to
    the tasks of those pairs of its block where it has such a shingle itself, and to no others. Blocks are
-   joined by shingle with salts on both sides, classes by shingle and block, so no key has more than a
-   block's rows on one side and ``FEW`` blocks or a class's shingles on the other.
+   joined by shingle with salts on both sides, classes by shingle and block, so a key has ``FEW`` blocks or
+   a block's classes on one side at most, and on the other the shingle's blocks, a ``BLOCK``-th of its classes.
 4. In a task, each set meets the later sets of its prefix shingles' lists once; length, positional and
    suffix filters drop most, and the rest are verified by their exact intersection. Out come each set's
    number of links and the edges of a spanning forest, never all pairs.
