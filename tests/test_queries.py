@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from paceline import scratch
-from paceline.plans.queries import ORACLES, QUERIES
+from paceline.plans.queries import ORACLES, QUERIES, rounded
 from paceline.sources import testbed
 
 LIGHT = ["km_splits", "session_summary", "elevation_gain_loss", "active_intervals_tolerant", "active_timeline_strict", "hr_zones_session", "step_link", "aligned_laps", "weather_lookup", "dynamics_samples", "hybrid_decision", "dem_enriched_records", "output_collisions", "output_statuses", "mixed_clock_samples", "mixed_clock_splits", "route_resample", "dem_isolation", "repetition_stats", "recovery_change", "dedupe_last_wins", "splits_union"]
@@ -33,6 +33,32 @@ def test_query(spark, sf_dir, name):
     assert expected and rows(found.columns, [tuple(r) for r in found.collect()]) == expected
 
 
+@pytest.fixture(scope="session")
+def edgy(spark, tmp_path_factory):
+    """Activities with values whose rounding hangs on their last bits."""
+    folder = tmp_path_factory.mktemp("edgy")
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
+    events.where("user_id in (91, 336, 617, 636, 659, 812, 1055, 1109, 1182, 1194, 1400)").coalesce(1).write.mode("overwrite").parquet(str(folder / "events.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["dynamics_samples", "route_resample", "km_splits"])
+def test_query_to_the_last_digit(spark, edgy, name):
+    """Exactly the SQL's numbers, summed in one thread so that it adds intervals in their order."""
+    found = QUERIES[name](spark, edgy)
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{edgy}/events.parquet/*.parquet'")
+    sql = con.sql(ORACLES[name])
+    expected = Counter(sql.select(*[duckdb.ColumnExpression(c) for c in found.columns]).fetchall())
+    assert expected and Counter(tuple(r) for r in found.collect()) == expected
+
+
+def test_rounded_as_sql_rounds(spark):
+    values = [47.660312499999994, 0.0000005, -2.5e-6, 447016.7695, 0.49999999999999994e-6, -0.0, 1e300]
+    found = [tuple(r)[0] for r in rounded(spark.createDataFrame([(v,) for v in values], "x double")).collect()]
+    assert found == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+
+
 def test_plans_have_no_products_or_python(spark, sf_dir):
     for name in ("km_splits", "hr_zones_lap", "dynamics_samples"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
