@@ -42,7 +42,7 @@ def edgy(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["dynamics_samples", "route_resample", "km_splits"])
+@pytest.mark.parametrize("name", ["dynamics_samples", "mixed_clock_samples", "mixed_clock_splits", "route_resample", "km_splits"])
 def test_query_to_the_last_digit(spark, edgy, name):
     """Exactly the SQL's numbers, summed in one thread so that it adds intervals in their order."""
     found = QUERIES[name](spark, edgy)
