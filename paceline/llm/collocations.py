@@ -57,9 +57,11 @@ def pieces(docs: DataFrame) -> DataFrame:
     """lang, piece (words joined by one space), m (how often), n_words; pieces without words are left out."""
     low = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     each = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(low, MARKS)).alias("piece"))
-    plain = each.withColumn("piece", F.btrim(F.regexp_replace("piece", GAPS, " "))).where("piece != ''")
+    # most pieces have single spaces only, and need no pattern
+    wide = F.contains("piece", F.lit("  ")) | F.contains("piece", F.lit("\t"))
+    plain = each.withColumn("piece", F.btrim(F.when(wide, F.regexp_replace("piece", GAPS, " ")).otherwise(F.col("piece")))).where("piece != ''")
     counted = plain.groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("m"))
-    return counted.withColumn("n_words", F.size(F.split("piece", " ")))
+    return counted.withColumn("n_words", F.octet_length("piece") - F.octet_length(F.replace("piece", F.lit(" "), F.lit(""))) + 1)
 
 
 def _database(folder: str) -> duckdb.DuckDBPyConnection:

@@ -81,5 +81,13 @@ def test_out_of_core(spark, monkeypatch):
     assert {p: n for p, n in kept.items() if " " not in p} == {w: n for w, n in counts.items() if n >= 10}
 
 
+def test_pieces_with_wide_gaps(spark):
+    """Only pieces with wide gaps need a pattern, and words are counted by their spaces."""
+    rows = [("a  b\tc\t\t d , X.\t \n \u00e9    B", "x"), (None, None), ("  ", None), ("one", None), ("A b  ", "x")]
+    found = collocations.pieces(spark.createDataFrame(rows, "text string, lang string"))
+    assert sorted(tuple(r) for r in found.collect()) == [("und", "one", 1, 1), ("x", "a b", 1, 2), ("x", "a b c d", 1, 4), ("x", "x", 1, 1), ("x", "\u00e9 b", 1, 2)]
+    assert "CASE WHEN" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty(spark):
     assert collocations.mine(spark.createDataFrame([], SCHEMA)).count() == 0
