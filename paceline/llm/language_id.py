@@ -35,8 +35,8 @@ CELLS = 1 << BITS
 PER_LANGUAGE = 800
 PER_FAMILY = 4000
 UNKNOWN = "und"
-#: Bytes of text whose n-grams are held at once.
-GRAMS_CHUNK = 1 << 18
+#: Bytes of text whose n-grams are held at once; they take some 200 times as many.
+GRAMS_CHUNK = 1 << 16
 #: Language codes by family.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -65,10 +65,10 @@ def grams(c) -> tuple[np.ndarray, np.ndarray]:
     lead = np.flatnonzero(LEADS[c.data])
     text = np.repeat(np.arange(len(c)), np.diff(c.offsets))[lead]
     # one number per code point: its bytes, packed
-    packed = codes[lead]
+    packed, end = codes[lead], c.offsets[1:][text]
     for k in (1, 2, 3):
         at = np.minimum(lead + k, len(codes) - 1)
-        more = (lead + k < len(codes)) & ~LEADS[c.data[at]]
+        more = (lead + k < end) & ~LEADS[c.data[at]]  # never of the next text
         packed = np.where(more, packed * np.uint64(256) + codes[at], packed)
     if not len(packed):
         return np.zeros(0, np.int64), text
@@ -107,13 +107,12 @@ def sums(text, cell, weight, w: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(text, weights=weight * row[cell], minlength=n) for row in w], axis=1) if len(w) else np.zeros((n, 0))
 
 
-def svm(text, cell, weight, y: np.ndarray, epochs: int = 12, c: float = 10.0) -> np.ndarray:
-    """Linear support vector machine by dual coordinate descent; y holds 1 and -1, and the vectors have length one."""
-    begin = np.searchsorted(text, np.arange(len(y) + 1))
+def svm(cells: list[np.ndarray], weights: list[np.ndarray], y: np.ndarray, epochs: int = 12, c: float = 10.0) -> np.ndarray:
+    """Linear support vector machine by dual coordinate descent over each text's cells and weights; y holds 1 and -1, and the vectors have length one."""
     w, alpha, rng = np.zeros(CELLS + 1), np.zeros(len(y)), np.random.default_rng(7)
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
-            f, v = cell[begin[i] : begin[i + 1]], weight[begin[i] : begin[i + 1]]
+            f, v = cells[i], weights[i]
             grad = y[i] * (w[f] @ v + w[CELLS]) - 1
             new = min(max(alpha[i] - grad / (v @ v + 1), 0), c)
             if new != alpha[i]:
@@ -141,11 +140,15 @@ def models_of(langs: list[str]) -> tuple[list[str], list[int], list[tuple[int, i
     return families, of, [(a, b) for a in range(len(langs)) for b in range(a + 1, len(langs)) if of[a] == of[b]]
 
 
-def fit_model(texts: list[str], y: np.ndarray) -> np.ndarray:
-    """One binary model's weights and bias."""
-    parts = [(t + c.first, f, w) for c in chunks(pa.array(texts, pa.string()), GRAMS_CHUNK) for t, f, w in [vectors(c)]]
-    text, cell, weight = (np.concatenate(x).astype(kind) for x, kind in zip(zip(*parts, strict=True), (np.int32, np.int32, np.float32), strict=True))
-    return svm(text, cell, weight, y).astype(np.float32)
+def fit_model(texts: pa.Array, y: np.ndarray) -> np.ndarray:
+    """One binary model's weights and bias. Features are narrowed chunk by chunk, to six bytes each, and never copied together."""
+    cells, weights = [], []
+    for c in chunks(texts, GRAMS_CHUNK):
+        text, cell, weight = vectors(c)
+        nexts = np.searchsorted(text, np.arange(1, len(c)))
+        cells += np.split(cell.astype(np.min_scalar_type(CELLS - 1)), nexts)
+        weights += np.split(weight.astype(np.float32), nexts)
+    return svm(cells, weights, y).astype(np.float32)
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, per_family: int = PER_FAMILY) -> dict:
@@ -164,7 +167,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, per_family: int = PER
     def learn(key, table):
         table = table.sort_by([("h", "ascending"), ("text", "ascending")])
         y = np.where(table.column("side").to_numpy(zero_copy_only=False), 1, -1)
-        return pa.table({"model": [key[0].as_py()], "w": pa.array([fit_model(table.column("text").to_pylist(), y)], pa.list_(pa.float32()))}, schema=pa.schema([("model", pa.int32()), ("w", pa.list_(pa.float32()))]))
+        return pa.table({"model": [key[0].as_py()], "w": pa.array([fit_model(table.column("text").combine_chunks(), y)], pa.list_(pa.float32()))}, schema=pa.schema([("model", pa.int32()), ("w", pa.list_(pa.float32()))]))
 
     table = spark.createDataFrame(sides, "model int, of string, side boolean")
     dealt = rows.join(F.broadcast(table), F.col("lang") == F.col("of")).withColumn("k", F.row_number().over(Window.partitionBy("model", "side").orderBy("h")))

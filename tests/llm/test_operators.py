@@ -3,16 +3,19 @@
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from paceline.llm import components, decontaminate, html_text, jaccard_join, language_id, language_model, packing, quality, token_files, toxicity, url_filter
 from paceline.llm.shared import new_path
+from paceline.llm.textnp import chunks
 from paceline.llm.tokens import Encoder, default_path
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -662,6 +665,32 @@ def test_close_languages(spark):
         assert len(own) > 10 and sum(own) >= 0.95 * len(own)
 
 
+def test_language_features_stay_with_their_text():
+    """A text's features are the same alone and before other texts."""
+    texts = ["a", "Ésa", "naïve b", "ça", "", "日本", "я"]
+    (c,) = chunks(pa.array(texts), 1 << 16)
+    text, cell, weight = language_id.vectors(c)
+    for i, t in enumerate(texts):
+        (own,) = chunks(pa.array([t]), 1 << 16)
+        _, alone, w = language_id.vectors(own)
+        assert np.array_equal(cell[text == i], alone) and np.array_equal(weight[text == i], w)
+
+
+def test_language_models_are_fitted_in_little_memory():
+    """A model's features lie side by side in few bytes each, so that two tasks of an executor fit many texts."""
+    rng = random.Random(5)
+    texts = [prose(rng, 600, ["".join(rng.choices(LOW, k=5)) for _ in range(300)]) for _ in range(1000)]
+    y = np.where(np.arange(len(texts)) % 2, 1, -1)
+    given = pa.array(texts)
+    tracemalloc.start()
+    try:
+        w = language_id.fit_model(given, y)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 15 * sum(map(len, texts)) + 25e6 and w.shape == (language_id.CELLS + 1,)
+
+
 def test_pipeline_stages(spark, docs, rows, sf_dir):
     """Every stage keeps what its rule keeps, of its own input, with all columns."""
     import corpus_pipeline
