@@ -14,13 +14,27 @@ from paceline.llm.shared import documents, materialize
 from paceline.llm.tokens import default_path
 
 
+#: Most documents of an Arrow batch: of Spark's 10,000, each task would hold some 34 MB several times over.
+BATCH = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, from here on as plans read it when they run; results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = int(spark.conf.get(name, "10000"))
+    if not 0 < given <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counting rules and look like their language."""
+    small_batches(spark)
     return quality.filter_documents(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
+    small_batches(spark)
     return language_id.filter_documents(docs)
 
 

@@ -691,6 +691,25 @@ def test_language_models_are_fitted_in_little_memory():
     assert peak < 15 * sum(map(len, texts)) + 25e6 and w.shape == (language_id.CELLS + 1,)
 
 
+def test_pipeline_hands_documents_over_in_small_batches(spark, docs, sf_dir):
+    """Whole documents go to Python at most BATCH at once; a smaller bound that is set already stays."""
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for given, expected in (("10000", corpus_pipeline.BATCH), ("0", corpus_pipeline.BATCH), ("7", 7)):
+        spark.conf.set(name, given)
+        try:
+            corpus_pipeline.small_batches(spark)
+            largest = spark.range(0, 3000, 1, 1).mapInArrow(lambda batches: (pa.record_batch({"n": [len(b)]}) for b in batches), "n long").agg(F.max("n")).first()[0]
+            assert largest == expected
+            if given == "10000":
+                spark.conf.set(name, given)
+                corpus_pipeline.quality_rules(spark, docs, sf_dir)
+                assert spark.conf.get(name) == str(expected)
+        finally:
+            spark.conf.unset(name)
+
+
 def test_pipeline_stages(spark, docs, rows, sf_dir):
     """Every stage keeps what its rule keeps, of its own input, with all columns."""
     import corpus_pipeline
