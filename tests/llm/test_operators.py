@@ -350,6 +350,39 @@ def test_model_agrees_with_a_plain_sampler(spark):
     assert np.abs(np.log(found) - np.log(sorted(plain.values()))).mean() < 0.15
 
 
+@pytest.mark.parametrize(("frequent", "pairs", "held"), [(200_000, 1_000_000, 2_000_000), (20, 40, 300), (10, 100_000, 2000)])
+def test_scores_add_up_the_prices_of_pairs_and_words(docs, rows, monkeypatch, frequent, pairs, held):
+    """Frequent words and pairs, and the others, which meet their prices by bucket; no key is joined or sorted row by row."""
+    kept, learn = [], language_model.learn
+    monkeypatch.setattr(language_model, "FREQUENT", frequent)
+    monkeypatch.setattr(language_model, "PAIRS", pairs)
+    monkeypatch.setattr(language_model, "HELD", held)
+    monkeypatch.setattr(language_model, "learn", lambda train, words: kept.append(learn(train, words)) or kept[0])
+    scores = language_model.train_and_score(docs)
+    assert "Join" not in scores._jdf.queryExecution().executedPlan().toString()
+    found = {r["doc_id"]: r for r in scores.collect()}
+    model, table = kept[0]
+    price = {r["key"]: r["logp"] for r in language_model.priced(table, model, 0, 1 << 62).collect()}
+    word = {r["w"]: r["logq"] for r in language_model.priced_words(table, model).collect()}
+    find = language_model.Lookup(model.own)
+    for i, text, *_ in rows:
+        h, shape, of = language_model.tokens(next(chunks(pa.array([text], pa.string()))))
+        key = language_model.keys(h, shape, of, find)
+        expected = 0.0
+        for k, signed in zip(key, key.astype(np.int64).tolist(), strict=True):
+            w = int((k & ~language_model.LOW).astype(np.int64))
+            expected += price[signed] if signed in price else np.log10(model.back[int(k & language_model.LOW)]) + word.get(w, np.log10(model.parent.unknown))
+        assert found[i]["score"] == pytest.approx(expected, rel=1e-5), i
+
+
+def test_pairs_travel_as_blocks(docs):
+    """Not as a row per pair: the rows that are dealt to buckets don't grow with a task's pairs."""
+    train = docs.where("doc_id is not null and crc32(cast(doc_id as string)) % 10 != 0").coalesce(1)
+    model, pairs = language_model.learn(train, language_model.word_counts(train))
+    blocks = language_model.price_blocks(pairs.coalesce(1), model, 1 << 62, 0, 4)
+    assert blocks.count() <= 2 * 4 < pairs.where("kind = 0").count()
+
+
 def test_toxicity(spark, rows, empty):
     rng = random.Random(2)
     many = [(k, prose(rng, 30, ["alpha", "beta", "gamma", "delta", "epsilon"]) + (" " + rng.choice(["vilest", "vilesto,", "Scumbag"]) if k % 6 == 0 else "")) for k in range(600)] + [(700, None), (701, "")]
