@@ -375,6 +375,52 @@ def test_scores_add_up_the_prices_of_pairs_and_words(docs, rows, monkeypatch, fr
         assert found[i]["score"] == pytest.approx(expected, rel=1e-5), i
 
 
+@pytest.mark.parametrize(("most", "frequent", "pairs"), [(1, 200_000, 1_000_000), (12, 20, 40), (40, 10, 1_000_000)])
+def test_every_word_is_a_context_of_its_own(docs, rows, monkeypatch, most, frequent, pairs):
+    """Also those beyond the numbered ones: scores by their own counts, and probabilities that add up to one."""
+    monkeypatch.setattr(language_model, "FREQUENT", frequent)
+    monkeypatch.setattr(language_model, "PAIRS", pairs)
+    train = docs.where("doc_id is not null and crc32(cast(doc_id as string)) % 10 != 0")
+    counted = language_model.word_counts(train)
+    model, table = language_model.learn(train, counted, most)
+    price = {r["key"]: 10 ** r["logp"] for r in language_model.priced(table, model, 0, 1 << 62).collect()}
+    word = {r["w"]: 10 ** r["logq"] for r in language_model.priced_words(table, model).collect()}
+    assert {r["w"]: r["c"] for r in language_model.priced_words(table, model).collect()} == {int(np.int64(np.uint64(r["hash"] % 2**64) & ~language_model.LOW)): r["n"] for r in counted.collect()}
+    (d, s), find, low = language_model.CONTEXT, language_model.Lookup(model.own), int(language_model.LOW)
+
+    def pairs_of(text):
+        h, shape, of = language_model.tokens(next(chunks(pa.array([text], pa.string()))))
+        return list(zip([0, *h.tolist()], language_model.keys(h, shape, of, find).tolist(), strict=False))
+
+    def shared(key):
+        signed = int(np.uint64(key).astype(np.int64))
+        return price[signed] if signed in price else model.back[key & low] * word.get(signed - (signed & low), model.parent.unknown)
+
+    own, seen, kinds = Counter(), Counter(), Counter()
+    for i, text, *_ in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 10:
+            own.update(x for x in pairs_of(text) if x[1] & low >= language_model.OWN)
+    for (before, _), n in own.items():
+        seen[before] += n
+        kinds[before] += 1
+    assert len(seen) > 20
+
+    def p(before, key):
+        if key & low < language_model.OWN:
+            return shared(key)
+        return (max(own[before, key] - d, 0) + (s + d * kinds[before]) * shared(key)) / (s + seen[before])
+
+    found = {r["doc_id"]: r for r in language_model.score(docs, counted, model, table).collect()}
+    for i, text, *_ in rows:
+        assert found[i]["score"] == pytest.approx(sum(np.log10(p(*x)) for x in pairs_of(text)), rel=1e-5), i
+    followers = {}
+    for before, key in own:
+        followers.setdefault(before, key & low)
+    for before, shape in list(followers.items())[:20]:
+        every = sum(p(before, (w % 2**64) | shape) for w in word)
+        assert every + (s + d * kinds[before]) / (s + seen[before]) * model.back[shape] * model.parent.unknown == pytest.approx(1, abs=1e-3)
+
+
 def test_pairs_travel_as_blocks(docs):
     """Not as a row per pair: the rows that are dealt to buckets don't grow with a task's pairs."""
     train = docs.where("doc_id is not null and crc32(cast(doc_id as string)) % 10 != 0").coalesce(1)
